@@ -23,11 +23,11 @@ class LastSent(StatefulProcessor):
         self.last = handle.getValueState("last", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["_us", "seq"], ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["stamp_us", "seq"], ignore_index=True)
         last = self.last.get()[0] if self.last.exists() else None
-        mask = passing(batch["_us"].to_numpy(), self.window, last)
+        mask = passing(batch["stamp_us"].to_numpy(), self.window, last)
         if mask.any():
-            self.last.update((int(batch.loc[mask, "_us"].iloc[-1]),))
+            self.last.update((int(batch.loc[mask, "stamp_us"].iloc[-1]),))
         yield batch.loc[mask, self.output]
 
     def close(self) -> None:
@@ -41,8 +41,8 @@ def suppress_repeats_stream(
     window = check_window(hours)
     if watermark:
         alerts = alerts.withWatermark("timestamp", watermark)
-    stamped = alerts.withColumn("_us", F.unix_micros("timestamp"))
+    stamped = alerts.withColumn("stamp_us", F.unix_micros("timestamp"))
     keys = ["city", "level", *(["alert_type"] if include_type else [])]
     processor = LastSent(window, stamped.columns)
     sent = stamped.groupBy(*keys).transformWithStateInPandas(processor, stamped.schema, "append", "None")
-    return sent.drop("_us")
+    return sent.drop("stamp_us")

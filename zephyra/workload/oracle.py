@@ -84,14 +84,14 @@ ORACLE["coercion_counts"] = readings(
     count(*) FILTER (seq % 41 = 0) AS unparsable_aqi FROM readings"""
 )
 ORACLE["flatten_feed_json"] = readings(
-    f"""SELECT seq, city, CASE WHEN reason IS NULL THEN epoch_us(timestamp) END AS timestamp_us,
+    f"""SELECT seq, city, CASE WHEN reason IS NULL THEN CAST(epoch_us(timestamp) AS VARCHAR) END AS timestamp_us,
     CASE WHEN reason IS NULL THEN aqi END AS aqi,
     CASE WHEN reason IS NULL AND seq % 7 <> 0 THEN pm25 END AS pm25, CAST(NULL AS DOUBLE) AS no2, reason
     FROM (SELECT *, CASE WHEN seq % 41 = 0 THEN 'bad status' WHEN seq % 43 = 0 THEN 'no data'
           WHEN seq % 47 = 0 THEN 'invalid aqi' WHEN aqi IS NULL THEN 'missing aqi' END AS reason FROM readings)"""
 )
 DECODED = """SELECT seq, CASE WHEN seq % 41 <> 0 THEN city END AS city,
-    CASE WHEN seq % 41 <> 0 THEN epoch_us(timestamp) END AS timestamp_us,
+    CASE WHEN seq % 41 <> 0 THEN CAST(epoch_us(timestamp) AS VARCHAR) END AS timestamp_us,
     CASE WHEN seq % 41 <> 0 THEN aqi END AS aqi, CASE WHEN seq % 41 <> 0 THEN pm25 END AS pm25,
     CASE WHEN seq % 41 = 0 THEN 'invalid JSON' WHEN aqi IS NULL THEN 'missing aqi' END AS error FROM readings"""
 ORACLE["decode_events"] = readings(DECODED)
@@ -165,8 +165,8 @@ ORACLE["aqi_category"] = readings(
     f"SELECT seq, aqi, {CATEGORY.format(v='aqi')} AS strict, {CONTINUOUS.format(v='aqi')} AS continuous FROM readings"
 )
 ORACLE["category_attributes"] = readings(
-    f"""SELECT seq, category, threshold_min, threshold_max, alert_level, color, recommendation
-    FROM (SELECT seq, {CATEGORY.format(v='aqi')} AS category FROM readings) LEFT JOIN {CATEGORY_TABLE} USING (category)"""
+    f"""SELECT seq, category, CAST(threshold_min AS DOUBLE) AS threshold_min, CAST(threshold_max AS DOUBLE) AS threshold_max,
+    alert_level, color, recommendation FROM (SELECT seq, {CATEGORY.format(v='aqi')} AS category FROM readings) LEFT JOIN {CATEGORY_TABLE} USING (category)"""
 )
 
 # -------------------------------------------------------------- data quality

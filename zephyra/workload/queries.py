@@ -190,7 +190,7 @@ def flatten_feed_json(spark, folder):
     made = landing.flatten_feed_json(_payloads(spark, folder), F.col("city"))
     good = F.col("reason").isNull()
     return made.select(
-        "seq", "city", F.when(good, us()).alias("timestamp_us"), F.when(good, F.col("aqi")).alias("aqi"),
+        "seq", "city", F.when(good, us().cast("string")).alias("timestamp_us"), F.when(good, F.col("aqi")).alias("aqi"),
         F.when(good, F.col("pm25")).alias("pm25"), "no2", "reason",
     )
 
@@ -211,7 +211,7 @@ def _event_text(spark, folder):
 @query
 def decode_events(spark, folder):
     made = messages.spread_pollutants(messages.decode_events(_event_text(spark, folder)))
-    return made.select("seq", "city", us(), "aqi", "pm25", "error")
+    return made.select("seq", "city", us().cast("string").alias("timestamp_us"), "aqi", "pm25", "error")
 
 
 @query
@@ -316,7 +316,8 @@ def aqi_category(spark, folder):
 @query
 def category_attributes(spark, folder):
     made = clean.category_attributes(clean.add_category(readings(spark, folder)))
-    return made.select("seq", "category", "threshold_min", "threshold_max", "alert_level", "color", "recommendation")
+    bounds = [F.col(c).cast("double").alias(c) for c in ("threshold_min", "threshold_max")]
+    return made.select("seq", "category", *bounds, "alert_level", "color", "recommendation")
 
 
 # -------------------------------------------------------------- data quality
@@ -766,7 +767,7 @@ def stream_decode(spark, folder):
     _event_text(spark, folder).select("value").write.text(path)
     source = messages.read_messages(spark, "text", path=path)
     made = run_to_end(spark, messages.spread_pollutants(messages.decode_events(source)), "decoded")
-    return made.select("city", us(), "aqi", "pm25", "error")
+    return made.select("city", us().cast("string").alias("timestamp_us"), "aqi", "pm25", "error")
 
 
 @query
