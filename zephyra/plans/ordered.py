@@ -117,13 +117,12 @@ def running_max_before(
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.max(value).over(window))
     carried = chunk_carry(
-        chunks, keys, [F.max(value).alias("_top")], lambda before, _: [F.max("_top").over(before).alias("_earlier")]
+        chunks, keys, [F.max(value).alias("_top")], lambda before, _: [F.max("_top").over(before).alias("_carried")]
     )
     window = Window.partitionBy(*keys, "_chunk").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     rows = join_on(chunks, carried, [*keys, "_chunk"])
-    return rows.withColumn(name, F.greatest(F.max(value).over(window), "_earlier")).drop(
-        "_row", "_chunk", "_earlier"
-    )
+    made = rows.withColumn(name, F.greatest(F.max(value).over(window), "_carried"))
+    return made.drop("_row", "_chunk", "_carried")
 
 
 def fill_forward_then_back(
