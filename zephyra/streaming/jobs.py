@@ -61,10 +61,10 @@ def feature_table_sink(
         if ends["first"] is None:
             return
         start = F.lit(ends["first"]) - F.make_dt_interval(hours=F.lit(hours))
-        stored = read_or_empty(spark, f"{history}/batch=*", batch.schema, "date")
+        stored = read_or_empty(spark, history, batch.schema, "batch", "date")
         recent = stored.where((F.col("date") >= F.to_date(start)) & (F.col("timestamp") >= start))
         recent = recent.where(F.col("timestamp") <= F.lit(ends["last"]))
-        made = event_features(recent.drop("date"))
+        made = event_features(recent.drop("batch", "date"))
         own = join_on(made, batch.select("city", "timestamp", "seq").distinct(), ["city", "timestamp", "seq"], "left_semi")
         own.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
