@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from zephyra.functions.bands import category
 from zephyra.functions.columns import natural_key, need_columns
-from zephyra.plans.ordered import ROWS_PER_TASK, row_windows, running_max_before
+from zephyra.plans.ordered import ROWS_PER_TASK, join_on, row_windows, running_max_before
 from zephyra.schemas import AQI_MAX, AQI_MIN, CRITICAL_FIELDS, category_table
 
 
@@ -104,16 +104,14 @@ def quality_flags(
 ) -> DataFrame:
     """Add ``quality_flags``, an array of ``missing, out_of_range, duplicate, out_of_order``; empty for a good row."""
     keys = keys or natural_key(df)
-    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    same = F.lit(True)
-    for name in keys:
-        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    df = df.alias("l").join(first.alias("r"), same, "left").select("l.*", "_first")
+    # joined on the order as well: a key with very many copies is spread by it
+    first = df.groupBy(*keys).agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
+    df = join_on(df, first, list(dict.fromkeys([*keys, order])))
     df = mark_out_of_order(df, order=order, limit=limit)
     flags = [
         F.when(_missing(), "missing"),
         F.when(~F.col("aqi").between(AQI_MIN, AQI_MAX), "out_of_range"),
-        F.when(F.col(order) > F.col("_first"), "duplicate"),
+        F.when(F.col("_first").isNull(), "duplicate"),
         F.when(F.col("late"), "out_of_order"),
     ]
     return df.withColumn("quality_flags", F.array_compact(F.array(*flags))).drop("_first", "late")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from zephyra.functions.calendar import calendar_parts, season
 from zephyra.functions.columns import numeric_columns
-from zephyra.plans.hours import trailing
-from zephyra.plans.ordered import ROWS_PER_TASK, fill_forward_then_back, join_on, row_windows
+from zephyra.plans.hours import add_trailing, trailing
+from zephyra.plans.ordered import ROWS_PER_TASK, fill_forward_then_back, row_windows
 from zephyra.schemas import LAG_OFFSETS, POLLUTANTS, ROLLING_WINDOWS, STREAMING_WINDOW_HOURS
 
 
@@ -61,15 +61,11 @@ def rolling_rows(
     return row_windows(df, list(keys), _order(df, ts, tie), make, max(sizes) - 1, limit)
 
 
-def _with_trailing(df, keys, ts, column, tie, lags, sizes, closed, std) -> DataFrame:
+def _with_trailing(df, keys, ts, column, tie, lags, sizes, closed, std, limit) -> DataFrame:
     found = trailing(df, keys, ts, column, tie, lags, sizes, closed, std)
-    found = found.select(
-        *keys,
-        F.col(ts),
-        *[F.col(f"lag_{n}").alias(f"{column}_lag_{n}h") for n in lags],
-        *[F.col(f"{s}_{n}").alias(f"{column}_{s}_{n}h") for n in sizes for s in ("mean", "std", "min", "max")],
-    )
-    return join_on(df, found, [*keys, ts])
+    names = [F.col(f"lag_{n}").alias(f"{column}_lag_{n}h") for n in lags]
+    names += [F.col(f"{s}_{n}").alias(f"{column}_{s}_{n}h") for n in sizes for s in ("mean", "std", "min", "max")]
+    return add_trailing(df, keys, ts, tie, found, *names, limit=limit)
 
 
 def rolling_range(
@@ -79,9 +75,10 @@ def rolling_range(
     keys: list[str] = ("city",),
     ts: str = "timestamp",
     tie: str = "seq",
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """The columns of :func:`rolling_rows` over the time range ``[t - n hours, t]``."""
-    return _with_trailing(df, list(keys), ts, column, tie, [], sizes, "both", "samp")
+    return _with_trailing(df, list(keys), ts, column, tie, [], sizes, "both", "samp", limit)
 
 
 def asof_lags(
@@ -91,9 +88,10 @@ def asof_lags(
     keys: list[str] = ("city",),
     ts: str = "timestamp",
     tie: str = "seq",
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``<column>_lag_<n>h``: the latest known value at or before ``t - n hours``, however old."""
-    return _with_trailing(df, list(keys), ts, column, tie, offsets, [], "neither", "pop")
+    return _with_trailing(df, list(keys), ts, column, tie, offsets, [], "neither", "pop", limit)
 
 
 def trailing_stats(
@@ -103,9 +101,10 @@ def trailing_stats(
     keys: list[str] = ("city",),
     ts: str = "timestamp",
     tie: str = "seq",
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Mean, population deviation, minimum and maximum over the open range ``(t - n hours, t)``."""
-    return _with_trailing(df, list(keys), ts, column, tie, [], sizes, "neither", "pop")
+    return _with_trailing(df, list(keys), ts, column, tie, [], sizes, "neither", "pop", limit)
 
 
 def event_features(
@@ -116,9 +115,10 @@ def event_features(
     keys: list[str] = ("city",),
     ts: str = "timestamp",
     tie: str = "seq",
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """The features a stream computes per event, for a table: as-of lags, trailing statistics, calendar, season."""
-    made = _with_trailing(df, list(keys), ts, column, tie, offsets, sizes, "neither", "pop")
+    made = _with_trailing(df, list(keys), ts, column, tie, offsets, sizes, "neither", "pop", limit)
     return made.select("*", *calendar_parts(ts), season(ts).alias("season"))
 
 
@@ -134,14 +134,14 @@ def window_state_stats(
     stamped = df.select(*keys, ts, tie, F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("_stamp"))
     held = trailing(stamped, keys, ts, "_stamp", tie, [], [hours], "right")
     oldest = F.col(f"min_{hours}").cast("long")
-    newest = F.unix_micros(ts)
+    known = [F.when(~F.col(f"_z{i}"), F.col(f"_k{i}")).alias(name) for i, name in enumerate(keys)]
     return held.select(
-        *keys,
-        F.timestamp_micros(newest).alias(ts),
+        *known,
+        F.timestamp_micros("_us").alias(ts),
         F.col(f"count_{hours}").alias("buffer_size"),
         F.timestamp_micros(oldest).alias("oldest_timestamp"),
-        F.timestamp_micros(newest).alias("newest_timestamp"),
-        ((newest - oldest) / 3.6e9).alias("time_span_hours"),
+        F.timestamp_micros("_us").alias("newest_timestamp"),
+        ((F.col("_us") - oldest) / 3.6e9).alias("time_span_hours"),
     )
 
 
@@ -232,7 +232,7 @@ def build_gold(
         df = row_windows(df, keys, order, make, max([*offsets, *[n - 1 for n in sizes]]), limit)
     elif mode == "range":
         df = row_windows(df, keys, order, lambda w: _lags(w, column, offsets), max(offsets), limit)
-        df = rolling_range(df, column, sizes, keys, ts, tie)
+        df = rolling_range(df, column, sizes, keys, ts, tie, limit)
     else:
         raise ValueError(f"unknown mode: {mode}")
     df = df.select("*", *calendar_parts(ts), season(ts).alias("season"))

@@ -16,12 +16,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from zephyra.plans.ordered import join_on
+from zephyra.plans.ordered import ROWS_PER_TASK
 
 HOUR = 3_600_000_000  # microseconds
 
 STATS = ("n", "mean", "m2", "lo", "hi")
+RESULTS = ("count", "mean", "std", "min", "max")
+
+
+def plain_keys(df: DataFrame, keys: list[str]) -> list[Column]:
+    """Each key as a value and a flag for NULL, so that plain joins, which keep a partitioning, match null keys too."""
+    made = []
+    for i, name in enumerate(keys):
+        kind = df.schema[name].dataType
+        column = F.col(name) if isinstance(kind, (T.StringType, T.NumericType)) else F.col(name).cast("string")
+        instead = F.lit(0) if isinstance(kind, T.NumericType) else F.lit("")
+        made += [F.coalesce(column, instead).alias(f"_k{i}"), F.col(name).isNull().alias(f"_z{i}")]
+    return made
+
+
+def key_names(keys: list[str]) -> list[str]:
+    return [f"_{kind}{i}" for i in range(len(keys)) for kind in "kz"]
 
 
 def _hour_parts(us: str) -> list[Column]:
@@ -47,28 +64,37 @@ def _hour_table(points: DataFrame, keys: list[str], back: list[int], lags: list[
         *[F.max(F.when(F.col("_back") == 0, F.col(c))).alias(c) for c in names]
     )
     by_hour = Window.partitionBy(*keys).orderBy("_hour")
-    columns = [*keys, "_hour", F.col("mean").alias("_center")]
+    columns = [*keys, "_hour", F.coalesce("mean", F.lit(0.0)).alias("_center")]
     if lags:
         before = by_hour.rowsBetween(Window.unboundedPreceding, -1)
         columns.append(F.last("last", ignorenulls=True).over(before).alias("_last_before"))
-    for n in windows:
-        full = by_hour.rangeBetween(1 - n, -1)
+    for w in windows:
+        full = by_hour.rangeBetween(1 - w, -1)
         columns += [
-            F.sum("n").over(full).alias(f"_full{n}_n"),
-            F.sum(F.col("n") * F.col("mean")).over(full).alias(f"_sum{n}"),
-            F.min("lo").over(full).alias(f"_full{n}_lo"),
-            F.max("hi").over(full).alias(f"_full{n}_hi"),
+            F.sum("n").over(full).alias(f"n{w}"),
+            F.sum(F.col("n") * F.col("mean")).over(full).alias(f"sum{w}"),
+            F.min("lo").over(full).alias(f"lo{w}"),
+            F.max("hi").over(full).alias(f"hi{w}"),
         ]
     if windows:
         piece = F.when(F.col("n") > 0, F.struct("_hour", "n", "mean", "m2"))
         columns.append(F.collect_list(piece).over(by_hour.rangeBetween(1 - max(windows), -1)).alias("_near"))
     table = table.select(*columns)
-    for n in windows:
-        table = table.withColumn(f"_full{n}_mean", F.try_divide(f"_sum{n}", f"_full{n}_n"))
+    for w in windows:
+        table = table.withColumn(f"mean{w}", F.try_divide(f"sum{w}", f"n{w}"))
     # squares about the mean of the frame, which is only known now: a pass over the (at most 23) hours
-    for n in windows:
-        table = table.withColumn(f"_full{n}_m2", _spread("_near", F.col("_hour") - n, F.col(f"_full{n}_mean")))
-    return table.drop("_near", *[f"_sum{n}" for n in windows])
+    full = [
+        F.struct(
+            F.col(f"n{w}").alias("n"),
+            F.col(f"mean{w}").alias("mean"),
+            _spread("_near", F.col("_hour") - w, F.col(f"mean{w}")).alias("m2"),
+            F.col(f"lo{w}").alias("lo"),
+            F.col(f"hi{w}").alias("hi"),
+        ).alias(f"full{w}")
+        for w in windows
+    ]
+    kept = [*keys, "_hour", "_center", *(["_last_before"] if lags else [])]
+    return table.select(*kept, *([F.struct(*full).alias("_full")] if windows else []))
 
 
 def _spread(hours: str, after: Column, mean: Column) -> Column:
@@ -92,8 +118,8 @@ def trailing(
 ) -> DataFrame:
     """Lags and trailing statistics for every distinct ``(keys, ts)`` of ``df``.
 
-    Columns: the keys, ``ts``, ``lag_<n>`` for each lag (the value of the latest row at or before ``ts - n`` hours, the
-    highest ``tie`` among rows of one instant) and ``count_<n>, mean_<n>, std_<n>, min_<n>, max_<n>`` for each window.
+    Columns: those of :func:`plain_keys`, ``_us`` (the instant in microseconds), ``lag_<n>`` for each lag (the value of
+    the latest row at or before ``ts - n`` hours, the highest ``tie`` among rows of one instant) and ``count_<n>, mean_<n>, std_<n>, min_<n>, max_<n>`` for each window.
     Null values are skipped. ``closed`` says which ends of the frame belong to it: ``neither``, ``both`` or ``right``.
     """
     if closed not in ("neither", "both", "right"):
@@ -105,11 +131,12 @@ def trailing(
     if not back:
         raise ValueError("give lags or windows")
     points = df.where(F.col(ts).isNotNull()).select(
-        *keys,
+        *plain_keys(df, keys),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"),
         F.col(value).cast("double").alias("_value"),
         F.col(tie).alias("_tie"),
     )
+    keys = key_names(keys)
     points = points.select("*", *_hour_parts("_us"))
     instants = points.groupBy(*keys, "_hour", "_off", "_us").agg(
         F.count("_value").alias("n"),
@@ -120,11 +147,8 @@ def trailing(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_tie"))).alias("last"),
     )
     # every instant stands in its own hour, and as a question in the hours that its frames start in
-    asked = instants.select(
-        *keys, "_us", "_off", "_hour", *STATS, "last", F.explode(F.array(*map(F.lit, [0, *back]))).alias("_back")
-    )
     is_own = F.col("_back") == 0
-    asked = asked.select(
+    asked = instants.select("*", F.explode(F.array(*map(F.lit, [0, *back]))).alias("_back")).select(
         *keys,
         "_us",
         "_off",
@@ -132,83 +156,110 @@ def trailing(
         (F.col("_hour") - F.col("_back")).alias("_hour"),
         *[F.when(is_own, F.col(c)).alias(c) for c in (*STATS, "last")],
     )
-    rows = join_on(asked, _hour_table(points, keys, back, lags, windows), [*keys, "_hour"])
-    # sums about the mean of the hour, so that little cancels
-    shift = F.col("mean") - F.coalesce("_center", F.lit(0.0))
-    rows = rows.withColumn("_s1", F.col("n") * shift).withColumn("_s2", F.col("m2") + F.col("n") * shift * shift)
-
+    rows = asked.join(_hour_table(points, keys, back, lags, windows), [*keys, "_hour"])
     cell = Window.partitionBy(*keys, "_hour")
     upward = cell.orderBy("_off", "_back")
-    if closed == "neither":
-        seen = upward.rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        seen = upward.rowsBetween(Window.unboundedPreceding, 0)
-    own_first = closed == "both"
-    downward = cell.orderBy(F.col("_off").desc(), F.col("_back") if own_first else F.col("_back").desc())
-    later = downward.rowsBetween(Window.unboundedPreceding, 0)
-
-    def sides(fn, column: str) -> Column:
-        return F.when(is_own, fn(column).over(seen)).otherwise(fn(column).over(later))
-
     made = [*keys, "_us", "_back"]
     if windows:
-        made += [
-            "_center",
-            sides(F.sum, "n").alias("e_n"),
-            sides(F.sum, "_s1").alias("e_s1"),
-            sides(F.sum, "_s2").alias("e_s2"),
-            sides(F.min, "lo").alias("e_lo"),
-            sides(F.max, "hi").alias("e_hi"),
-            *[f"_full{n}_{s}" for n in windows for s in STATS],
-        ]
+        # sums about the mean of the hour, so that little cancels
+        shift = F.col("mean") - F.col("_center")
+        rows = rows.withColumn("s1", F.col("n") * shift).withColumn("s2", F.col("m2") + F.col("n") * shift * shift)
+        seen = upward.rowsBetween(Window.unboundedPreceding, -1 if closed == "neither" else 0)
+        own_first = F.col("_back") if closed == "both" else F.col("_back").desc()
+        later = cell.orderBy(F.col("_off").desc(), own_first).rowsBetween(Window.unboundedPreceding, 0)
+
+        def edge(fn, column: str) -> Column:
+            return F.when(is_own, fn(column).over(seen)).otherwise(fn(column).over(later)).alias(f"e_{column}")
+
+        made += ["_center", F.when(is_own, F.col("_full")).alias("_full")]
+        made += [edge(F.sum, "n"), edge(F.sum, "s1"), edge(F.sum, "s2"), edge(F.min, "lo"), edge(F.max, "hi")]
     if lags:
         at_or_before = upward.rowsBetween(Window.unboundedPreceding, 0)
         made.append(F.coalesce(F.last("last", ignorenulls=True).over(at_or_before), "_last_before").alias("_asof"))
-    rows = rows.select(*made)
-    if windows:
-        step = F.try_divide(F.col("e_s1"), F.col("e_n"))
-        rows = rows.select(
-            *[c for c in rows.columns if c not in ("_center", "e_s1", "e_s2")],
-            (F.coalesce("_center", F.lit(0.0)) + step).alias("e_mean"),
-            F.greatest(F.col("e_s2") - F.col("e_s1") * step, F.lit(0.0)).alias("e_m2"),
-        )
+    # bring the answers of an instant together; narrow rows travel, and they are put side by side afterwards
+    rows = rows.select(*made).repartition(*keys, "_us")
 
-    def of(back_: int, column: str) -> Column:
-        return F.max(F.when(F.col("_back") == back_, F.col(column)))
+    def of(hours: int, column: str) -> Column:
+        return F.max(F.when(F.col("_back") == hours, F.col(column)))
 
-    parts = [of(n, "_asof").alias(f"lag_{n}") for n in lags]
-    for n in windows:
+    parts = [of(w, "_asof").alias(f"lag_{w}") for w in lags]
+    if windows:
+        step = F.try_divide(F.col("e_s1"), F.col("e_n"))
+        rows = rows.withColumn("e_mean", F.col("_center") + step)
+        rows = rows.withColumn("e_m2", F.greatest(F.col("e_s2") - F.col("e_s1") * step, F.lit(0.0)))
         for s in STATS:
-            parts += [of(n, f"e_{s}").alias(f"tail{n}_{s}"), of(0, f"_full{n}_{s}").alias(f"full{n}_{s}")]
-    parts += [of(0, f"e_{s}").alias(f"head_{s}") for s in STATS] if windows else []
+            parts.append(of(0, f"e_{s}").alias(f"head_{s}"))
+            parts += [of(w, f"e_{s}").alias(f"tail{w}_{s}") for w in windows]
+            parts += [of(0, f"_full.full{w}.{s}").alias(f"full{w}_{s}") for w in windows]
     found = rows.groupBy(*keys, "_us").agg(*parts)
-    out = [*keys, F.timestamp_micros("_us").alias(ts), *[f"lag_{n}" for n in lags]]
-    for n in windows:
-        out += _merged(n, [f"tail{n}", f"full{n}", "head"], std)
-    return found.select(*out)
-
-
-def _merged(n: int, pieces: list[str], std: str) -> list[Column]:
-    """Put up to three pieces together with plain arithmetic."""
-
-    def field(piece: str, s: str) -> Column:
-        return F.coalesce(F.col(f"{piece}_{s}"), F.lit(0.0 if s != "n" else 0))
-
-    count = sum((field(p, "n") for p in pieces[1:]), field(pieces[0], "n"))
-    total = sum((field(p, "n") * field(p, "mean") for p in pieces[1:]), field(pieces[0], "n") * field(pieces[0], "mean"))
-    mean = F.try_divide(total, count)
-    spread = F.lit(0.0)
-    for p in pieces:
-        gap = field(p, "mean") - mean
-        spread = spread + field(p, "m2") + field(p, "n") * gap * gap
-    low = F.least(*[F.col(f"{p}_lo") for p in pieces])
-    high = F.greatest(*[F.col(f"{p}_hi") for p in pieces])
-    by = count if std == "pop" else F.when(count > 1, count - 1)
-    deviation = F.when(by > 0, F.when(low == high, 0.0).otherwise(F.sqrt(F.try_divide(spread, by))))
-    return [
-        count.alias(f"count_{n}"),
-        mean.alias(f"mean_{n}"),
-        deviation.alias(f"std_{n}"),
-        low.alias(f"min_{n}"),
-        high.alias(f"max_{n}"),
-    ]
+    return _merged(found, keys, windows, std)
+
+
+def _merged(found: DataFrame, keys: list[str], windows: list[int], std: str) -> DataFrame:
+    """Put the three pieces of every window together: counts and means first, then the squares about the mean."""
+
+    def fields(w: int, s: str) -> list[Column]:
+        return [F.col(f"tail{w}_{s}"), F.col(f"full{w}_{s}"), F.col(f"head_{s}")]
+
+    def known(w: int, s: str) -> list[Column]:
+        return [F.coalesce(c, F.lit(0)) if s == "n" else F.coalesce(c, F.lit(0.0)) for c in fields(w, s)]
+
+    def add(parts: list[Column]) -> Column:
+        return sum(parts[1:], parts[0])
+
+    for w in windows:
+        found = found.withColumn(f"count_{w}", add(known(w, "n")))
+    means = {}
+    for w in windows:
+        total = add([n * m for n, m in zip(known(w, "n"), known(w, "mean"))])
+        means |= {
+            f"mean_{w}": F.try_divide(total, f"count_{w}"),
+            f"min_{w}": F.least(*fields(w, "lo")),
+            f"max_{w}": F.greatest(*fields(w, "hi")),
+        }
+    found = found.withColumns(means) if windows else found
+    for w in windows:
+        count = F.col(f"count_{w}")
+        gaps = [m - F.col(f"mean_{w}") for m in known(w, "mean")]
+        spread = add([m2 + n * g * g for m2, n, g in zip(known(w, "m2"), known(w, "n"), gaps)])
+        by = count if std == "pop" else count - 1
+        deviation = F.when(F.col(f"min_{w}") == F.col(f"max_{w}"), 0.0).otherwise(F.sqrt(spread / by))
+        found = found.withColumn(f"std_{w}", F.when(by > 0, deviation))
+    lags = [c for c in found.columns if c.startswith("lag_")]
+    return found.select(*keys, "_us", *lags, *[f"{s}_{w}" for w in windows for s in RESULTS])
+
+
+def add_trailing(
+    df: DataFrame, keys: list[str], ts: str, tie: str, answers: DataFrame, *columns: Column, limit: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Give every row of ``df`` the ``columns`` of its instant, from the ``answers`` of :func:`trailing`.
+
+    The answers are partitioned by key and instant already, so only ``df`` is shuffled. Instants with more than
+    ``limit`` rows are spread over several tasks.
+    """
+    asked = df.select("*", *plain_keys(df, keys), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    on = [*key_names(keys), "_us"]
+    found = answers.select(*on, *columns)
+    names = found.columns[len(on) :]
+    crowded = _crowded(asked, on, limit)
+    if crowded is None:
+        return asked.join(found, on, "left").select(*df.columns, *names)
+    # at most (rows of the table / limit) instants are crowded, so their list may be broadcast
+    share = F.pmod(F.xxhash64(tie), F.coalesce("_copies", F.lit(1)))
+    asked = asked.join(F.broadcast(crowded), on, "left").withColumn("_share", share)
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", F.lit(1).cast("long")) - 1)
+    found = found.join(F.broadcast(crowded), on, "left").select(*on, *names, F.explode(copies).alias("_share"))
+    return asked.join(found, [*on, "_share"], "left").select(*df.columns, *names)
+
+
+def _crowded(rows: DataFrame, on: list[str], limit: int) -> DataFrame | None:
+    """The instants with more than ``limit`` rows and the number of tasks they need, or None.
+
+    Hours are counted first: that shuffles one row per hour, and mostly shows that there are none.
+    """
+    hour = F.expr(f"_us - pmod(_us, {HOUR}L)")
+    if rows.groupBy(*on[:-1], hour.alias("_h")).count().where(F.col("count") > limit).isEmpty():
+        return None
+    crowded = rows.groupBy(*on).count().where(F.col("count") > limit)
+    crowded = crowded.select(*on, F.ceil(F.col("count") / limit).alias("_copies"))
+    return None if crowded.isEmpty() else crowded

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from zephyra.functions.columns import long_rows
 from zephyra.plans.ordered import join_on
+from zephyra.plans.tables import write_out
 
 VALUES_PER_AGGREGATE = 20_000_000
 BINS = 4096
+BROADCAST_ROWS = 1_000_000
 
 
 def quantiles(
@@ -48,6 +50,13 @@ def _bin(low: str, high: str):
     return F.coalesce(F.least(place, F.lit(BINS - 1)), F.lit(0))
 
 
+def _small(bounds: DataFrame) -> DataFrame:
+    """Bounds, a row per column and key: broadcast when they are few. Otherwise they come from a written table, so that
+    Spark may split a large key in the join."""
+    written = write_out(bounds)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def _by_bins(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
     group = [*keys, "feature"]
     values = long_rows(df, columns, *keys).where("value is not null")
@@ -59,7 +68,7 @@ def _by_bins(df: DataFrame, columns: list[str], probabilities: list[float], keys
 
     def narrow(values: DataFrame, bounds: DataFrame, ranks: DataFrame, names: list[str]):
         """Keep the values of the bins with a wanted rank; ranks then count from the start of their bin."""
-        binned = join_on(values, bounds, names, "inner").withColumn("bin", _bin("low", "high"))
+        binned = join_on(values, _small(bounds), names, "inner").withColumn("bin", _bin("low", "high"))
         counts = binned.groupBy(*names, "bin").agg(
             F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
         )
@@ -69,6 +78,7 @@ def _by_bins(df: DataFrame, columns: list[str], probabilities: list[float], keys
         hits = join_on(ranks, starts, names, "inner").where(inside)
         hits = hits.withColumn("rank", F.col("rank") - F.col("start"))
         kept = hits.select(*names, "bin", F.col("lo").alias("low"), F.col("hi").alias("high")).distinct()
+        kept = _small(kept)
         values = join_on(binned.drop("low", "high"), kept, [*names, "bin"], "inner").drop("low", "high")
         return values, kept, hits.drop("start", "n", "lo", "hi")
 
