@@ -11,9 +11,11 @@ from zephyra.functions.bands import category, category_attribute, prediction_adv
 from zephyra.functions.columns import need_columns
 from zephyra.functions.rounding import fixed_text
 from zephyra.functions.spacing import exits, passing
-from zephyra.plans.ordered import ROWS_PER_TASK, chunk_rows, join_on
+from zephyra.plans.ordered import chunk_rows, join_on
 from zephyra.schemas import ALERT_WINDOW_HOURS, PREDICTION_THRESHOLD
 
+INSTANTS_PER_TASK = 500_000  # of one key, as numbers in a Python worker
+
 
 def alert_id() -> Column:
     """The same alert gets the same id on every run."""
@@ -104,7 +106,7 @@ def suppress_repeats(
     hours: int = ALERT_WINDOW_HOURS,
     include_type: bool = False,
     tie: str = "seq",
-    limit: int = ROWS_PER_TASK,
+    limit: int = INSTANTS_PER_TASK,
 ) -> DataFrame:
     """The alerts that are sent: the first of its ``(city, level)``, then each one at least ``hours`` after the last
     one *sent*. Suppressed alerts do not restart the clock. Of several at one instant the lowest ``tie`` counts.
@@ -119,16 +121,16 @@ def suppress_repeats(
     keys = ["city", "level", *(["alert_type"] if include_type else [])]
     stamped = alerts.withColumn("_us", F.unix_micros(F.col("timestamp").cast("timestamp")))
     instants = stamped.groupBy(*keys, "_us").agg(F.min(tie).alias(tie))
-    sent = _sent(instants, keys, window, limit)
+    sent = _sent(instants, keys, window, limit, alerts)
     same = F.lit(True)
     for name in (*keys, "_us", tie):
         same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"s.{name}"))
     return stamped.alias("a").join(sent.alias("s"), same, "left_semi").drop("_us")
 
 
-def _sent(instants: DataFrame, keys: list[str], window: int, limit: int) -> DataFrame:
+def _sent(instants: DataFrame, keys: list[str], window: int, limit: int, bound: DataFrame) -> DataFrame:
     columns = instants.columns
-    chunks = chunk_rows(instants, keys, ["_us"], limit)
+    chunks = chunk_rows(instants, keys, ["_us"], limit, bound)
     if chunks is None:
         marked = instants.withColumn("_last", F.lit(None).cast("long"))
         group = keys
@@ -201,7 +203,7 @@ def alert_flow(
     threshold: float = PREDICTION_THRESHOLD,
     hours: int = ALERT_WINDOW_HOURS,
     mode: str = "strict",
-    limit: int = ROWS_PER_TASK,
+    limit: int = INSTANTS_PER_TASK,
 ) -> DataFrame:
     """Readings with predictions to sent alerts: rule and model alerts, then repeats suppressed across both.
 

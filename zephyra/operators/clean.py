@@ -72,6 +72,7 @@ def mark_out_of_order(
     ts: str = "timestamp",
     mode: str = "running",
     limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``late``: the row is earlier than what arrived before it for its key.
 
@@ -79,9 +80,9 @@ def mark_out_of_order(
     """
     keys = list(keys)
     if mode == "previous":
-        df = row_windows(df, keys, [order], lambda w: [F.lag(ts).over(w).alias("_earlier")], 1, limit)
+        df = row_windows(df, keys, [order], lambda w: [F.lag(ts).over(w).alias("_earlier")], 1, limit, bound)
     elif mode == "running":
-        df = running_max_before(df, keys, [order], ts, "_earlier", limit)
+        df = running_max_before(df, keys, [order], ts, "_earlier", limit, bound)
     else:
         raise ValueError(f"unknown mode: {mode}")
     return df.withColumn("late", F.coalesce(F.col(ts) < F.col("_earlier"), F.lit(False))).drop("_earlier")
@@ -104,10 +105,11 @@ def quality_flags(
 ) -> DataFrame:
     """Add ``quality_flags``, an array of ``missing, out_of_range, duplicate, out_of_order``; empty for a good row."""
     keys = keys or natural_key(df)
+    rows = df
     # joined on the order as well: a key with very many copies is spread by it
     first = df.groupBy(*keys).agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
     df = join_on(df, first, list(dict.fromkeys([*keys, order])))
-    df = mark_out_of_order(df, order=order, limit=limit)
+    df = mark_out_of_order(df, order=order, limit=limit, bound=rows)
     flags = [
         F.when(_missing(), "missing"),
         F.when(~F.col("aqi").between(AQI_MIN, AQI_MAX), "out_of_range"),
@@ -122,7 +124,7 @@ def clean(
 ) -> DataFrame:
     """Bronze to silver: de-duplicate, drop incomplete rows, filter the range, reject late rows, add empty flags."""
     kept = filter_range(drop_missing_critical(deduplicate(df, keys, order)))
-    kept = reject_out_of_order(kept, order=order, limit=limit)
+    kept = reject_out_of_order(kept, order=order, limit=limit, bound=df)
     return kept.withColumn("quality_flags", F.array().cast("array<string>"))
 
 
@@ -138,7 +140,7 @@ def rejection_counts(
     first = first.withColumn("reason", reason)
     # rows that are gone already must not move the running maximum
     seen = F.when(F.col("reason").isNull(), F.col("timestamp"))
-    marked = running_max_before(first.withColumn("_seen", seen), ["city"], [order], "_seen", "_earlier", limit)
+    marked = running_max_before(first.withColumn("_seen", seen), ["city"], [order], "_seen", "_earlier", limit, df)
     late = F.col("reason").isNull() & (F.col("timestamp") < F.col("_earlier"))
     marked = marked.withColumn("reason", F.when(late, "out_of_order").otherwise(F.coalesce("reason", F.lit("valid"))))
     return copies.unionByName(marked.groupBy("reason").agg(F.count("*").alias("records")))

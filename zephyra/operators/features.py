@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from zephyra.functions.calendar import calendar_parts, season
 from zephyra.functions.columns import numeric_columns
 from zephyra.plans.hours import add_trailing, trailing
-from zephyra.plans.ordered import ROWS_PER_TASK, fill_forward_then_back, row_windows
+from zephyra.plans.ordered import (
+    ROWS_PER_TASK,
+    chunk_rows,
+    chunk_windows,
+    fill_chunks,
+    fill_forward_then_back,
+    row_windows,
+)
 from zephyra.schemas import LAG_OFFSETS, POLLUTANTS, ROLLING_WINDOWS, STREAMING_WINDOW_HOURS
 
 
@@ -41,10 +48,11 @@ def lag_rows(
     ts: str = "timestamp",
     tie: str | None = "seq",
     limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<column>_lag_<n>h``: the value ``n`` rows before."""
     make = lambda w: _lags(w, column, offsets)
-    return row_windows(df, list(keys), _order(df, ts, tie), make, max(offsets), limit)
+    return row_windows(df, list(keys), _order(df, ts, tie), make, max(offsets), limit, bound)
 
 
 def rolling_rows(
@@ -55,10 +63,11 @@ def rolling_rows(
     ts: str = "timestamp",
     tie: str | None = "seq",
     limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add mean, sample deviation, minimum and maximum over the last ``n`` rows with the current one."""
     make = lambda w: _rolling(w, column, sizes)
-    return row_windows(df, list(keys), _order(df, ts, tie), make, max(sizes) - 1, limit)
+    return row_windows(df, list(keys), _order(df, ts, tie), make, max(sizes) - 1, limit, bound)
 
 
 def _with_trailing(df, keys, ts, column, tie, lags, sizes, closed, std, limit) -> DataFrame:
@@ -164,6 +173,7 @@ def prior_features(
     ts: str = "timestamp",
     tie: str | None = "seq",
     limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Features of a row that know only the rows before it: row lags, statistics over the ``n`` rows up to the previous
     one, calendar. A model on them can forecast."""
@@ -180,7 +190,7 @@ def prior_features(
             ]
         return made
 
-    made = row_windows(df, list(keys), _order(df, ts, tie), make, max([*offsets, *sizes]), limit)
+    made = row_windows(df, list(keys), _order(df, ts, tie), make, max([*offsets, *sizes]), limit, bound)
     return made.select("*", *calendar_parts(ts), season(ts).alias("season"))
 
 
@@ -196,6 +206,7 @@ def fill_missing(
     ts: str = "timestamp",
     tie: str | None = "seq",
     limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Per key: last known value, before the first one that value, and 0 for numbers of a key without any.
 
@@ -203,9 +214,14 @@ def fill_missing(
     earlier ones, so it has to be asked for.
     """
     columns = columns or source_columns(df)
+    return fill_forward_then_back(
+        df, list(keys), _order(df, ts, tie), columns, _zero(df, columns), limit, bound
+    )
+
+
+def _zero(df: DataFrame, columns: list[str]) -> dict[str, object]:
     numeric = set(numeric_columns(df))
-    default = {c: 0.0 for c in columns if c in numeric}
-    return fill_forward_then_back(df, list(keys), _order(df, ts, tie), columns, default, limit)
+    return {c: 0.0 for c in columns if c in numeric}
 
 
 def build_gold(
@@ -219,21 +235,34 @@ def build_gold(
     mode: str = "rows",
     fill: bool = True,
     limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Silver to gold: lags, rolling statistics, calendar, season, then gaps of the measured columns filled.
 
     ``mode="rows"`` counts rows and ``mode="range"`` counts hours (row lags stay row lags). Features see the values
     before filling.
     """
-    keys = list(keys)
-    order = _order(df, ts, tie)
-    if mode == "rows":
-        make = lambda w: _lags(w, column, offsets) + _rolling(w, column, sizes)
-        df = row_windows(df, keys, order, make, max([*offsets, *[n - 1 for n in sizes]]), limit)
-    elif mode == "range":
-        df = row_windows(df, keys, order, lambda w: _lags(w, column, offsets), max(offsets), limit)
-        df = rolling_range(df, column, sizes, keys, ts, tie, limit)
-    else:
+    if mode not in ("rows", "range"):
         raise ValueError(f"unknown mode: {mode}")
-    df = df.select("*", *calendar_parts(ts), season(ts).alias("season"))
-    return fill_missing(df, None, keys, ts, tie, limit) if fill else df
+    keys, order = list(keys), _order(df, ts, tie)
+    reach = max(offsets) if mode == "range" else max([*offsets, *[n - 1 for n in sizes]])
+    limit = max(limit, reach)
+    calendar = [*calendar_parts(ts), season(ts).alias("season")]
+    columns = source_columns(df)
+
+    def make(window: WindowSpec) -> list[Column]:
+        return _lags(window, column, offsets) + (_rolling(window, column, sizes) if mode == "rows" else [])
+
+    chunks = chunk_rows(df, keys, order, limit, bound)
+    if chunks is None:
+        made = df.select("*", *make(Window.partitionBy(*keys).orderBy(*order)))
+    else:  # one cut of the table serves the windows and the filling
+        made = chunk_windows(chunks, keys, make, reach, limit)
+    if mode == "range":
+        made = rolling_range(made, column, sizes, keys, ts, tie, limit)
+    made = made.select("*", *calendar)
+    if not fill:
+        return made.drop("_row", "_chunk")
+    if chunks is None:  # the size of the keys is known by now
+        return fill_forward_then_back(made, keys, order, columns, _zero(df, columns), limit=None)
+    return fill_chunks(made, chunks, keys, columns, _zero(df, columns)).drop("_row", "_chunk")

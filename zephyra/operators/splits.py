@@ -26,12 +26,12 @@ def _share(n_splits: int, test_size: float | None) -> float:
 class _Cuts:
     """Positions in time order, and a condition for "lies before this position"."""
 
-    def __init__(self, df: DataFrame, order: list[str], positions: list[int], mode: str, limit: int):
+    def __init__(self, df: DataFrame, order: list[str], positions: list[int], mode: str, limit: int, total: int):
         if mode not in ("rows", "time"):
             raise ValueError(f"unknown mode: {mode}")
         self.columns = [_sortable(df, name).alias(f"_o{i}") for i, name in enumerate(order)]
         names = [f"_o{i}" for i in range(len(order))]
-        found = rows_at(df.select(*self.columns), names, sorted(set(positions)), limit).collect()
+        found = rows_at(df.select(*self.columns), names, sorted(set(positions)), limit, total).collect()
         self.rows = {row["_row"]: [row[name] for name in names] for row in found}
         self.columns = [_sortable(df, name) for name in (order if mode == "rows" else order[:1])]
 
@@ -70,7 +70,7 @@ def expanding_folds(
     size = total // (n_splits + 1)
     if size < 1:
         raise ValueError(f"{total} rows are not enough for {n_splits} splits")
-    cuts = _Cuts(df, [ts, tie], [size * i for i in range(1, n_splits + 2)], mode, limit)
+    cuts = _Cuts(df, [ts, tie], [size * i for i in range(1, n_splits + 2)], mode, limit, total)
     entries = []
     for fold in range(1, n_splits + 1):
         role = F.when(cuts.before(size * fold), "train").when(cuts.before(size * (fold + 1)), "test")
@@ -93,7 +93,7 @@ def holdout_split(
     if total == 0:
         raise ValueError("the table is empty")
     point = int(total * (1 - share))
-    cuts = _Cuts(df, [ts, tie], [point], mode, limit)
+    cuts = _Cuts(df, [ts, tie], [point], mode, limit, total)
     return df.withColumn("role", F.when(cuts.before(point), "train").otherwise("test"))
 
 

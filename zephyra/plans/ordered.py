@@ -5,7 +5,7 @@ small, and the wrong one when a single city holds a third of the table. Each fun
 key (one narrow, pre-aggregated job). While the largest key is within ``limit`` the plain window is used. Beyond it
 the rows are range-partitioned by key and order, which splits a large key at will, written out once, and numbered
 from the partition counts. The windows then run inside chunks of ``limit`` rows, each with what it needs from the
-chunks before: the last few rows (``row_windows``) or a summary (``chunk_carry``).
+chunks before: the last few rows (``chunk_windows``) or a summary (``chunk_carry``).
 """
 
 from __future__ import annotations
@@ -59,8 +59,16 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], partitions: in
     return numbered.withColumn("_row", F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift")
 
 
-def chunk_rows(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame | None:
-    """``df`` with ``_row`` and ``_chunk`` (``limit`` rows each), or None while no key exceeds ``limit``."""
+def chunk_rows(
+    df: DataFrame, keys: list[str], order: list[str], limit: int, bound: DataFrame | None = None
+) -> DataFrame | None:
+    """``df`` with ``_row`` and ``_chunk`` (``limit`` rows each), or None while no key exceeds ``limit``.
+
+    ``bound`` is a table that is cheaper to count and holds at least the rows of ``df``, such as the input of the steps
+    that lead to ``df``.
+    """
+    if bound is not None and largest_key(bound, keys)[0] <= limit:
+        return None
     top, total = largest_key(df, keys)
     if top <= limit:
         return None
@@ -76,12 +84,20 @@ def row_windows(
     make: Callable[[WindowSpec], list[Column]],
     reach: int,
     limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add the columns of ``make(window)``, whose frames look at most ``reach`` rows back and none ahead."""
     limit = max(limit, reach)
-    chunks = chunk_rows(df, keys, order, limit)
+    chunks = chunk_rows(df, keys, order, limit, bound)
     if chunks is None:
         return df.select("*", *make(Window.partitionBy(*keys).orderBy(*order)))
+    return chunk_windows(chunks, keys, make, reach, limit).drop("_row", "_chunk")
+
+
+def chunk_windows(
+    chunks: DataFrame, keys: list[str], make: Callable[[WindowSpec], list[Column]], reach: int, limit: int
+) -> DataFrame:
+    """The same inside chunks: the last ``reach`` rows of a chunk are copied to the next one, and dropped after."""
 
     def copy(at: Column, own: bool) -> Column:
         return F.struct(at.alias("_at"), F.lit(own).alias("_own"))
@@ -92,7 +108,7 @@ def row_windows(
     ).otherwise(F.array(here))
     window = Window.partitionBy(*keys, "_at").orderBy("_row")
     made = chunks.select("*", F.inline(copies)).select("*", *make(window))
-    return made.where("_own").drop("_row", "_chunk", "_at", "_own")
+    return made.where("_own").drop("_at", "_own")
 
 
 def chunk_carry(chunks: DataFrame, keys: list[str], parts: list[Column], merge: Callable) -> DataFrame:
@@ -109,10 +125,16 @@ def chunk_carry(chunks: DataFrame, keys: list[str], parts: list[Column], merge:
 
 
 def running_max_before(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, limit: int = ROWS_PER_TASK
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: str,
+    name: str,
+    limit: int = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add the largest ``value`` among the earlier rows of the key."""
-    chunks = chunk_rows(df, keys, order, limit)
+    chunks = chunk_rows(df, keys, order, limit, bound)
     if chunks is None:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.max(value).over(window))
@@ -131,56 +153,66 @@ def fill_forward_then_back(
     order: list[str],
     columns: list[str],
     default: dict[str, object],
-    limit: int = ROWS_PER_TASK,
+    limit: int | None = ROWS_PER_TASK,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Replace nulls by the last known value, before the first known value by that, and else by ``default``.
 
     After the forward step only the rows before the first known value are empty, and the backward step gives all of
-    them that one value, so no backward frame is needed.
+    them that one value, so no backward frame is needed. ``limit=None`` says that no key is large.
     """
+    chunks = None if limit is None else chunk_rows(df, keys, order, limit, bound)
+    if chunks is not None:
+        return fill_chunks(chunks, chunks, keys, columns, default).select(*df.columns)
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = {
+        c: [F.last(c, ignorenulls=True).over(so_far), F.first(c, ignorenulls=True).over(whole)] for c in columns
+    }
+    return _filled(df, found, default)
 
-    def filled(c: str, *choices: Column) -> Column:
-        choices = (*choices, F.lit(default[c])) if c in default else choices
-        return F.coalesce(*choices).alias(c)
-
-    others = [F.col(c) for c in df.columns if c not in columns]
-    chunks = chunk_rows(df, keys, order, limit)
-    if chunks is None:
-        ordered = Window.partitionBy(*keys).orderBy(*order)
-        so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        made = [
-            filled(c, F.last(c, ignorenulls=True).over(so_far), F.first(c, ignorenulls=True).over(whole))
-            for c in columns
-        ]
-        return df.select(*others, *made).select(*df.columns)
 
+def fill_chunks(
+    rows: DataFrame, chunks: DataFrame, keys: list[str], columns: list[str], default: dict[str, object]
+) -> DataFrame:
+    """The same inside chunks. ``rows`` are the chunks, possibly with more columns."""
     known = {c: F.when(F.col(c).isNotNull(), F.col("_row")) for c in columns}
     parts = [F.max_by(c, known[c]).alias(f"_last_{c}") for c in columns]
     parts += [F.min_by(c, known[c]).alias(f"_first_{c}") for c in columns]
-    carried = chunk_carry(
-        chunks,
-        keys,
-        parts,
-        lambda before, whole: [F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in columns]
-        + [F.first(f"_first_{c}", ignorenulls=True).over(whole).alias(f"_whole_{c}") for c in columns],
-    )
-    rows = join_on(chunks, carried, [*keys, "_chunk"])
+
+    def merge(before: WindowSpec, whole: WindowSpec) -> list[Column]:
+        return [F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in columns] + [
+            F.first(f"_first_{c}", ignorenulls=True).over(whole).alias(f"_whole_{c}") for c in columns
+        ]
+
+    joined = join_on(rows, chunk_carry(chunks, keys, parts, merge), [*keys, "_chunk"])
     so_far = Window.partitionBy(*keys, "_chunk").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    made = [
-        filled(c, F.last(c, ignorenulls=True).over(so_far), F.col(f"_before_{c}"), F.col(f"_whole_{c}"))
-        for c in columns
-    ]
-    return rows.select(*others, *made).select(*df.columns)
+    found = {
+        c: [F.last(c, ignorenulls=True).over(so_far), F.col(f"_before_{c}"), F.col(f"_whole_{c}")] for c in columns
+    }
+    return _filled(joined, found, default).select(*rows.columns)
+
 
+def _filled(df: DataFrame, found: dict[str, list[Column]], default: dict[str, object]) -> DataFrame:
+    def column(c: str) -> Column:
+        if c not in found:
+            return F.col(c)
+        last_resort = [F.lit(default[c])] if c in default else []
+        return F.coalesce(*found[c], *last_resort).alias(c)
 
-def rows_at(df: DataFrame, order: list[str], positions: list[int], limit: int = ROWS_PER_TASK) -> DataFrame:
+    return df.select(*map(column, df.columns))
+
+
+def rows_at(
+    df: DataFrame, order: list[str], positions: list[int], limit: int = ROWS_PER_TASK, total: int | None = None
+) -> DataFrame:
     """The ``order`` values at the given positions of the whole table, as ``_row`` and the order columns.
 
     Only the order columns are read and sorted. The answer has one row per position.
     """
     narrow = df.select(*order)
-    total = narrow.count()
+    total = narrow.count() if total is None else total
     if total <= limit:
         numbered = narrow.withColumn("_row", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     else:

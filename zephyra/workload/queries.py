@@ -388,7 +388,7 @@ def pipeline_metrics(spark, folder):
     with metrics.stage("silver_transform"):
         counts = {row["reason"]: row["records"] for row in clean.rejection_counts(rows).collect()}
     with metrics.stage("gold_transform"):
-        gold = features.build_gold(clean.clean(rows)).agg(F.count("*").alias("n"), F.count("season").alias("s")).first()
+        gold = features.build_gold(clean.clean(rows), bound=rows).agg(F.count("*").alias("n"), F.count("season").alias("s")).first()
     with metrics.stage("quality"):
         score = quality.quality_score(rows).first()
     metrics.values.update(
@@ -478,14 +478,16 @@ def fill_missing(spark, folder):
 
 @query
 def build_gold(spark, folder):
-    silver = clean.clean(hourly(readings(spark, folder)), HOURLY)
-    return _feature_rows(features.build_gold(silver), ["aqi", "pm25", *FEATURES])
+    rows = readings(spark, folder)
+    silver = clean.clean(hourly(rows), HOURLY)
+    return _feature_rows(features.build_gold(silver, bound=rows), ["aqi", "pm25", *FEATURES])
 
 
 @query
 def build_gold_range(spark, folder):
-    silver = clean.clean(hourly(readings(spark, folder)), HOURLY)
-    return _feature_rows(features.build_gold(silver, mode="range"), ["aqi", "pm25", *FEATURES])
+    rows = readings(spark, folder)
+    silver = clean.clean(hourly(rows), HOURLY)
+    return _feature_rows(features.build_gold(silver, mode="range", bound=rows), ["aqi", "pm25", *FEATURES])
 
 
 @query
@@ -645,7 +647,8 @@ _trained: dict[tuple, models.Trained] = {}
 
 
 def _training_rows(spark, folder) -> DataFrame:
-    return features.prior_features(clean.clean(readings(spark, folder)))
+    rows = readings(spark, folder)
+    return features.prior_features(clean.clean(rows), bound=rows)
 
 
 def _model(spark, folder, kind: str) -> models.Trained:
@@ -974,7 +977,8 @@ def city_list(spark, folder):
 @query
 def table_fingerprint(spark, folder):
     """The gold table, fingerprinted twice with different partitioning."""
-    gold = features.build_gold(clean.clean(readings(spark, folder)))
+    rows = readings(spark, folder)
+    gold = features.build_gold(clean.clean(rows), bound=rows)
     gold = rounded(gold.drop("quality_flags"))
     first = serving.table_fingerprint(gold)
     second = serving.table_fingerprint(gold.repartition(7, "seq"))
