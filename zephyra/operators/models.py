@@ -19,6 +19,7 @@ from zephyra.operators.splits import expanding_folds
 from zephyra.plans.tables import write_out
 from zephyra.schemas import CALENDAR_FEATURES, CV_FOLDS, LAG_FEATURES, LAG_OFFSETS, ROLLING_FEATURES, ROLLING_WINDOWS
 
+ROWS_PER_TASK = (2_000, 2_000_000)  # of training data: while there are idle cores, and at most
 MODEL_FEATURES = LAG_FEATURES + ROLLING_FEATURES + CALENDAR_FEATURES
 
 # fixed values: default training parameters
@@ -71,11 +72,20 @@ def estimator(kind: str, parameters: dict | None = None):
 
 @contextmanager
 def _prepared(df: DataFrame, columns: list[str], target: str, *keep: str) -> Iterator[DataFrame]:
-    """Vector and label of the rows that have one. Kept for the many passes of a fit, spilling to disk."""
+    """Vector and label of the rows that have one.
+
+    A fit passes over its table hundreds of times, so the table is written out once (its windows do not run again, also
+    not when an executor is lost), and kept in as many partitions as its size asks for: every pass is a job, and small
+    tasks would cost more than their work.
+    """
     need_columns(df, target, *columns)
     labelled = assembled(df.where(F.col(target).isNotNull()), columns)
-    ready = labelled.select(*keep, "features", F.col(target).cast("double").alias("label"))
-    ready.persist(StorageLevel.MEMORY_AND_DISK)
+    written = write_out(labelled.select(*keep, "features", F.col(target).cast("double").alias("label")))
+    rows = written.count()
+    at_once = 3 * df.sparkSession.sparkContext.defaultParallelism
+    fewest, most = ROWS_PER_TASK
+    partitions = min(-(-rows // fewest), max(at_once, -(-rows // most)))
+    ready = written.repartition(max(1, partitions)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield ready
     finally:
