@@ -171,7 +171,8 @@ def trailing(
         def edge(fn, column: str) -> Column:
             return F.when(is_own, fn(column).over(seen)).otherwise(fn(column).over(later)).alias(f"e_{column}")
 
-        made += ["_center", F.when(is_own, F.col("_full")).alias("_full")]
+        rows = rows.withColumn("_full", F.when(is_own, F.col("_full")))  # the questions sort without it
+        made += ["_center", "_full"]
         made += [edge(F.sum, "n"), edge(F.sum, "s1"), edge(F.sum, "s2"), edge(F.min, "lo"), edge(F.max, "hi")]
     if lags:
         at_or_before = upward.rowsBetween(Window.unboundedPreceding, 0)
