@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import sharding
+from zephyra.llm import langid, sharding
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +29,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"))
+
+
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
