@@ -34,3 +34,39 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
   CAST(spot - (shard * total) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM cut
 """
+
+ORACLE["op7_decontamination"] = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+),
+sizes AS (SELECT *, least(13, len(words)) AS size FROM item_words WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT item, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM sizes)
+),
+lengths AS (SELECT DISTINCT size FROM windows),
+starts AS (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM doc_words, lengths WHERE len(words) >= size),
+found AS (
+  SELECT s.doc_id, s.i, s.size, w.item
+  FROM (SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS phrase FROM starts) s
+  JOIN windows w ON w.phrase = s.phrase AND w.size = s.size
+),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import langid, sharding
+from zephyra.llm import decontaminate, langid, sharding
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,9 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("span_starts", "span_ends")
