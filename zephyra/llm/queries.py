@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import decontaminate, langid, sharding
+from zephyra.llm import bpe, decontaminate, langid, sharding
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,9 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("span_starts", "span_ends")
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.encode(table(spark, folder, "documents"), path, pattern, with_ids=False)
