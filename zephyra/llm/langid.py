@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zephyra.llm.pieces import Matcher, distinct, load, spaced_words
+from zephyra.llm.pieces import Known, Matcher, distinct, load, spaced_words
 from zephyra.llm.texts import ranges, pieces as text_pieces, views
 from zephyra.plans.tables import write_out
 
@@ -24,6 +24,8 @@ from zephyra.plans.tables import write_out
 DOCUMENTS_PER_LANGUAGE = 4000
 ROUNDS = 3
 SMOOTHING = 0.1
+#: Text looked at together; all matches of pieces in its distinct words are in memory.
+PIECE = 1 << 20
 #: Probabilities are multiplied by this for every byte, so that products of many stay in range.
 _SCALE = 1000.0
 
@@ -89,14 +91,19 @@ class Model:
     def __init__(self, path: str, vocabulary: list[bytes], languages: list[str], theta: np.ndarray):
         self.path, self.vocabulary, self.languages, self.theta = path, vocabulary, languages, theta
 
-    def posteriors(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Texts x languages."""
+    def posteriors(self, data: np.ndarray, bounds: np.ndarray, known: Known) -> np.ndarray:
+        """Texts x languages. ``known`` keeps scores of words between calls."""
         match = matcher(self.path, self.vocabulary)
         spaced, starts, lengths, first = spaced_words(data, bounds)
         total = np.zeros((len(bounds) - 1, len(self.languages)))
         if len(starts):
-            place, inverse, _ = distinct(spaced, starts, lengths)
-            scores = word_scores(match, _scaled(self.theta, match), spaced, starts[place], lengths[place])
+            hashes, place, inverse, _ = distinct(spaced, starts, lengths)
+            theta = _scaled(self.theta, match)
+
+            def work(new: np.ndarray) -> np.ndarray:
+                return word_scores(match, theta, spaced, starts[place[new]], lengths[place[new]])
+
+            scores = known.of(hashes, work)
             full = np.flatnonzero(first[1:] > first[:-1])
             total[full] = np.add.reduceat(scores[inverse], first[:-1][full], axis=0)
         total = np.exp(total - total.max(axis=1, keepdims=True))
@@ -111,7 +118,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, n`` over the texts of ``docs(lang, text)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_pieces(batches):
+        for piece in text_pieces(batches, limit=PIECE):
             langs = piece.column("lang")
             for lang in np.unique(langs):
                 rows = np.flatnonzero(langs == lang)
@@ -120,7 +127,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 spaced, starts, lengths, _ = spaced_words(data, np.concatenate([[0], np.cumsum(sizes)]))
                 if not len(starts):
                     continue
-                place, _, n = distinct(spaced, starts, lengths)
+                _, place, _, n = distinct(spaced, starts, lengths)
                 text = spaced.tobytes()
                 found = [text[s : s + k] for s, k in zip(starts[place].tolist(), lengths[place].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -199,12 +206,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Model = shared.value
-        names = np.array([*now.languages, "und"], dtype=object)
-        for piece in text_pieces(batches):
+        names, known = np.array([*now.languages, "und"], dtype=object), Known(len(now.languages))
+        for piece in text_pieces(batches, limit=PIECE):
             lettered = piece.rows.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.full(len(piece), len(names) - 1), np.zeros(len(piece))
             if now.languages:
-                chance = now.posteriors(piece.data, piece.bounds)
+                chance = now.posteriors(piece.data, piece.bounds, known)
                 best = np.where(lettered, chance.argmax(axis=1), best)
                 score = np.where(lettered, np.clip(chance.max(axis=1), 0, 1), 0)
             yield pa.RecordBatch.from_arrays(

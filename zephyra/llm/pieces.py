@@ -96,8 +96,31 @@ def spaced_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return spaced, at, lengths, first
 
 
-def distinct(spaced: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First place, inverse and count of each distinct word."""
+def distinct(
+    spaced: np.ndarray, starts: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first place, inverse and count of each distinct word, by hash."""
     hashes = span_hashes(prefix_sums(spaced), starts, starts + lengths)
-    _, place, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    return place, inverse, count
+    return np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+
+
+class Known:
+    """Values of the first ``most`` distinct words that a task meets, so that words which come again are not worked out again."""
+
+    def __init__(self, width: int, most: int = 200_000):
+        self.hashes, self.values, self.most = np.zeros(0, np.uint64), np.zeros((0, width)), most
+
+    def of(self, hashes: np.ndarray, work) -> np.ndarray:
+        """A row for each of the sorted ``hashes``; ``work`` gives the rows of those at some places."""
+        out = np.empty((len(hashes), self.values.shape[1]))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        there = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out[there] = self.values[at[there]]
+        new = np.flatnonzero(~there)
+        if len(new):
+            out[new] = work(new)
+            if len(self.hashes) < self.most:
+                hashes = np.concatenate([self.hashes, hashes[new]])
+                order = np.argsort(hashes)
+                self.hashes, self.values = hashes[order], np.concatenate([self.values, out[new]])[order]
+        return out
