@@ -3,25 +3,29 @@
 Two sets with Jaccard similarity of at least p percent differ in at most ``D = (a + b) (100 - p) / (100 + p)`` elements. The
 elements' domain is dealt into partitions; a set's signature for a subset of partitions is a hash of its elements there. Here
 the second-level subsets are single partitions (one of two is left out of each pair: n2 = 2, k2 = 1), so a set has one
-signature for each partition in which it has elements. A pair that differs in d elements shares all but d of the larger
-number of signatures. With signatures in one order for all sets, it is enough that each set gives its first D + 1: the first
-common one has at most d others before it in either set.
+signature for each partition in which it has elements. Of two similar sets, the one with more signatures shares all but D of
+them at least, so a pair has a signature in common whenever one of the two has more than D.
 
 Size bands grow by a factor of four and set the number of partitions. A set within reach of the band below gives signatures
-there too. Should a set's partitions not outnumber D, which chance alone does, it gives its first D + 1 elements besides; two
-such sets meet there. So no pair is lost.
+there too. Should a set's partitions not outnumber D, which chance alone does, it gives its elements as signatures besides;
+two such sets meet there. So no pair is lost.
+
+Signatures that many sets share can mostly be left out. Put the crowded ones last in the order of all signatures: a pair then
+meets among the first D + 1 of each set, so a set with more than D signatures that are not crowded needs no crowded one. The
+number of crowded ones that a set can spare is its ``spare``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from zephyra.llm.texts import LOWER, MIX, SPACE, Piece, gram_hashes, mixed, prefix_sums, ranges, span_hashes, words
+from zephyra.llm.texts import LOWER, MIX, SPACE, Piece, gram_hashes, mixed, prefix_sums, span_hashes, words
 
 SHINGLE = 5
 #: Sets below this size are their own band, in which every element is a partition.
 SMALL = 64
 FACTOR = 4
+SKETCH = 512
 
 
 def shingle_sets(piece: Piece, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +66,29 @@ def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct signatures of a set of distinct hashes."""
-    made = []
+def signatures(elements: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set of distinct hashes: its signatures there, and how many of them it can spare."""
+    found = []
     for low, partitions, most in bands(len(elements), percent):
-        count = 0
+        made = np.zeros(0, np.uint64)
         if low:
             deal = ((elements >> np.uint64(24)) % np.uint64(partitions)).astype(np.int64)
             order = np.argsort(deal, kind="stable")
             head = np.flatnonzero(np.diff(deal[order], prepend=-1))
             content = np.add.reduceat(elements[order], head)
-            signature = mixed(content * MIX + deal[order][head].astype(np.uint64) + np.uint64(low))
-            count = len(signature)
-            made.append(np.sort(signature)[: most + 1])
-        if count <= most:
-            made.append(mixed(np.sort(elements)[: most + 1] + np.uint64(low + 1)))
-    return np.unique(np.concatenate(made))
+            made = mixed(content * MIX + deal[order][head].astype(np.uint64) + np.uint64(low))
+        spare = len(made) - most - 1
+        if spare < 0:
+            made, spare = np.concatenate([made, mixed(elements + np.uint64(low + 1))]), 0 if low else len(elements) - most - 1
+        found.append((made, max(spare, 0)))
+    return found
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits as 64-bit words: for each bit, whether the number of elements dealt to it is odd.
+
+    Each element in which two sets differ changes one bit, so sets that differ in d elements have sketches that differ in d
+    bits at most.
+    """
+    count = np.bincount((elements >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(count.astype(np.uint8)).view(np.int64)

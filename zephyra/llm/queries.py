@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import bpe, decontaminate, langid, sharding
+from zephyra.llm import bpe, decontaminate, langid, neardup, sharding
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,8 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.encode(table(spark, folder, "documents"), path, pattern, with_ids=False)
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
