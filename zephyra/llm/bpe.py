@@ -1,9 +1,10 @@
 """Byte-level BPE: every distinct word of the corpus is encoded once.
 
-Texts are cut into pre-tokens by the tokenizer's pattern. A batch of documents keeps its distinct pre-tokens and, for each
-document, their numbers in order of position. The distinct pre-tokens of all batches meet in one shuffle by word, where a word
-is encoded once for all batches that have it; the ids go back to the batches, which put them together by position. The
-shuffles carry distinct words of batches and packed positions, never one row per position.
+Texts are cut into pre-tokens by the tokenizer's pattern. A batch of documents has its distinct pre-tokens, numbered from the
+most frequent, and for each document their numbers in order of position. The distinct pre-tokens of all batches meet in one
+shuffle by the hash of the word, where a word is encoded once for all batches that have it. The ids go back to the batches,
+which put them together by position. What is shuffled are packed blocks: the words of a batch that fall into one bucket, their
+ids, and the positions of a batch; never a row per position.
 """
 
 from __future__ import annotations
@@ -15,16 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zephyra.llm.lookup import Lookup
-from zephyra.llm.texts import pieces, ranges, views
-from zephyra.plans.tables import write_out
+from zephyra.llm.texts import Piece, pieces, prefix_sums, ranges, span_hashes, views
 
 #: Text of a batch, about; a longer text is a batch by itself.
 BATCH_BYTES = 8 << 20
@@ -138,9 +138,9 @@ class Merges:
         return np.array([v for v in value if v >= 0], np.int64)
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Byte planes, low bytes first: frequent words have small numbers, so the high planes are nearly empty."""
-    return zstandard.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Byte planes, low bytes first: most numbers are small, so the high planes are nearly empty."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -148,76 +148,105 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(plain.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def batches_of(docs: DataFrame, pattern: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``batch, doc_ids, counts, codes, words``: a row per batch of documents, written to the shared folder.
+class Batch:
+    """Pre-tokens of a piece of text: distinct ``words`` (bytes and bounds) by falling frequency, the ``codes`` that say which
+    of them stand where, and how many each document has (``counts``). ``name`` is a hash of the content."""
+
+    def __init__(self, piece: Piece, find):
+        found, counts = [], []
+        for text in piece.rows.column("text").to_pylist():
+            tokens = find(text) if text else []
+            found += tokens
+            counts.append(len(tokens))
+        encoded = pa.array(found, pa.string()).dictionary_encode()
+        codes = encoded.indices.to_numpy()
+        order = np.argsort(-np.bincount(codes, minlength=len(encoded.dictionary)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.codes, self.counts = place[codes], counts
+        self.words = views(encoded.dictionary.take(pa.array(order)))
+        content = xxhash.xxh3_64(piece.data.tobytes())
+        content.update(piece.bounds.tobytes())
+        self.name = int(np.uint64(content.intdigest()).view(np.int64))
+
+
+def word_blocks(docs: DataFrame, pattern: str, batch_bytes: int, buckets: int) -> DataFrame:
+    """``bucket, batch, steps, sizes, content``: the words of each batch that fall into each bucket, in order of number.
+    ``steps`` are the differences of the numbers."""
 
-    ``words`` are the distinct pre-tokens, the frequent ones first; ``codes`` has the number in ``words`` of each pre-token of
-    each document in order of position, and ``counts`` how many a document has.
-    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        for piece in pieces(batches, limit=batch_bytes):
+            batch = Batch(piece, find)
+            data, bounds = batch.words
+            hashes = span_hashes(prefix_sums(data), bounds[:-1], bounds[1:])
+            bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            sizes = np.diff(bounds)
+            rows = []
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+                own = order[a:b]
+                content = zstandard.compress(data[ranges(bounds[own], sizes[own])].tobytes(), 3)
+                rows.append((int(bucket[own[0]]), batch.name, _pack(np.diff(own, prepend=0)), _pack(sizes[own]), content))
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 3], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "steps", "sizes", "content"])
+
+    schema = "bucket int, batch long, steps binary, sizes binary, content binary"
+    return docs.select("text").mapInArrow(cut, schema)
+
+
+def encoded_blocks(blocks: DataFrame, tokens: Broadcast) -> DataFrame:
+    """``bucket, batch, steps, counts, ids`` for the blocks: a word is encoded once, whatever number of batches has it."""
+
+    def encode(rows: pa.Table) -> pa.Table:
+        merges = merges_of(tokens.value)
+        sizes = [_unpack(x) for x in rows.column("sizes").to_pylist()]
+        data = np.frombuffer(b"".join(zstandard.decompress(x) for x in rows.column("content").to_pylist()), np.uint8)
+        every = np.concatenate(sizes)
+        starts = np.cumsum(every) - every
+        hashes = span_hashes(prefix_sums(data), starts, starts + every)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        same = first[inverse]
+        equal = (every[same] == every).all() and (data[ranges(starts[same], every)] == data[ranges(starts, every)]).all()
+        if not equal:  # two words with one hash
+            text = data.tobytes()
+            number: dict[bytes, int] = {}
+            cut = [text[s : s + n] for s, n in zip(starts.tolist(), every.tolist(), strict=True)]
+            inverse = np.array([number.setdefault(w, len(number)) for w in cut])
+            _, first = np.unique(inverse, return_index=True)
+        words = data[ranges(starts[first], every[first])]
+        ids, count = merges.encode(words, np.concatenate([[0], np.cumsum(every[first])]))
+        begin = np.cumsum(count) - count
+        out_counts, out_ids, at = [], [], 0
+        for n in map(len, sizes):
+            own = inverse[at : at + n]
+            at += n
+            out_counts.append(_pack(count[own]))
+            out_ids.append(zstandard.compress(ids[ranges(begin[own], count[own])].astype("<u4").tobytes(), 3))
+        return pa.table(
+            [rows.column("bucket"), rows.column("batch"), rows.column("steps"), pa.array(out_counts, pa.binary()), pa.array(out_ids, pa.binary())],
+            names=["bucket", "batch", "steps", "counts", "ids"],
+        )
+
+    return blocks.groupBy("bucket").applyInArrow(encode, "bucket int, batch long, steps binary, counts binary, ids binary")
+
+
+def positions(docs: DataFrame, pattern: str, batch_bytes: int) -> DataFrame:
+    """``batch, doc_ids, lengths, codes``: the documents of each batch, their numbers of pre-tokens, and which stand where."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        number = TaskContext.get().partitionId() << 32
         for piece in pieces(batches, limit=batch_bytes):
-            found, counts = [], []
-            for text in piece.rows.column("text").to_pylist():
-                tokens = find(text) if text else []
-                found += tokens
-                counts.append(len(tokens))
-            encoded = pa.array(found, pa.string()).dictionary_encode()
-            codes = encoded.indices.to_numpy()
-            order = np.argsort(-np.bincount(codes, minlength=len(encoded.dictionary)), kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number]),
-                    pa.ListArray.from_arrays(pa.array([0, len(piece)], pa.int32()), piece.rows.column("doc_id")),
-                    pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([_pack(place[codes])], pa.binary()),
-                    pa.ListArray.from_arrays(
-                        pa.array([0, len(order)], pa.int32()), encoded.dictionary.take(pa.array(order)).cast(pa.binary())
-                    ),
-                ],
-                names=["batch", "doc_ids", "counts", "codes", "words"],
-            )
-            number += 1
+            batch = Batch(piece, find)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(piece)], pa.int32()), piece.rows.column("doc_id"))
+            lengths = pa.array([batch.counts], pa.list_(pa.int32()))
+            columns = [pa.array([batch.name]), ids, lengths, pa.array([_pack(batch.codes)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["batch", "doc_ids", "lengths", "codes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"batch long, doc_ids array<{kind}>, counts array<int>, codes binary, words array<binary>"
-    return write_out(docs.select("doc_id", "text").mapInArrow(cut, schema))
-
-
-def encoded_words(words: DataFrame, tokens) -> DataFrame:
-    """``batch, place, ids`` for ``words(batch, place, word)``; a word is encoded once, whatever number of batches has it.
-
-    ``tokens`` is a broadcast of the token bytes; ``ids`` are little-endian 32-bit numbers.
-    """
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = merges_of(tokens.value)
-        last_word, last_ids = None, b""
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            runs = pc.run_end_encode(rows.column("word"))
-            values = runs.values
-            data, bounds = views(values)
-            ids, count = merges.encode(data, bounds)
-            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
-            made = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            if values[0].as_py() == last_word:
-                made[0] = last_ids
-            last_word, last_ids = values[-1].as_py(), made[-1]
-            sizes = np.diff(np.concatenate([[0], runs.run_ends.to_numpy()]))
-            which = pa.array(np.repeat(np.arange(len(made)), sizes))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("batch"), rows.column("place"), pa.array(made, pa.binary()).take(which)],
-                names=["batch", "place", "ids"],
-            )
-
-    together = words.repartition("word").sortWithinPartitions("word")
-    return together.mapInArrow(encode, "batch long, place int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"batch long, doc_ids array<{kind}>, lengths array<int>, codes binary")
 
 
 def merges_of(tokens: list[bytes]) -> Merges:
@@ -228,52 +257,70 @@ def merges_of(tokens: list[bytes]) -> Merges:
     return _merges[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, batch_bytes: int = BATCH_BYTES, with_ids: bool = True) -> DataFrame:
+def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that the ids stand for, joined from the table of token bytes (data, bounds), and the size of each."""
+    data, bounds = table
+    sizes = np.diff(bounds)[ids]
+    return data[ranges(bounds[ids], sizes)], sizes
+
+
+def _slices(values: bytes, ends: np.ndarray) -> Iterator[bytes]:
+    start = 0
+    for end in ends.tolist():
+        yield values[start:end]
+        start = end
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, batch_bytes: int = BATCH_BYTES, buckets: int | None = None, with_ids: bool = True
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` for each row of ``docs(doc_id, text)``.
 
     ``ids`` are the ids of the text (left out without ``with_ids``), ``ids_sha256`` the hash of them as little-endian 32-bit
     numbers, ``decoded_sha256`` the hash of the bytes that the ids stand for in the table of tokens. A null text is the
-    empty text and has no ids. Repeated rows and null ids stay. Other columns are not looked at.
+    empty text and has no ids. Repeated rows and null ids stay. Other columns are not looked at. ``docs`` is read twice and
+    must come in the same order both times, as a scan of files does; otherwise the job ends with an error. ``buckets``, by
+    default the number of shuffle partitions, bounds what a task has of the distinct words.
     """
     spark = docs.sparkSession
     tokens = spark.sparkContext.broadcast(load_ranks(path))  # a fixed public file
-    table = batches_of(docs, pattern, batch_bytes)
-    words = encoded_words(table.select("batch", F.posexplode("words").alias("place", "word")), tokens)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = encoded_blocks(word_blocks(docs, pattern, batch_bytes, buckets), tokens)
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("place")
-        _, bounds = views(left.column("ids").combine_chunks())
-        data = np.frombuffer(b"".join(left.column("ids").to_pylist()), "<u4")
-        sizes = np.diff(bounds) // 4
-        starts = bounds[:-1] // 4
-        token_bytes = np.frombuffer(b"".join(tokens.value), np.uint8)
+        blocks = {row["bucket"]: row for row in left.to_pylist()}.values()
+        numbers = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(_unpack(x["steps"])) for x in blocks]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[_unpack(x["counts"]) for x in blocks]])
+        pool = np.frombuffer(b"".join(zstandard.decompress(x["ids"]) for x in blocks), "<u4")
+        starts, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        if len(numbers) and numbers.max() != len(numbers) - 1:
+            raise ValueError("documents came in another order the second time; write them to a table first")
+        starts[numbers], sizes[numbers] = np.cumsum(counts) - counts, counts
         token_sizes = np.fromiter(map(len, tokens.value), np.int64, len(tokens.value))
-        token_starts = np.cumsum(token_sizes) - token_sizes
+        table = np.frombuffer(b"".join(tokens.value), np.uint8), np.concatenate([[0], np.cumsum(token_sizes)])
         parts = []
         for row in right.to_pylist():
-            codes, counts = _unpack(row["codes"]), np.array(row["counts"], np.int64)
-            per_code = np.concatenate([[0], np.cumsum(sizes[codes])])
-            ids = data[ranges(starts[codes], sizes[codes])]
-            ends = per_code[np.cumsum(counts)]
-            decoded = token_bytes[ranges(token_starts[ids], token_sizes[ids])]
-            byte_ends = np.concatenate([[0], np.cumsum(token_sizes[ids])])[ends]
-            raw = np.ascontiguousarray(ids).tobytes()
-            cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-            plain = decoded.tobytes()
-            byte_cuts = zip([0, *byte_ends[:-1].tolist()], byte_ends.tolist(), strict=True)
+            codes = _unpack(row["codes"])
+            if len(codes) and codes.max() >= len(numbers):
+                raise ValueError("documents came in another order the second time; write them to a table first")
+            ids = pool[ranges(starts[codes], sizes[codes])]
+            ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.cumsum(row["lengths"])]
+            decoded, byte_sizes = decode(ids, table)
+            byte_ends = np.concatenate([[0], np.cumsum(byte_sizes)])[ends]
             columns = {
                 "doc_id": pa.array(row["doc_ids"], right.schema.field("doc_ids").type.value_type),
-                "n_tokens": pa.array([b - a for a, b in cuts], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in cuts]),
-                "decoded_sha256": pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in byte_cuts]),
+                "n_tokens": pa.array(np.diff(ends, prepend=0)),
+                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in _slices(ids.tobytes(), 4 * ends)]),
+                "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in _slices(decoded.tobytes(), byte_ends)]),
             }
             if with_ids:
-                bounds_of = pa.array(np.concatenate([[0], ends]), pa.int32())
-                columns["ids"] = pa.ListArray.from_arrays(bounds_of, pa.array(ids.astype(np.int32)))
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
             parts.append(pa.table(columns))
+        if not parts:
+            raise ValueError("documents came in another order the second time; write them to a table first")
         return pa.concat_tables(parts)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    packed = table.select("batch", "doc_ids", "counts", "codes")
-    return words.groupBy("batch").cogroup(packed.groupBy("batch")).applyInArrow(join, schema)
+    kind = docs.schema["doc_id"].dataType
+    fields = [("doc_id", kind), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    schema = T.StructType([T.StructField(*f) for f in fields + [("ids", T.ArrayType(T.IntegerType()))] * with_ids])
+    return words.groupBy("batch").cogroup(positions(docs, pattern, batch_bytes).groupBy("batch")).applyInArrow(join, schema)
