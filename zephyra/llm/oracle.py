@@ -99,3 +99,32 @@ SELECT c.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, r.least AS comp
 FROM cut c LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+ORACLE["op10_suffix_dedup"] = """
+WITH digits AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM digits WHERE length(h) >= 100)
+),
+owners AS (SELECT w, min(doc_id) AS owner FROM windows GROUP BY w),
+starts AS (SELECT doc_id, i FROM windows JOIN owners USING (w) WHERE owner < doc_id),
+runs AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM starts
+),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs) GROUP BY doc_id, run
+),
+edges AS (
+  SELECT s.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS before, h
+  FROM spans s JOIN digits d ON d.doc_id = s.doc_id
+),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h,
+    sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM digits d LEFT JOIN kept k USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import bpe, decontaminate, langid, neardup, sharding
+from zephyra.llm import bpe, decontaminate, langid, neardup, repeats, sharding
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,8 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removed(table(spark, folder, "documents")).drop("kept")
