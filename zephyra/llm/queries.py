@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import bpe, decontaminate, langid, neardup, repeats, sharding
+from zephyra.llm import archives, bpe, decontaminate, langid, neardup, repeats, sharding
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,8 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removed(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archive(table(spark, folder, "pages"))
