@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import archives, bpe, decontaminate, langid, neardup, repeats, sharding
+from zephyra.llm import archives, bpe, decontaminate, langid, neardup, repeats, sharding, topk
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,9 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archives.archive(table(spark, folder, "pages"))
+
+
+@query
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
