@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame
 from zephyra.session import shared_dir
 
 
+#: Lets Spark remove the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_out(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result no longer depends on the executors that made it, later readers prune its columns, and everything
-    derived from it sees the same rows in the same partitions.
+    derived from it sees the same rows in the same partitions. The shuffle files of ``df`` are of no more use then.
     """
+    conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
