@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import archives, bpe, decontaminate, langid, neardup, repeats, sharding, topk
+from zephyra.llm import archives, bpe, decontaminate, langid, neardup, repeats, sharding, topk, toxicity
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,8 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
