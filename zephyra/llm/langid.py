@@ -174,7 +174,7 @@ def fit(docs: DataFrame, path: str, documents_per_language: int = DOCUMENTS_PER_
 
     The sample is bounded by ``documents_per_language``. The driver sees one row per piece and language.
     """
-    vocabulary = load(path)
+    vocabulary, _ = load(path)
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     chosen = labelled.select("doc_id", "lang").distinct().withColumn("_at", F.row_number().over(order))

@@ -16,16 +16,18 @@ LONGEST = 40
 _SLOTS = 17
 
 
-def load(path: str) -> list[bytes]:
-    """The pieces of a sentencepiece model in the order of the file, then the single bytes that it lacks."""
+def load(path: str) -> tuple[list[bytes], int]:
+    """The pieces of a sentencepiece model in the order of the file, then the single bytes that it lacks; and how many
+    come before those."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found: dict[bytes, None] = {}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             found[model.id_to_piece(i).replace("▁", " ").encode()] = None
+    own = len(found)
     for b in range(256):
         found.setdefault(bytes([b]))
-    return list(found)
+    return list(found), own
 
 
 class Matcher:
