@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zephyra.llm.fmindex import FMIndex
 from zephyra.llm.texts import LOWER, Piece, pieces, prefix_sums, ranges, span_hashes, words
@@ -131,7 +133,7 @@ class _Shard:
         self.parts.append((piece, hashes, starts - piece.bounds[:-1].repeat(np.diff(first)), ends - starts, first))
         self.words += len(hashes)
 
-    def search(self, blocks: list[Broadcast], kind: pa.DataType) -> pa.RecordBatch:
+    def search(self, blocks: list[Broadcast]) -> pa.RecordBatch:
         hashes = np.concatenate([p[1] for p in self.parts])
         counts = np.concatenate([np.diff(p[4]) for p in self.parts])
         first = np.concatenate([[0], np.cumsum(counts)])
@@ -146,7 +148,7 @@ class _Shard:
         starts, ends = self._spans(inside, first)
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([p[0].rows.column("doc_id") for p in self.parts]).cast(kind),
+                pa.concat_arrays([p[0].rows.column(0) for p in self.parts]),
                 pa.array(counts),
                 pa.array(n_hit),
                 pa.array([len(x) for x in names], pa.int64()),
@@ -155,7 +157,7 @@ class _Shard:
                 starts,
                 ends,
             ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "span_starts", "span_ends"],
+            names=[self.parts[0][0].rows.schema.names[0], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "span_starts", "span_ends"],
         )
 
     def _find(self, phrases: Phrases, hashes: np.ndarray, first: np.ndarray, hit: np.ndarray, items: dict) -> None:
@@ -197,30 +199,30 @@ class _Shard:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS, carry: list[str] | None = None,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, span_starts, span_ends`` for each row of ``docs``.
 
     The spans are the merged stretches of hit words, as byte offsets into the text. A null or empty text has no words and is
     clean; so is every document if the benchmark is empty. Items with a null text are skipped, a null id is the empty
-    string, repeated items count once, several texts under one id count as one item. Other columns are not looked at.
+    string, repeated items count once, several texts under one id count as one item. Other columns are dropped; with ``carry``
+    those named are returned instead of the id, as ``row``, so that no name of theirs can clash.
     """
     blocks = phrase_blocks(benchmark, window, block_words)
-    kind = docs.schema["doc_id"].dataType
-    arrow = pa.int64() if kind.simpleString() == "bigint" else None
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard()
         for piece in pieces(batches):
             shard.add(piece)
             if shard.words >= shard_words:
-                yield shard.search(blocks, arrow or piece.rows.column("doc_id").type)
+                yield shard.search(blocks)
                 shard = _Shard()
         if shard.parts:
-            yield shard.search(blocks, arrow or shard.parts[0][0].rows.column("doc_id").type)
-
-    return docs.select("doc_id", "text").mapInArrow(
-        search,
-        f"doc_id {kind.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-        "span_starts array<long>, span_ends array<long>",
-    )
+            yield shard.search(blocks)
+
+    given = docs.select(F.struct(*carry).alias("row") if carry else F.col("doc_id"), "text")
+    kinds = {
+        "n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(),
+        "contaminated": T.BooleanType(), "span_starts": T.ArrayType(T.LongType()), "span_ends": T.ArrayType(T.LongType()),
+    }
+    return given.mapInArrow(search, T.StructType([given.schema[0], *[T.StructField(*f) for f in kinds.items()]]))

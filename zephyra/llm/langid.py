@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zephyra.llm.pieces import Known, Matcher, distinct, load, spaced_words
 from zephyra.llm.texts import ranges, pieces as text_pieces, views
@@ -195,12 +196,13 @@ def fit(docs: DataFrame, path: str, documents_per_language: int = DOCUMENTS_PER_
     return Model(path, vocabulary, languages, theta)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(doc_id, text)`` with ``lang_pred`` and ``score``, from the text alone.
+def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, lang_pred, score`` for each row of ``docs(doc_id, text)``, from the text alone.
 
     ``score`` is the probability of the language among the learned ones, all equally likely beforehand. A text that is null or
     has no letter is ``und`` with score 0, and so is every text if no language was learned. Of languages with equal
-    probability the first by name is taken. Repeated rows stay; columns other than the two are dropped.
+    probability the first by name is taken. Repeated rows stay. Other columns are dropped; with ``carry`` those named are
+    returned instead of the id, as ``row``, so that no name of theirs can clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -215,19 +217,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best = np.where(lettered, chance.argmax(axis=1), best)
                 score = np.where(lettered, np.clip(chance.max(axis=1), 0, 1), 0)
             yield pa.RecordBatch.from_arrays(
-                [piece.rows.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)],
-                names=["doc_id", "lang_pred", "score"],
+                [piece.rows.column(0), pa.array(names[best], pa.string()), pa.array(score)],
+                names=[piece.rows.schema.names[0], "lang_pred", "score"],
             )
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", lettered).mapInArrow(label, f"doc_id {kind}, lang_pred string, score double")
+    first = F.struct(*carry).alias("row") if carry else F.col("doc_id")
+    given = docs.select(first, "text", lettered)
+    schema = T.StructType([given.schema[0], *[T.StructField(*f) for f in (("lang_pred", T.StringType()), ("score", T.DoubleType()))]])
+    return given.mapInArrow(label, schema)
 
 
-def identify(docs: DataFrame, path: str) -> DataFrame:
-    """Learn from documents whose ``crc32(doc_id) % 3`` is not 1, and predict all of them.
+def training_rows(docs: DataFrame) -> DataFrame:
+    """Documents whose ``crc32(doc_id) % 3`` is not 1. A null id counts as the empty text."""
+    return docs.where(_remainder(3) != 1)
 
-    Returns ``doc_id, held_out, lang_pred, score``. A null id counts as the empty text in the remainder.
-    """
-    model = fit(docs.where(_remainder(3) != 1), path)
+
+def identify(docs: DataFrame, path: str) -> DataFrame:
+    """Learn from ``training_rows`` and predict all documents: ``doc_id, held_out, lang_pred, score``."""
+    model = fit(training_rows(docs), path)
     return predict(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyra.llm.components import components
-from zephyra.llm.partenum import SKETCH, shingle_sets, signatures, sketch
+from zephyra.llm.partenum import SKETCH, apart, shingle_sets, signatures, sketch
 from zephyra.llm.texts import mixed, pieces
 from zephyra.plans.tables import write_out
 
@@ -37,60 +37,62 @@ def set_number(elements: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, set, n, s0...``: the set of each document (null and 0 if empty) with its sketch."""
+    """``doc_id, text_hash, set, n, wide, s0...``: the set of each document (null and 0 if empty), with a sketch that grows
+    with the set and one of fixed size."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=PIECE):
             elements, bounds = shingle_sets(piece)
             n = np.diff(bounds)
             names, sketches = np.zeros(len(n), np.int64), np.zeros((len(n), len(_WORDS)), np.int64)
+            wide: list[bytes | None] = [None] * len(n)
             for i in np.flatnonzero(n).tolist():
                 own = elements[bounds[i] : bounds[i + 1]]
-                names[i], sketches[i] = set_number(own), sketch(own)
+                names[i], sketches[i], wide[i] = set_number(own), sketch(own, SKETCH).view(np.int64), sketch(own).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.rows.column("doc_id"),
                     piece.rows.column("text_hash"),
                     pa.array(names, mask=n == 0),
                     pa.array(n),
+                    pa.array(wide, pa.binary()),
                     *[pa.array(sketches[:, k]) for k in range(len(_WORDS))],
                 ],
-                names=["doc_id", "text_hash", "set", "n", *_WORDS],
+                names=["doc_id", "text_hash", "set", "n", "wide", *_WORDS],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, set long, n long, " + ", ".join(f"{w} long" for w in _WORDS)
+    schema = f"doc_id {kind}, text_hash long, set long, n long, wide binary, " + ", ".join(f"{w} long" for w in _WORDS)
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(describe, schema)
 
 
 def signature_rows(docs: DataFrame, percent: int) -> DataFrame:
-    """``sig, set, n, band, spare``: the signatures of the distinct sets that a task meets."""
+    """``sig, set, about``: the signatures of the distinct sets that a task meets. ``about`` packs the size of the set (32 bits),
+    the number of its signatures that it can spare in the band (31 bits) and which of its bands it is."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for piece in pieces(batches, limit=PIECE):
             elements, bounds = shingle_sets(piece)
-            n = np.diff(bounds)
-            columns: list[list] = [[], [], [], [], []]
-            for i in np.flatnonzero(n).tolist():
+            sigs, names, about, counts = [], [], [], []
+            for i in np.flatnonzero(np.diff(bounds)).tolist():
                 own = elements[bounds[i] : bounds[i + 1]]
                 name = set_number(own)
                 if name in seen:
                     continue
                 seen.add(name)
                 for band, (made, spare) in enumerate(signatures(own, percent)):
-                    columns[0].append(made)
-                    for column, value in zip(columns[1:], (name, n[i], band, spare), strict=True):
-                        column.append((value, len(made)))
-            if columns[0]:
-                counts = [c for _, c in columns[1]]
-                rest = [np.repeat(np.array([v for v, _ in column], np.int64), counts) for column in columns[1:]]
+                    sigs.append(made)
+                    names.append(name)
+                    about.append(len(own) << 32 | spare << 1 | band)
+                    counts.append(len(made))
+            if sigs:
+                rest = [np.repeat(np.array(x, np.int64), counts) for x in (names, about)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(columns[0]).view(np.int64)), *map(pa.array, rest)],
-                    names=["sig", "set", "n", "band", "spare"],
+                    [pa.array(np.concatenate(sigs).view(np.int64)), *map(pa.array, rest)], names=["sig", "set", "about"]
                 )
 
-    return docs.select("text").mapInArrow(sign, "sig long, set long, n long, band long, spare long")
+    return docs.select("text").mapInArrow(sign, "sig long, set long, about long")
 
 
 def _alike_in_size(a: str, b: str, percent: int) -> F.Column:
@@ -100,13 +102,19 @@ def _alike_in_size(a: str, b: str, percent: int) -> F.Column:
 def memberships(rows: DataFrame, percent: int, crowded: int = CROWDED) -> DataFrame:
     """``sig, set, n, hub, hub_n``: sets of each signature that several sets share, with the smallest of them as hub.
     Crowded signatures that a set can spare are left out."""
+    rows = rows.repartition("sig")
+    # both sides use all columns, so that they read one shuffle; only signatures of several sets go on
+    shared = rows.groupBy("sig").agg(F.min("set").alias("_low"), F.max("set").alias("_high"), F.max("about").alias("_about"))
+    shared = shared.where("_low != _high and _about is not null").select("sig")
+    rows = rows.join(shared.hint("shuffle_hash"), "sig").distinct()
     by = Window.partitionBy("sig")
-    first = F.lag("set").over(by.orderBy("set"))
-    rows = rows.withColumn("_before", first).where(F.col("_before").isNull() | (F.col("_before") != F.col("set"))).drop("_before")
-    rows = rows.withColumn("_size", F.count("*").over(by)).withColumn("_hub", F.min(F.struct("set", "n")).over(by))
+    rows = rows.withColumn("_size", F.count("*").over(by)).withColumn("_hub", F.min(F.struct("set", "about")).over(by))
+    size = F.shiftright("about", 32)
     rows = write_out(
-        rows.where("_size > 1").select(
-            "sig", "set", "n", "band", "spare", "_size", F.col("_hub.set").alias("hub"), F.col("_hub.n").alias("hub_n")
+        rows.select(
+            "sig", "set", size.alias("n"), (F.col("about") % 2).alias("band"),
+            F.shiftright(F.col("about") % (1 << 32), 1).alias("spare"), "_size",
+            F.col("_hub.set").alias("hub"), F.shiftright("_hub.about", 32).alias("hub_n"),
         )
     )
     busy = rows.where(F.col("_size") > crowded)
@@ -125,11 +133,17 @@ def keyed(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of sets that are similar. Sketches rule out most others before any set is fetched."""
     for end in "ab":
-        side = sets.select(F.col("set").alias(end), F.col("n").alias(f"n{end}"), *[F.col(w).alias(f"{end}{w}") for w in _WORDS])
-        pairs = pairs.join(side, end)
-    apart = sum(F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in _WORDS)
-    pairs = pairs.where(_alike_in_size("na", "nb", percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
-    pairs = write_out(pairs.select("a", "b"))
+        pairs = pairs.join(sets.select(F.col("set").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"wide_{end}")), end)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            sides = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("wide_a", "wide_b")]
+            bits = np.fromiter((apart(x, y) for x, y in zip(*sides, strict=True)), np.int64, len(sizes))
+            yield batch.select(["a", "b"]).filter(pa.array(bits * (100 + percent) <= sizes * (100 - percent)))
+
+    pairs = pairs.where(_alike_in_size("na", "nb", percent)).select("a", "b", "na", "nb", "wide_a", "wide_b")
+    pairs = write_out(pairs.mapInArrow(possible, "a long, b long"))
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
     texts = keyed(docs.select("text", F.xxhash64("text").alias("text_hash")), sets.join(wanted, "set").select("text_hash").distinct(), "text_hash", "left_semi")
 
@@ -171,13 +185,20 @@ def open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     rest = rest.join(found.select(F.col("node").alias("set"), "component"), "set", "left")
     rest = rest.withColumn("component", F.coalesce("component", "set"))
     by = Window.partitionBy("sig")
-    rest = rest.withColumn("_low", F.min("component").over(by)).withColumn("_high", F.max("component").over(by))
-    rest = rest.withColumn("_size", F.count("*").over(by)).where("_low != _high")
+    for name, value in (
+        ("_low", F.min("component")), ("_high", F.max("component")), ("_size", F.count("*")),
+        ("_x", F.bit_xor(F.xxhash64("set"))), ("_y", F.bit_xor(F.xxhash64("set", F.lit(1)))),
+    ):
+        rest = rest.withColumn(name, value.over(by))
+    rest = write_out(rest.where("_low != _high").drop("_low", "_high"))
+    # many signatures have the same sets; one of them stands for all
+    one = rest.groupBy("_size", "_x", "_y").agg(F.min("sig").alias("sig")).select("sig")
+    rest = rest.join(one, "sig", "left_semi")
     parts = F.ceil(F.col("_size") / block)
     rest = rest.withColumn("_own", F.pmod(F.xxhash64("set"), parts)).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select(
         "sig", "set", "component", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own"
-    ).join(sets.select("set", "n", *_WORDS), "set")
+    ).join(sets.select("set", "n", "wide", *_WORDS), "set")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -197,7 +218,7 @@ def open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: i
 
     def side_by_side(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig, i, j, own, component, name, n = (batch.column(c).to_numpy() for c in ("sig", "i", "j", "_own", "component", "set", "n"))
-        bits = np.stack([batch.column(w).to_numpy() for w in _WORDS], axis=1)
+        bits = np.stack([batch.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
         head = np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         group = np.cumsum(head)
         at, found = np.arange(len(sig) - 1), [np.zeros((0, 2), np.int64)]
@@ -210,11 +231,17 @@ def open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: i
             ok = (component[at] != component[other]) & ((i[at] == j[at]) | (own[at] != own[other]))
             ok &= np.minimum(n[at], n[other]) * 100 >= np.maximum(n[at], n[other]) * percent
             x, y = at[ok], other[ok]
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-            ok = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
-            x, y = name[x[ok]], name[y[ok]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            found.append(np.stack([x[ok], y[ok]], axis=1))
+        rows = np.concatenate(found)
+        pairs, first = np.unique(np.sort(name[rows], axis=1), axis=0, return_index=True)
+        wide = batch.column("wide")
+        keep = np.zeros(len(pairs), bool)
+        for p, (x, y) in enumerate(rows[first].tolist()):
+            bits_apart = apart(*(np.frombuffer(wide[r].as_py(), np.uint64) for r in (x, y)))
+            keep[p] = bits_apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+        pairs = pairs[keep]
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     together = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
@@ -233,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROWDED,
     sets = write_out(
         rows.where("set is not null").groupBy("set").agg(
             F.first("n").alias("n"), F.first("text_hash").alias("text_hash"), F.min("doc_id").alias("least"),
-            *[F.first(w).alias(w) for w in _WORDS],
+            *[F.first(w).alias(w) for w in ["wide", *_WORDS]],
         )
     )
     members = memberships(signature_rows(docs, percent), percent, crowded)

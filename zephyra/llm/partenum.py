@@ -84,11 +84,21 @@ def signatures(elements: np.ndarray, percent: int) -> list[tuple[np.ndarray, int
     return found
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """``SKETCH`` bits as 64-bit words: for each bit, whether the number of elements dealt to it is odd.
+def sketch(elements: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Bits as 64-bit words: for each bit, whether the number of elements dealt to it is odd.
 
     Each element in which two sets differ changes one bit, so sets that differ in d elements have sketches that differ in d
-    bits at most.
+    bits at most. By default there are four to eight bits for each element; a longer sketch can be folded to a shorter.
     """
-    count = np.bincount((elements >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-    return np.packbits(count.astype(np.uint8)).view(np.int64)
+    bits = bits or max(SKETCH, 4 << len(elements).bit_length())
+    count = np.bincount((elements >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(count.astype(np.uint8)).view(np.uint64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))

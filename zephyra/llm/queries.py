@@ -55,7 +55,7 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.removed(table(spark, folder, "documents")).drop("kept")
+    return repeats.removed(table(spark, folder, "documents"))
 
 
 @query

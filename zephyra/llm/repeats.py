@@ -17,9 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zephyra.llm.suffixes import suffix_array
-from zephyra.llm.texts import pieces, prefix_sums, ranges, span_hashes
+from zephyra.llm.texts import MIX, mixed, pieces, prefix_sums, ranges, span_hashes
 from zephyra.plans.tables import write_out
 
 LENGTH = 50
@@ -34,6 +35,9 @@ SYMBOLS = 200_000
 #: Anchors with more contexts than this are compared window by window instead.
 CROWDED = 50_000
 PIECE = 1 << 20
+#: An anchor that more documents of a task than this have is spread over many tasks.
+BUSY = 64
+_SEVERAL = (1 << 52) - 1
 _PAD = 256
 
 
@@ -60,90 +64,124 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[place], place, np.searchsorted(bounds, place, side="right") - 1
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """``key, doc, side``. An anchor that several documents of a task share is known to be shared: their rows get a side of
-    their own, which spreads them, and the smallest document stands for them at side 0. ``docs(doc, text)``."""
+def _contexts(place: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes that windows around each anchor can reach begin and end."""
+    return np.maximum(place - REACH, bounds[text]), np.minimum(place + LENGTH, bounds[text + 1])
+
+
+def anchor_rows(docs: DataFrame, busy: int = BUSY) -> DataFrame:
+    """``key, doc, mark`` for each anchor of ``docs(doc, text)``. A mark packs a hash of the context (52 bits) and a side.
+
+    All rows of a key have side 0, but those of an anchor that more than ``busy`` documents of a task have: they get sides
+    that spread them, and their smallest document stands for them at side 0, with all bits of the context set (``_SEVERAL``).
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=4 * PIECE):
-            keys, docs_of = [], []
+            keys, docs_of, contents = [], [], []
             for part in pieces(iter([piece.rows]), limit=PIECE):
-                hashes, _, text = anchors(part.data, part.bounds)
+                hashes, place, text = anchors(part.data, part.bounds)
+                low, high = _contexts(place, text, part.bounds)
+                content = span_hashes(prefix_sums(part.data), low, high) + (place - low).astype(np.uint64) * MIX
                 keys.append(hashes.view(np.int64))
                 docs_of.append(part.column("doc")[text])
-            key, doc = np.concatenate(keys), np.concatenate(docs_of)
+                contents.append((content >> np.uint64(12)).astype(np.int64))
+            key, doc, content = map(np.concatenate, (keys, docs_of, contents))
             order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, bool)
-            key, doc = key[first], doc[first]
-            head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else first
+            key, doc, content = key[order], doc[order], content[order]
+            head = np.diff(key, prepend=key[:1] - 1) != 0
             group = np.cumsum(head) - 1
-            shared = (np.bincount(group) > 1)[group] if len(key) else head
-            side = np.where(shared, 1 + (doc.view(np.uint64) % np.uint64(4096)).astype(np.int64), 0)
-            lead = head & shared
+            crowd = (np.bincount(group, minlength=1) > busy)[group] if len(key) else head
+            lead = head & crowd
+            side = np.where(crowd, 1 + (doc.view(np.uint64) % np.uint64(4095)).astype(np.int64), 0)
+            mark = content << 12 | side
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([key, key[lead]])),
                     pa.array(np.concatenate([doc, doc[lead]])),
-                    pa.array(np.concatenate([side, np.zeros(int(lead.sum()), np.int64)]).astype(np.int32)),
+                    pa.array(np.concatenate([mark, np.full(int(lead.sum()), -4096)])),
                 ],
-                names=["key", "doc", "side"],
+                names=["key", "doc", "mark"],
             )
 
-    return docs.mapInArrow(find, "key long, doc long, side int")
+    return docs.mapInArrow(find, "key long, doc long, mark long")
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
-    """``doc, keys``: for each document the anchors that another one has too."""
+    """``doc, gone, open``: for each document the anchors that another one has too. If all documents have one context around
+    an anchor, the smallest keeps it and for the others it is ``gone``; if contexts differ it is ``open`` for all."""
+    rows = rows.withColumn("side", F.col("mark").bitwiseAND(F.lit(4095))).withColumn("content", F.shiftrightunsigned("mark", 12))
     by = Window.partitionBy("key", "side")
-    rows = rows.withColumn("_low", F.min("doc").over(by)).withColumn("_high", F.max("doc").over(by))
-    rows = rows.where("side > 0 or _low != _high").select("doc", "key")
-    return rows.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    for name, value in (("_low", F.min("doc")), ("_high", F.max("doc")), ("_least", F.min("content")), ("_most", F.max("content"))):
+        rows = rows.withColumn(name, value.over(by))
+    several = (F.col("side") > 0) | (F.col("_least") != F.col("_most")) | (F.col("_most") == _SEVERAL)
+    rows = rows.where((F.col("side") > 0) | (F.col("_low") != F.col("_high"))).where(several | (F.col("doc") != F.col("_low")))
+    return rows.groupBy("doc").agg(
+        F.collect_set(F.when(~several, F.col("key"))).alias("gone"), F.collect_set(F.when(several, F.col("key"))).alias("open")
+    )
+
+
+def _among(lists: pa.ListArray, hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether the hash of each anchor is in the list of its text."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    wanted = (mixed(lists.flatten().to_numpy().view(np.uint64) + mixed(owner.astype(np.uint64))))
+    return np.isin(mixed(hashes + mixed(text.astype(np.uint64))), wanted)
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """``key, left, context, docs, places``: the contexts around shared anchors, with the documents of a task that have
-    them. ``left`` is the number of bytes before the anchor. ``docs(doc, tag, text, keys)``; a place packs the tag of the
-    text and the start of the anchor."""
+    """``key, left, context, docs, places, sizes`` for ``docs(doc, tag, text, gone, open)``.
+
+    A row with a context belongs to an open anchor: ``left`` is the number of bytes before it, and ``docs`` and ``places`` are
+    the documents of a task that have it there. A place packs the tag of the text and the start of the anchor. A row without
+    context has merged stretches around gone anchors: ``places`` are their starts and ``sizes`` their lengths.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=PIECE):
             hashes, place, text = anchors(piece.data, piece.bounds)
-            lists = piece.rows.column("keys")
-            pool, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-            owner = np.repeat(np.arange(len(piece)), np.diff(ends, prepend=0))
-            wanted = np.stack([pool, owner], axis=1)
-            both = np.concatenate([wanted, np.stack([hashes.view(np.int64), text], axis=1)])
-            _, number = np.unique(both, axis=0, return_inverse=True)
-            number = number.ravel()
-            keep = np.isin(number[len(wanted) :], number[: len(wanted)])
+            doc, tag = piece.column("doc"), piece.column("tag").astype(np.int64) << 40
+            gone = _among(piece.rows.column("gone"), hashes, text)
+            low, high = _contexts(place[gone], text[gone], piece.bounds)
+            if len(low):
+                # texts lie one after another, so no stretch joins the next text's unless they touch
+                reach = np.maximum.accumulate(high)
+                fresh = np.concatenate([[True], (low[1:] > reach[:-1]) | (text[gone][1:] != text[gone][:-1])])
+                first = np.flatnonzero(fresh)
+                last = np.append(first[1:], len(low)) - 1
+                owner = text[gone][first]
+                one = pa.array([0, len(first)], pa.int32())
+                yield _context_rows(
+                    pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.binary()),
+                    *[pa.ListArray.from_arrays(one, pa.array(x)) for x in (doc[owner], tag[owner] | (low[first] - piece.bounds[owner]), reach[last] - low[first])],
+                )
+            keep = _among(piece.rows.column("open"), hashes, text)
             hashes, place, text = hashes[keep].view(np.int64), place[keep], text[keep]
             if not len(place):
                 continue
-            low = np.maximum(place - REACH, piece.bounds[text])
-            high = np.minimum(place + LENGTH, piece.bounds[text + 1])
-            sums = prefix_sums(piece.data)
-            content = span_hashes(sums, low, high).view(np.int64)
+            low, high = _contexts(place, text, piece.bounds)
+            content = span_hashes(prefix_sums(piece.data), low, high).view(np.int64)
             order = np.lexsort((content, place - low, hashes))
             cell = np.stack([hashes, place - low, content])[:, order]
             head = np.flatnonzero(np.concatenate([[True], (cell[:, 1:] != cell[:, :-1]).any(axis=0)]))
-            doc = piece.column("doc")[text]
-            places = piece.column("tag")[text] << 40 | (place - piece.bounds[text])
             bounds = pa.array(np.append(head, len(order)), pa.int32())
+            places = tag[text] | (place - piece.bounds[text])
             data = piece.data.tobytes()
             first = order[head]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hashes[first]),
-                    pa.array((place - low)[first].astype(np.int32)),
-                    pa.array([data[a:b] for a, b in zip(low[first].tolist(), high[first].tolist(), strict=True)], pa.binary()),
-                    pa.ListArray.from_arrays(bounds, pa.array(doc[order])),
-                    pa.ListArray.from_arrays(bounds, pa.array(places[order])),
-                ],
-                names=["key", "left", "context", "docs", "places"],
+            yield _context_rows(
+                pa.array(hashes[first]),
+                pa.array((place - low)[first].astype(np.int32)),
+                pa.array([data[a:b] for a, b in zip(low[first].tolist(), high[first].tolist(), strict=True)], pa.binary()),
+                pa.ListArray.from_arrays(bounds, pa.array(doc[text][order])),
+                pa.ListArray.from_arrays(bounds, pa.array(places[order])),
+                pa.array([None] * len(first), pa.list_(pa.int64())),
             )
 
-    return docs.mapInArrow(cut, "key long, left int, context binary, docs array<long>, places array<long>")
+    schema = "key long, left int, context binary, docs array<long>, places array<long>, sizes array<long>"
+    return docs.mapInArrow(cut, schema)
+
+
+def _context_rows(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["key", "left", "context", "docs", "places", "sizes"])
 
 
 def window_owners(matrix: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -233,21 +271,19 @@ def _by_suffixes(matrix: np.ndarray, group: np.ndarray, least: np.ndarray, begin
 
 
 def _spans(owners: np.ndarray, left: np.ndarray, size: np.ndarray, row: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """``doc, span`` for each occurrence (``row, doc, place``) and each run of its windows that an earlier document owns."""
+    """``doc, place, size`` for each occurrence (``row, doc, place``) and each run of its windows that an earlier document owns."""
     start = np.arange(REACH + 1)
     valid = (start >= REACH - left[:, None]) & (start + LENGTH <= (REACH - left + size)[:, None])
     hit = valid[row] & (owners[row] < doc[:, None])
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     which, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
-    # a place packs tag and anchor; so does a span, with its length below
-    begin = place[which] - REACH + first
-    span = (begin >> 40 << 48) | ((begin & ((1 << 40) - 1)) << 8) | (last - first + LENGTH - 1)
-    return pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(span)], names=["doc", "span"])
+    columns = [doc[which], place[which] - REACH + first, last - first + LENGTH - 1]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "place", "size"])
 
 
 def repeated_spans(found: DataFrame) -> DataFrame:
-    """``doc, span`` for ``found(key, left, context, docs, places)``, by suffix arrays over the contexts of many anchors."""
+    """``doc, place, size`` for ``found(key, left, context, docs, places)``, by suffix arrays over the contexts of many anchors."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_over = None
@@ -289,7 +325,7 @@ def repeated_spans(found: DataFrame) -> DataFrame:
         owners[by_group] = window_owners(matrix[first[by_group]], number[first[by_group]], smallest[by_group])
         return _spans(owners[inverse], left, size, row, doc, place)
 
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(order, "doc long, span long")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(order, "doc long, place long, size long")
 
 
 def crowded_spans(found: DataFrame) -> DataFrame:
@@ -302,33 +338,36 @@ def crowded_spans(found: DataFrame) -> DataFrame:
     owners = each.groupBy("window").agg(F.min(F.array_min("docs")).alias("owner"))
     each = each.join(owners, "window").select("owner", "start", F.explode(F.arrays_zip("docs", "places")).alias("at"))
     each = each.where("owner < at.docs")
-    begin = F.col("at.places") - REACH + F.col("start")
-    packed = F.shiftleft(F.shiftright(begin, 40), 48).bitwiseOR(F.shiftleft(begin % (1 << 40), 8)).bitwiseOR(F.lit(LENGTH))
-    return each.select(F.col("at.docs").alias("doc"), packed.alias("span"))
+    place = F.col("at.places") - REACH + F.col("start")
+    return each.select(F.col("at.docs").alias("doc"), place.alias("place"), F.lit(LENGTH).cast("long").alias("size"))
 
 
-def removed(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row of ``docs(doc_id, text)``; ``kept`` are the bytes left.
+def removed(docs: DataFrame, crowded: int = CROWDED, busy: int = BUSY, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a stretch of 50 bytes that covers it also starts in a document with
     a smaller id; stretches are judged on the input. Texts under 50 bytes stay whole. Rows that share an id do not remove from
-    each other; a null id counts as larger than all others. Other columns are not looked at.
+    each other; a null id counts as larger than all others. Other columns are dropped; with ``carry`` those named are
+    returned instead of the id, as ``row``, so that no name of theirs can clash, and the text that is left as ``kept``, without
+    the rest of a character that was cut.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select(
-        "doc_id",
+        F.struct(*carry).alias("row") if carry else F.col("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
         # tells texts of one id apart
         (F.xxhash64("text").bitwiseAND(F.lit(0x7FFF))).alias("tag"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    keys = write_out(shared_anchors(anchor_rows(plain.select("doc", "text"))))
-    found = write_out(contexts(plain.select("doc", "tag", "text").join(keys, "doc")))
-    busy = write_out(found.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select("key"))
-    spans = repeated_spans(found if busy.isEmpty() else found.join(busy, "key", "left_anti"))
-    if not busy.isEmpty():
-        spans = spans.union(crowded_spans(found.join(busy, "key", "left_semi")))
-    spans = write_out(spans.groupBy("doc").agg(F.collect_set("span").alias("spans")))
+    keys = write_out(shared_anchors(anchor_rows(plain.select("doc", "text"), busy)))
+    every = write_out(contexts(plain.select("doc", "tag", "text").join(keys, "doc")))
+    found = every.where("key is not null").drop("sizes")
+    crowd = write_out(found.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select("key"))
+    spans = repeated_spans(found if crowd.isEmpty() else found.join(crowd, "key", "left_anti"))
+    if not crowd.isEmpty():
+        spans = spans.union(crowded_spans(found.join(crowd, "key", "left_semi")))
+    sure = every.where("key is null").select(F.explode(F.arrays_zip("docs", "places", "sizes")).alias("_at"))
+    spans = spans.union(sure.select("_at.docs", "_at.places", "_at.sizes"))
+    spans = write_out(spans.groupBy("doc").agg(F.collect_set(F.struct("place", "size")).alias("spans")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=PIECE):
@@ -337,21 +376,21 @@ def removed(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
                 data = piece.data[piece.bounds[i] : piece.bounds[i + 1]]
                 mark = np.zeros(len(data) + 1, np.int32)
                 if spans_of.is_valid:
-                    span = spans_of.values.to_numpy()
-                    span = span[span >> 48 == tags[i]]
-                    begin = (span >> 8) & ((1 << 40) - 1)
+                    place, size = (spans_of.values.field(k).to_numpy() for k in range(2))
+                    own = place >> 40 == tags[i]
+                    begin = place[own] & ((1 << 40) - 1)
                     np.add.at(mark, begin, 1)
-                    np.add.at(mark, begin + (span & 255), -1)
+                    np.add.at(mark, begin + size[own], -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 left = data[~gone].tobytes()
                 runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-                out.append((len(data), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+                out.append((len(data), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if carry else None))
             columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [piece.rows.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            )
-
-    joined = plain.join(spans, "doc", "left").select("doc_id", "tag", "text", "spans")
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(keep, schema)
+            yield pa.RecordBatch.from_arrays([piece.rows.column(0), *columns], names=schema.names)
+
+    given = plain.join(spans, "doc", "left").select("row" if carry else "doc_id", "tag", "text", "spans")
+    kinds = [pa.int64()] * 3 + [pa.string()] * 2
+    fields = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.StringType()}
+    schema = T.StructType([given.schema[0], *[T.StructField(*f) for f in fields.items()]])
+    made = given.mapInArrow(keep, schema)
+    return made if carry else made.drop("kept")
