@@ -97,7 +97,7 @@ def _plain(content: bytes) -> bytes:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, header fields and content of each record after the version block."""
+    """Offset, header fields and content of each record after the version block. A file without any byte has none."""
     names: list[str] | None = None
     at = 0
     while at < len(data):
@@ -124,8 +124,6 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         else:
             yield at, dict(zip(names, values, strict=True)), content
         at = end + 1 + len(content)
-    if names is None:
-        raise BadArchive("the file is empty")
 
 
 def _http(content: bytes) -> tuple[bytes, dict[str, str], bytes]:

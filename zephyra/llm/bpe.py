@@ -185,7 +185,7 @@ def word_blocks(docs: DataFrame, pattern: str, batch_bytes: int, buckets: int) -
             heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             sizes = np.diff(bounds)
             rows = []
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+            for a, b in zip(heads.tolist(), np.append(heads, len(order))[1:].tolist(), strict=True):
                 own = order[a:b]
                 content = zstandard.compress(data[ranges(bounds[own], sizes[own])].tobytes(), 3)
                 rows.append((int(bucket[own[0]]), batch.name, _pack(np.diff(own, prepend=0)), _pack(sizes[own]), content))
