@@ -39,6 +39,7 @@ PIECE = 1 << 20
 BUSY = 64
 _SEVERAL = (1 << 52) - 1
 _PAD = 256
+_PROBE = 4
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,69 +203,93 @@ def window_owners(matrix: np.ndarray, group: np.ndarray, least: np.ndarray) -> n
     starts = np.arange(REACH + 1)
     inside = (starts >= row_begin[:, None]) & (starts + LENGTH <= row_end[:, None])
     owners = np.where(inside, smallest[:, None], owners)
-    # one context, or two, have nothing more in common
-    ordered = np.flatnonzero(np.repeat(size, size) > 2)
-    cost = row_begin[ordered] + 2 + _WIDTH - row_end[ordered]
+    # one context, or two, have nothing more in common; of more, a row needs as many bytes on either side as others may share
+    several = np.repeat(size, size) > 2
+    left = np.where(several, _shared_bytes(matrix, group, row_begin, -1), 0)
+    right = np.where(several, _shared_bytes(matrix, group, row_end, 1), 0)
+    ordered = np.flatnonzero((left > 0) | (right > 0))
+    total = np.cumsum(left[ordered] + 2 + right[ordered])
     cuts = [0]
-    total = np.cumsum(cost)
     while cuts[-1] < len(ordered):
         stop = int(np.searchsorted(total, (total[cuts[-1] - 1] if cuts[-1] else 0) + SYMBOLS)) + 1
         while stop < len(ordered) and group[ordered[stop]] == group[ordered[stop - 1]]:
             stop += 1
         cuts.append(min(stop, len(ordered)))
         rows = ordered[cuts[-2] : cuts[-1]]
-        owners[rows] = np.minimum(owners[rows], _by_suffixes(matrix[rows], group[rows], least[rows], row_begin[rows], row_end[rows]))
+        of_rows = _by_suffixes(matrix[rows], group[rows], least[rows], row_begin[rows], row_end[rows], left[rows], right[rows])
+        owners[rows] = np.minimum(owners[rows], of_rows)
     return owners
 
 
-def _by_suffixes(matrix: np.ndarray, group: np.ndarray, least: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """``window_owners`` by one suffix array over all rows: what lies before the common part of a group, a symbol that stands
-    for that part, what lies behind it, and a break."""
-    lengths = begin + 2 + _WIDTH - end
+def _shared_bytes(matrix: np.ndarray, group: np.ndarray, edge: np.ndarray, way: int) -> np.ndarray:
+    """How many bytes from the common part outwards (``way``) a row may share with another of its group: none, fewer than
+    ``_PROBE``, or all. ``edge`` is where the common part begins or ends."""
+    room = edge if way < 0 else _WIDTH - edge
+    at = edge - 1 if way < 0 else edge
+    seen = []
+    for n in (1, _PROBE):
+        columns = at[:, None] + way * np.arange(n)
+        inside = (columns >= 0) & (columns < _WIDTH)
+        values = np.where(inside, np.take_along_axis(matrix, np.clip(columns, 0, _WIDTH - 1), axis=1), _PAD + 1)
+        key = group.astype(np.int64)
+        for k in range(n):
+            key = key * 1024 + values[:, k]
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        seen.append(count[inverse] > 1)
+    return np.where(seen[0], np.where(seen[1], room, np.minimum(room, _PROBE - 1)), 0)
+
+
+def _by_suffixes(
+    matrix: np.ndarray, group: np.ndarray, least: np.ndarray, begin: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray
+) -> np.ndarray:
+    """``window_owners`` by one suffix array over all rows: the ``left`` bytes before the common part of a group, a symbol that
+    stands for that part, the ``right`` bytes behind it, and a break."""
+    lengths = left + 2 + right
     base = np.cumsum(lengths) - lengths
+    core = base + left
     symbols = np.ones(int(lengths.sum()) + 1, np.int64)
     symbols[-1] = 0
-    row = np.repeat(np.arange(len(begin)), begin)
-    symbols[ranges(base, begin)] = matrix[row, ranges(np.zeros(len(begin), np.int64), begin)] + 2
+    row = np.repeat(np.arange(len(begin)), left)
+    symbols[ranges(base, left)] = matrix[row, ranges(begin - left, left)] + 2
     _, number = np.unique(group, return_inverse=True)
-    symbols[base + begin] = _PAD + 3 + number
-    tail = _WIDTH - end
-    row = np.repeat(np.arange(len(begin)), tail)
-    symbols[ranges(base + begin + 1, tail)] = matrix[row, ranges(end, tail)] + 2
+    symbols[core] = _PAD + 3 + number
+    row = np.repeat(np.arange(len(begin)), right)
+    symbols[ranges(core + 1, right)] = matrix[row, ranges(end, right)] + 2
     order = np.array(suffix_array(symbols.tolist()), np.int64)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     padded = np.concatenate([symbols, np.zeros(_WIDTH + 2, np.int64)])
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Symbols that two suffixes share, up to a break."""
         out, live = np.zeros(len(a), np.int64), np.arange(len(a))
         for k in range(LENGTH + 2):
-            live = live[padded[a[live] + k] == padded[b[live] + k]]
+            mine = padded[a[live] + k]
+            live = live[(mine == padded[b[live] + k]) & (mine > 1)]
             out[live] = k + 1
         return out
 
-    def least_of_runs(at: np.ndarray, rows: np.ndarray, need: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    def least_of_runs(rows: np.ndarray, need: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """Rows in order of their suffix: those that share all they need with the one before form a run."""
         run = np.cumsum(np.concatenate([[True], shared < need[1:]])) - 1
         return np.minimum.reduceat(least[rows], np.flatnonzero(np.diff(run, prepend=-1)))[run]
 
     owners = np.repeat(least[:, None], REACH + 1, axis=1)
     # windows that start before the common part
-    rows = np.repeat(np.arange(len(begin)), np.minimum(begin, REACH + 1))
-    column = ranges(np.zeros(len(begin), np.int64), np.minimum(begin, REACH + 1))
+    count = np.clip(np.minimum(begin, REACH + 1) - (begin - left), 0, None)
+    rows, column = np.repeat(np.arange(len(begin)), count), ranges(begin - left, count)
     if len(rows):
-        sort = np.argsort(rank[base[rows] + column])
+        sort = np.argsort(rank[core[rows] - begin[rows] + column])
         rows, column = rows[sort], column[sort]
-        at = base[rows] + column
+        at = core[rows] - begin[rows] + column
         need = begin[rows] - column + 1 + np.maximum(0, column + LENGTH - end[rows])
-        owners[rows, column] = least_of_runs(at, rows, need, common(at[:-1], at[1:]))
+        owners[rows, column] = least_of_runs(rows, need, common(at[:-1], at[1:]))
     # windows that start inside it
-    rows = np.argsort(rank[base + begin])
-    at = (base + begin)[rows]
-    shared = common(at[:-1], at[1:])
+    rows = np.argsort(rank[core])
+    shared = common(core[rows][:-1], core[rows][1:])
     for column in range(int(begin.min()), REACH + 1):
         need = 1 + np.maximum(0, column + LENGTH - end[rows])
-        own = least_of_runs(at, rows, need, shared)
+        own = least_of_runs(rows, need, shared)
         use = begin[rows] <= column
         owners[rows[use], column] = own[use]
     return owners
