@@ -34,11 +34,11 @@ def stored_form(alerts: DataFrame) -> DataFrame:
     return alerts.select(*map(column, ALERT.fields))
 
 
-def store_alerts(alerts: DataFrame, path: str) -> None:
-    """Append, partitioned by date. Rows lacking a required value stay out; see :func:`unstorable`."""
+def store_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
+    """Store, partitioned by date. Rows lacking a required value stay out; see :func:`unstorable`."""
     complete = stored_form(alerts).dropna(subset=REQUIRED)
     dated = complete.withColumn("date", F.to_date("timestamp"))
-    dated.sortWithinPartitions("date", "city", "level").write.mode("append").partitionBy("date").parquet(path)
+    dated.sortWithinPartitions("date", "city", "level").write.mode(mode).partitionBy("date").parquet(path)
 
 
 def unstorable(alerts: DataFrame) -> DataFrame:
@@ -52,7 +52,8 @@ def unstorable(alerts: DataFrame) -> DataFrame:
 def read_alerts(spark, path: str) -> DataFrame:
     from zephyra.sources.tables import read_or_empty
 
-    return read_or_empty(spark, path, ALERT, "date")
+    # a stream stores each micro-batch in a folder of its own
+    return read_or_empty(spark, path, ALERT, "batch", "date").drop("batch")
 
 
 def get_alert(alerts: DataFrame, wanted: str) -> DataFrame:

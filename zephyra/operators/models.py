@@ -19,7 +19,7 @@ from zephyra.operators.splits import expanding_folds
 from zephyra.plans.tables import write_out
 from zephyra.schemas import CALENDAR_FEATURES, CV_FOLDS, LAG_FEATURES, LAG_OFFSETS, ROLLING_FEATURES, ROLLING_WINDOWS
 
-ROWS_PER_TASK = (2_000, 2_000_000)  # of training data: while there are idle cores, and at most
+ROWS_PER_TASK = 20_000  # of training data; fixed, as bagging is seeded per partition
 MODEL_FEATURES = LAG_FEATURES + ROLLING_FEATURES + CALENDAR_FEATURES
 
 # fixed values: default training parameters
@@ -82,10 +82,9 @@ def _prepared(df: DataFrame, columns: list[str], target: str, *keep: str) -> Ite
     labelled = assembled(df.where(F.col(target).isNotNull()), columns)
     written = write_out(labelled.select(*keep, "features", F.col(target).cast("double").alias("label")))
     rows = written.count()
-    at_once = 3 * df.sparkSession.sparkContext.defaultParallelism
-    fewest, most = ROWS_PER_TASK
-    partitions = min(-(-rows // fewest), max(at_once, -(-rows // most)))
-    ready = written.repartition(max(1, partitions)).persist(StorageLevel.MEMORY_AND_DISK)
+    partitions = max(1, -(-rows // ROWS_PER_TASK))
+    by = [c for c in keep if c in written.columns] or ["features", "label"]
+    ready = written.repartition(partitions, F.xxhash64(*by)).sortWithinPartitions(*by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield ready
     finally:

@@ -1,7 +1,8 @@
 """Splits along time.
 
 Only the rows at the cut positions are looked up (a sort of the order columns). They come back as a handful of
-literals, and the table itself is split by comparing with them: no index column and no shuffle of whole rows.
+literals, and the table itself is split by comparing with them: no index column and no shuffle of whole rows. Rows without a
+timestamp come before all others, in the order and in the comparison.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ class _Cuts:
             return F.lit(True)
         condition, equal = F.lit(False), F.lit(True)
         for column, value in zip(self.columns, self.rows[position]):
-            condition = condition | (equal & (column < F.lit(value)))
-            equal = equal & (column == F.lit(value))
+            less = F.lit(False) if value is None else column.isNull() | (column < F.lit(value))  # nulls sort first
+            condition = condition | (equal & less)
+            equal = equal & column.eqNullSafe(F.lit(value))
         return condition
 
 

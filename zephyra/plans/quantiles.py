@@ -1,9 +1,10 @@
 """Exact quantiles of many columns, whatever their number of distinct values.
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. It is used while ``rows * columns`` is
-within ``limit``. Beyond that the values are counted into equal-width bins, the bins that hold the wanted ranks are
-counted again more finely, and only the distinct values of those fine bins are sorted. Each step is a scan with a
-pre-aggregated count. Both ways give linear interpolation between the two neighbouring ranks.
+within ``limit``. Beyond that the values are counted once, cut into ranges of about equally many distinct values, and each
+range learns from the counts of those before it which ranks it holds. No value, however large, widens a range: NaN and
+infinity are values like others, NaN the largest. Both ways give linear interpolation between the two neighbouring ranks, and
+a row for every group, column and probability, with NULL where there is no value.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from zephyra.plans.ordered import join_on
 from zephyra.plans.tables import write_out
 
 VALUES_PER_AGGREGATE = 20_000_000
-BINS = 4096
 BROADCAST_ROWS = 1_000_000
 
 
@@ -27,7 +27,7 @@ def quantiles(
     keys = list(keys)
     if df.count() * len(columns) <= limit:
         return _built_in(df, columns, probabilities, keys)
-    return _by_bins(df, columns, probabilities, keys)
+    return _by_ranks(df, columns, probabilities, keys)
 
 
 def _built_in(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
@@ -43,58 +43,40 @@ def _built_in(df: DataFrame, columns: list[str], probabilities: list[float], key
     return wide.select(*keys, F.inline(entries))
 
 
-def _bin(low: str, high: str):
-    """Number of the equal-width bin of ``value`` between ``low`` and ``high``."""
-    width = F.col(high) - F.col(low)
-    place = F.floor((F.col("value") - F.col(low)) / F.when(width > 0, width) * BINS)
-    return F.coalesce(F.least(place, F.lit(BINS - 1)), F.lit(0))
-
-
 def _small(bounds: DataFrame) -> DataFrame:
-    """Bounds, a row per column and key: broadcast when they are few. Otherwise they come from a written table, so that
-    Spark may split a large key in the join."""
+    """A few rows per column and key: broadcast when they are counted to be few. Otherwise they come from a written table,
+    so that Spark may split a large key in the join."""
     written = write_out(bounds)
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
-def _by_bins(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
+def _by_ranks(df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str]) -> DataFrame:
     group = [*keys, "feature"]
     values = long_rows(df, columns, *keys).where("value is not null")
-    ranges = values.groupBy(*group).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    # the two neighbouring ranks of every probability
-    asked = ranges.select(*group, "n", "low", "high", F.explode(F.array(*map(F.lit, probabilities))).alias("p"))
-    asked = asked.withColumn("at", F.col("p") * (F.col("n") - 1))
+    counted = values.groupBy(*group, "value").agg(F.count("*").alias("n"))
+    # written where it was cut, so the number of its range stays with a row
+    counted = write_out(counted.repartitionByRange(*group, "value").withColumn("part", F.spark_partition_id()))
+    parts = counted.groupBy(*group, "part").agg(F.sum("n").alias("rows"))
+    earlier = Window.partitionBy(*group).orderBy("part")
+    parts = parts.withColumn("before", F.sum("rows").over(earlier) - F.col("rows"))
+    sizes = parts.groupBy(*group).agg(F.sum("rows").alias("rows"))
+    asked = sizes.withColumn("p", F.explode(F.array(*map(F.lit, probabilities))))
+    asked = asked.select(*group, "p", (F.col("p") * (F.col("rows") - 1)).alias("at"))
     ranks = asked.select(*group, F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank")).distinct()
-
-    def narrow(values: DataFrame, bounds: DataFrame, ranks: DataFrame, names: list[str]):
-        """Keep the values of the bins with a wanted rank; ranks then count from the start of their bin."""
-        binned = join_on(values, _small(bounds), names, "inner").withColumn("bin", _bin("low", "high"))
-        counts = binned.groupBy(*names, "bin").agg(
-            F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        )
-        order = Window.partitionBy(*names).orderBy("bin")
-        starts = counts.withColumn("start", F.sum("n").over(order) - F.col("n"))
-        inside = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n"))
-        hits = join_on(ranks, starts, names, "inner").where(inside)
-        hits = hits.withColumn("rank", F.col("rank") - F.col("start"))
-        kept = hits.select(*names, "bin", F.col("lo").alias("low"), F.col("hi").alias("high")).distinct()
-        kept = _small(kept)
-        values = join_on(binned.drop("low", "high"), kept, [*names, "bin"], "inner").drop("low", "high")
-        return values, kept, hits.drop("start", "n", "lo", "hi")
-
-    ranks = ranks.withColumn("whole", F.col("rank"))
-    first_values, first_bounds, first_hits = narrow(values, ranges.drop("n"), ranks, group)
-    coarse = [*group, "coarse"]
-    rename = lambda d: d.withColumnRenamed("bin", "coarse")
-    second_values, _, second_hits = narrow(rename(first_values), rename(first_bounds), rename(first_hits), coarse)
-    fine = [*coarse, "bin"]
-    distinct = second_values.groupBy(*fine, "value").count()
-    order = Window.partitionBy(*fine).orderBy("value")
-    placed = distinct.withColumn("start", F.sum("count").over(order) - F.col("count"))
-    inside = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("count"))
-    found = join_on(second_hits, placed, fine, "inner").where(inside).select(*group, F.col("whole").alias("rank"), "value")
-    low = join_on(asked.select(*group, "p", "at", F.floor("at").alias("rank")), found, [*group, "rank"], "inner")
-    low = low.withColumnRenamed("value", "below").withColumn("rank", F.ceil("at"))
-    both = join_on(low, found, [*group, "rank"], "inner")
-    share = F.col("at") - F.floor("at")
-    return both.select(*group, "p", (F.col("below") + share * (F.col("value") - F.col("below"))).alias("value"))
+    # only ranges with a wanted rank are sorted
+    held = join_on(ranks, _small(parts), group, "inner")
+    held = held.where("rank >= before and rank < before + rows").select(*group, "part", "before", "rank")
+    wanted = _small(held.select(*group, "part", "before").distinct())
+    inside = join_on(counted, wanted, [*group, "part"], "inner")
+    order = Window.partitionBy(*group, "part").orderBy("value")
+    placed = inside.withColumn("start", F.col("before") + F.sum("n").over(order) - F.col("n"))
+    found = join_on(held.drop("before"), placed.drop("before"), [*group, "part"], "inner")
+    found = write_out(found.where("rank >= start and rank < start + n").select(*group, "rank", "value"))
+    low = join_on(asked.withColumn("rank", F.floor("at")), found, [*group, "rank"], "inner").withColumnRenamed("value", "below")
+    both = join_on(low.withColumn("rank", F.ceil("at")), found, [*group, "rank"], "inner")
+    between = (F.ceil("at") - F.col("at")) * F.col("below") + (F.col("at") - F.floor("at")) * F.col("value")
+    value = F.when(F.ceil("at") == F.floor("at"), F.col("below")).when(F.col("below") == F.col("value"), F.col("below"))
+    answers = both.select(*group, "p", value.otherwise(between).alias("value"))
+    whole = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    entries = [F.struct(F.lit(c).alias("feature"), F.lit(p).alias("p")) for c in columns for p in probabilities]
+    return join_on(whole.select(*keys, F.inline(F.array(*entries))), answers, [*group, "p"], "left")

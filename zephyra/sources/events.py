@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zephyra.schemas import POLLUTANTS
@@ -24,30 +24,37 @@ def read_messages(spark: SparkSession, fmt: str = "kafka", **options) -> DataFra
 def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     """``value`` to ``city, timestamp, aqi, pollutants`` and ``error``, which is NULL for a good event.
 
-    ``timestamp`` is taken in seconds since the epoch and becomes a TIMESTAMP. Other columns pass through.
+    ``timestamp`` is taken in seconds since the epoch and becomes a TIMESTAMP. NaN, infinity, and seconds that no TIMESTAMP
+    holds are no numbers. Other columns pass through.
     """
     keep = [F.col(c) for c in messages.columns if c != value]
     parsed = messages.withColumn("_text", F.col(value).cast("string")).withColumn("_e", F.from_json("_text", _RAW))
-    seconds = F.col("_e.timestamp").try_cast("double")
-    aqi = F.col("_e.aqi").try_cast("double")
+    seconds, aqi = finite("_e.timestamp"), finite("_e.aqi")
+    micros = F.round(seconds * 1e6).try_cast("long")
     error = (
         F.when(F.try_parse_json("_text").isNull(), "invalid JSON")
         .when(F.col("_e.city").isNull(), "missing city")
         .when(F.col("_e.timestamp").isNull(), "missing timestamp")
         .when(F.col("_e.aqi").isNull(), "missing aqi")
-        .when(seconds.isNull(), "timestamp is not a number")
+        .when(micros.isNull(), "timestamp is not a number")
         .when(aqi.isNull(), "aqi is not a number")
     )
     return parsed.select(
         *keep,
         F.col("_e.city").alias("city"),
-        F.timestamp_micros(F.round(seconds * 1e6).cast("long")).alias("timestamp"),
+        F.timestamp_micros(micros).alias("timestamp"),
         aqi.alias("aqi"),
-        F.transform_values("_e.pollutants", lambda _, v: v.try_cast("double")).alias("pollutants"),
+        F.transform_values("_e.pollutants", lambda _, v: finite(v)).alias("pollutants"),
         error.alias("error"),
     )
 
 
+def finite(value: Column | str) -> Column:
+    """A number, or NULL for NaN, infinity and what is no number."""
+    number = (F.col(value) if isinstance(value, str) else value).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def good_events(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("error").isNull()).drop("error")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +16,36 @@ CORRUPT = "_corrupt_record"
 
 
 def read_history_csv(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:
-    """All CSV files of a folder as text columns; malformed lines are kept in ``_corrupt_record``."""
+    """All CSV files of a folder, and of its folders, as text columns, each file by the names in its own header.
+
+    The result has the columns of a reading and of ``extra``, NULL where a file lacks one, then ``_corrupt_record`` with
+    malformed lines, then any further columns that a file has. The driver sees one row per file.
+    """
     names = [f.name for f in READING.fields] + [f.name for f in (extra.fields if extra else [])]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    found = None
+    for header, files in sorted(_headers(spark, path).items()):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*header, CORRUPT)])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(files)
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    if found is None:
+        found = spark.createDataFrame([], T.StructType([T.StructField(CORRUPT, T.StringType())]))
+    have = set(found.columns)
+    expected = [F.col(n) if n in have else F.lit(None).cast("string").alias(n) for n in (*names, CORRUPT)]
+    return found.select(*expected, *[F.col(f"`{c}`") for c in found.columns if c not in (*names, CORRUPT)])
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by the names in their first line."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id()).where("block = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.collect():
+        cells = next(csv.reader([row["header"].removeprefix("\ufeff")]), [])
+        found.setdefault(tuple(c.strip() for c in cells), []).append(unquote(row["file"]))
+    return {header: sorted(files) for header, files in found.items() if header}
 
 
 def coerce_types(df: DataFrame) -> DataFrame:

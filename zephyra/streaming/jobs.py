@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zephyra.operators.alert_store import store_alerts
+from zephyra.operators.alert_store import read_alerts, store_alerts
 from zephyra.operators.alerts import model_alerts, rule_alerts
 from zephyra.operators.features import event_features
 from zephyra.plans.ordered import join_on
@@ -28,12 +28,13 @@ def alert_stream(results: DataFrame, threshold: float = PREDICTION_THRESHOLD, ho
 
 
 def alert_sink(alerts: DataFrame, path: str, checkpoint: str, handlers=(), **trigger):
-    """Store alerts batch by batch; every handler gets each batch as a DataFrame."""
+    """Store alerts, a folder per micro-batch; every handler gets each batch as stored. A batch that is run again replaces
+    what it stored before."""
 
-    def store(batch: DataFrame, _batch_id: int) -> None:
-        store_alerts(batch, path)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        store_alerts(batch, f"{path}/batch={batch_id}", mode="overwrite")
         for handle in handlers:
-            handle(batch)
+            handle(read_alerts(batch.sparkSession, f"{path}/batch={batch_id}"))
 
     return alerts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -49,23 +50,32 @@ def feature_table_sink(
     """Features without per-city state, for cities too busy for one task.
 
     Every micro-batch is appended to the history table, and its features come from the batch operator over the batch
-    and the last ``hours`` of history, which spreads a city over its hours. A batch that is run again replaces its own
-    output, so a restart repeats nothing. A lag whose value is older than ``hours`` is NULL here.
+    and the history of the last ``hours``, which spreads a city over its hours. For lags whose value is older there is a
+    second table, ``<history>_last``, with the last readings of each city and day. A batch that is run again replaces its
+    own output, so a restart repeats nothing.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("date", F.to_date("timestamp"))
         rows.write.mode("overwrite").partitionBy("date").parquet(f"{history}/batch={batch_id}")
-        ends = rows.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
+        # from here on the batch is what was written, so its plan runs once
+        own = spark.read.schema(rows.schema).parquet(f"{history}/batch={batch_id}").select(*rows.columns)
+        latest = Window.partitionBy("city", "date").orderBy(F.desc("timestamp"))
+        last = own.withColumn("_rank", F.rank().over(latest)).where("_rank = 1").drop("_rank")
+        last.write.mode("overwrite").partitionBy("date").parquet(f"{history}_last/batch={batch_id}")
+        ends = own.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
         if ends["first"] is None:
             return
-        start = F.lit(ends["first"]) - F.make_dt_interval(hours=F.lit(hours))
-        stored = read_or_empty(spark, history, batch.schema, "batch", "date")
-        recent = stored.where((F.col("date") >= F.to_date(start)) & (F.col("timestamp") >= start))
-        recent = recent.where(F.col("timestamp") <= F.lit(ends["last"]))
-        made = event_features(recent.drop("batch", "date"))
-        own = join_on(made, batch.select("city", "timestamp", "seq").distinct(), ["city", "timestamp", "seq"], "left_semi")
-        own.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        start = F.to_date(F.lit(ends["first"]) - F.make_dt_interval(hours=F.lit(hours)))
+        stored = read_or_empty(spark, history, batch.schema, "batch", "date").where(F.col("date") >= start)
+        recent = stored.where(F.col("timestamp") <= F.lit(ends["last"])).drop("batch", "date")
+        older = read_or_empty(spark, f"{history}_last", batch.schema, "batch", "date").where(F.col("date") < start)
+        older = older.withColumn("_rank", F.rank().over(Window.partitionBy("city").orderBy(F.desc("timestamp"))))
+        older = older.where("_rank = 1").drop("_rank", "batch", "date")
+        made = event_features(recent.unionByName(older))
+        key = ["city", "timestamp", "seq"]
+        made = join_on(made, own.select(*key).distinct(), key, "left_semi")
+        made.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -9,17 +9,18 @@ from pyspark.sql import types as T
 from zephyra.functions.columns import need_columns
 from zephyra.plans.quantiles import VALUES_PER_AGGREGATE, quantiles
 from zephyra.schemas import MAX_LATENCY_MS
+from zephyra.sources.events import finite
 
 
 def validate_event(events: DataFrame) -> DataFrame:
-    """Add ``error``: NULL, or what is wrong with ``city, timestamp, aqi``. Text that is no number counts as wrong."""
+    """Add ``error``: NULL, or what is wrong with ``city, timestamp, aqi``. Text that is no number counts as wrong, as do NaN and infinity."""
     need_columns(events, "city", "timestamp", "aqi")
 
     def number(name: str) -> Column:
         column = F.col(name)
         if isinstance(events.schema[name].dataType, (T.TimestampType, T.TimestampNTZType)):
             return column
-        return column.try_cast("double")
+        return finite(column)
 
     error = F.lit(None).cast("string")
     for name in ("aqi", "timestamp"):

@@ -13,6 +13,7 @@ from zephyra.schemas import (
     ROLLING_WINDOWS,
     SEASONS,
 )
+from zephyra.operators.models import MODEL_FEATURES
 from zephyra.workload.views import READINGS_SQL
 
 ORACLE: dict[str, str] = {}
@@ -91,9 +92,10 @@ ORACLE["flatten_feed_json"] = readings(
           WHEN seq % 47 = 0 THEN 'invalid aqi' WHEN aqi IS NULL THEN 'missing aqi' END AS reason FROM readings)"""
 )
 DECODED = """SELECT seq, CASE WHEN seq % 41 <> 0 THEN city END AS city,
-    CASE WHEN seq % 41 <> 0 THEN CAST(epoch_us(timestamp) AS VARCHAR) END AS timestamp_us,
-    CASE WHEN seq % 41 <> 0 THEN aqi END AS aqi, CASE WHEN seq % 41 <> 0 THEN pm25 END AS pm25,
-    CASE WHEN seq % 41 = 0 THEN 'invalid JSON' WHEN aqi IS NULL THEN 'missing aqi' END AS error FROM readings"""
+    CASE WHEN seq % 41 > 4 THEN CAST(epoch_us(timestamp) AS VARCHAR) WHEN seq % 41 = 4 THEN '5000000' END AS timestamp_us,
+    CASE WHEN seq % 41 > 4 THEN aqi WHEN seq % 41 IN (1, 2, 3) THEN 7 END AS aqi, CASE WHEN seq % 41 > 4 THEN pm25 END AS pm25,
+    CASE WHEN seq % 41 = 0 THEN 'invalid JSON' WHEN seq % 41 IN (1, 2, 3) THEN 'timestamp is not a number'
+    WHEN seq % 41 = 4 THEN 'aqi is not a number' WHEN aqi IS NULL THEN 'missing aqi' END AS error FROM readings"""
 ORACLE["decode_events"] = readings(DECODED)
 ORACLE["stream_decode"] = readings(f"SELECT * EXCLUDE (seq) FROM ({DECODED})")
 ORACLE["encode_and_route_events"] = readings(
@@ -209,11 +211,21 @@ ADVICE = """SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS positi
     UNION ALL SELECT 5, 'Data quality is good. Continue monitoring.' FROM scored
         WHERE score >= 80 AND missing = 0 AND outside = 0 AND copies = 0)"""
 ORACLE["quality_recommendations"] = readings(f"{SCORE} {ADVICE}")
+READING_KINDS = {
+    "seq": "bigint", "city": "string", "station_id": "bigint", "timestamp": "timestamp", "aqi": "double", "pm25": "double",
+    "source": "string",
+}
+PROFILE = "UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'column', '{c}', measure, value, '{kind}' FROM (SELECT CAST(count(*) - count({c}) AS DOUBLE) AS missing, "
+    f'(count(*) - count({c})) * 100.0 / count(*) AS missing_pct, CAST(count(DISTINCT {c}) AS DOUBLE) AS "distinct" FROM readings) '
+    f'UNPIVOT (value FOR measure IN (missing, missing_pct, "distinct"))'
+    for c, kind in READING_KINDS.items()
+)
 ORACLE["column_profile"] = readings(
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, {r6(f'(count(*) - count({c})) / count(*) * 100', 'missing_pct')}, "
-        f'count(DISTINCT {c}) AS "distinct" FROM readings'
-        for c in ("seq", "city", "station_id", "timestamp", "aqi", "pm25", "source")
+        f"count(DISTINCT {c}) AS \"distinct\", '{kind}' AS type FROM readings"
+        for c, kind in READING_KINDS.items()
     )
 )
 GROUPS = """SELECT city, count(*) AS records, count(*) - count(aqi) AS missing_aqi, min(aqi) AS min_aqi, max(aqi) AS max_aqi
@@ -229,6 +241,7 @@ ORACLE["quality_report"] = readings(
     UNION ALL SELECT 'city', city, measure, value, NULL FROM (
         SELECT city, CAST(records AS DOUBLE) AS records, CAST(missing_aqi AS DOUBLE) AS missing_aqi, min_aqi, max_aqi FROM g)
         UNPIVOT (value FOR measure IN (records, missing_aqi, min_aqi, max_aqi))
+    {PROFILE}
     UNION ALL SELECT 'alert', level, 'value', 1.0, message FROM ({ALERTS})
     UNION ALL SELECT 'recommendation', CAST(position AS VARCHAR), 'value', 1.0, recommendation FROM ({ADVICE}))
     SELECT section, item, measure, {r6('value', 'value')}, text FROM long"""
@@ -363,6 +376,13 @@ ORACLE["feature_statistics"] = stats_of(
         "25%": "quantile_cont({c}, 0.25)", "50%": "quantile_cont({c}, 0.5)", "75%": "quantile_cont({c}, 0.75)",
     },
 )
+ORACLE["feature_statistics_sparse"] = ORACLE["feature_statistics"] + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'nothing', '{stat}', {value}"
+    for stat, value in {
+        **dict.fromkeys([*MOMENTS, "25%", "50%", "75%"], "NULL"), "count": "0.0",
+        "null_count": "(SELECT CAST(count(*) AS DOUBLE) FROM lineitem)", "null_percentage": "100.0",
+    }.items()
+)
 DISTRIBUTIONS = stats_of(
     "readings",
     ["aqi", "pm25"],
@@ -467,6 +487,10 @@ ORACLE["expanding_folds_time"] = f"{SNAPPED} SELECT CAST(fold AS INTEGER) AS fol
 ORACLE["holdout_split"] = (
     f"{NUMBERED} SELECT seq, CASE WHEN i < CAST(floor(total * (1 - 0.2)) AS BIGINT) THEN 'train' ELSE 'test' END AS role FROM n"
 )
+ORACLE["holdout_split_null_time"] = """WITH o AS (SELECT o_orderkey AS seq,
+    CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS timestamp FROM orders),
+    n AS (SELECT seq, row_number() OVER (ORDER BY timestamp NULLS FIRST, seq) - 1 AS i, count(*) OVER () AS total FROM o)
+    SELECT seq, CASE WHEN i < CAST(floor(total * (1 - 0.2)) AS BIGINT) THEN 'train' ELSE 'test' END AS role FROM n"""
 ORACLE["leakage_check"] = f"{FOLDS} {LEAK}"
 ORACLE["leakage_check_time"] = f"{SNAPPED} {LEAK}"
 
@@ -549,7 +573,7 @@ ORACLE["event_metrics"] = latency(
 )
 ORACLE["event_metrics_by_type"] = latency(PERCENTILES, "events GROUP BY event_type", "event_type,")
 ORACLE["event_metrics_windowed"] = latency(
-    "",
+    f", {r6('quantile_disc(value, 0.95)', 'p95_latency_ms')}, {r6('quantile_disc(value, 0.99)', 'p99_latency_ms')}",
     """events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
     GROUP BY date_trunc('hour', ts)""",
     "epoch_us(date_trunc('hour', ts)) AS window_start_us,",
@@ -633,6 +657,7 @@ ORACLE["alert_store_round_trip"] = readings(
 STORE = f"{RULES}{sent('rules')}, stored AS (SELECT *, {alert_id('rule_based')} AS alert_id, seq % 3 = 0 AS acknowledged FROM sent)"
 RECENT = f"timestamp > {NOW} - INTERVAL 168 HOURS"
 ORACLE["active_alerts"] = readings(f"{STORE} SELECT alert_id, city, level, {US} FROM stored WHERE NOT acknowledged", True)
+ORACLE["get_alert"] = readings(f"{STORE} SELECT alert_id, city, level, {US} FROM stored ORDER BY alert_id DESC LIMIT 1", True)
 ORACLE["active_alerts_filtered"] = readings(
     f"{STORE} SELECT alert_id, city, level, {US} FROM stored WHERE NOT acknowledged AND city = 'error' AND level = 'warning'",
     True,
@@ -672,3 +697,25 @@ ORACLE["history"] = readings(
     f"SELECT city, {US}, aqi FROM readings WHERE city IN ('error', 'view') AND timestamp > {NOW} - INTERVAL 7 DAYS"
 )
 ORACLE["city_list"] = readings("SELECT DISTINCT city FROM readings")
+
+# ------------------------------------------------------------------ models: what is certain about them
+
+ORACLE["predicted_rows"] = readings(
+    f"""{silver('timestamp')}, n AS (SELECT city, row_number() OVER (ORDER BY timestamp, seq) - 1 AS i, count(*) OVER () AS total
+    FROM silver) SELECT kind, city, count(*) AS records, count(*) AS predicted
+    FROM n, (VALUES ('boosted_trees'), ('random_forest')) k(kind)
+    WHERE i >= CAST(floor(total * (1 - 0.2)) AS BIGINT) GROUP BY kind, city"""
+)
+ORACLE["fold_sizes"] = readings(
+    f"""{silver('timestamp')}, t AS (SELECT count(*) // 4 AS size FROM silver)
+    SELECT CAST(fold AS INTEGER) AS fold, role, CASE WHEN role = 'train' THEN size * fold ELSE size END AS records
+    FROM t, (VALUES (1), (2), (3)) f(fold), (VALUES ('train'), ('test')) r(role)"""
+)
+ORACLE["importance_total"] = f"SELECT {len(MODEL_FEATURES)} AS features, 1.0 AS total, true AS none_negative"
+ORACLE["forecast_shape"] = readings(
+    f"{silver('timestamp')} SELECT DISTINCT city, 24 AS hours, 24 AS stamps, 24 AS inside, true AS one_width FROM silver"
+)
+ORACLE["registry_counts"] = """SELECT * FROM (VALUES ('all', NULL, 2), ('type', 'boosted_trees', 1), ('type', 'random_forest', 1),
+    ('name', 'boosted_trees', 1), ('name', 'random_forest', 1)) v("grouping", "value", models)"""
+ORACLE["scaler_round_trip"] = "SELECT " + ", ".join(f"0.0 AS {c}_mean" for c in MEASURES) + ", count(*) AS records FROM lineitem"
+ORACLE["fingerprint_of_shuffled"] = "SELECT count(*) AS records, 1 AS fingerprints FROM events"

@@ -152,7 +152,10 @@ def read_history_csv(spark, folder):
         *[F.lit(None).cast("string").alias(p) for p in POLLUTANTS if p != "pm25"],
         "seq",
     )
-    text.write.option("header", True).csv(path)
+    # two kinds of files: all columns, and some of them in another order with one that nobody knows
+    text.where("seq % 2 = 0").write.option("header", True).csv(f"{path}/whole")
+    few = text.where("seq % 2 = 1").select("seq", "pm25", "aqi", F.lit("x").alias("remark"), "timestamp", "city")
+    few.write.option("header", True).csv(f"{path}/few")
     extra = T.StructType([T.StructField("seq", T.StringType())])
     made = landing.coerce_types(landing.read_history_csv(spark, path, extra).drop(landing.CORRUPT))
     return made.select(F.col("seq").cast("long").alias("seq"), "city", us(), "aqi", "pm25")
@@ -205,7 +208,11 @@ def _event_text(spark, folder):
             F.create_map(F.lit("pm25"), F.col("pm25")).alias("pollutants"),
         )
     )
-    return readings(spark, folder).select("seq", F.when(seq % 41 == 0, "{broken").otherwise(body).alias("value"))
+    wrong = F.when(seq % 41 == 0, "{broken")
+    for remainder, stamp in ((1, "1e300"), (2, '"NaN"'), (3, '"Infinity"')):
+        wrong = wrong.when(seq % 41 == remainder, F.format_string(f'{{"city": "%s", "timestamp": {stamp}, "aqi": 7}}', "city"))
+    wrong = wrong.when(seq % 41 == 4, F.format_string('{"city": "%s", "timestamp": 5, "aqi": "NaN"}', "city"))
+    return readings(spark, folder).select("seq", wrong.otherwise(body).alias("value"))
 
 
 @query
@@ -364,7 +371,7 @@ def quality_recommendations(spark, folder):
 @query
 def column_profile(spark, folder):
     made = quality.column_profile(readings(spark, folder))
-    return made.select("column", "missing", r6("missing_pct", "missing_pct"), "distinct")
+    return made.select("column", "missing", r6("missing_pct", "missing_pct"), "distinct", "type")
 
 
 @query
@@ -375,9 +382,7 @@ def group_profile(spark, folder):
 @query
 def quality_report(spark, folder):
     made = quality.quality_report(readings(spark, folder))
-    return made.where(F.col("section") != "column").select(
-        "section", "item", "measure", r6("value", "value"), "text"
-    )
+    return made.select("section", "item", "measure", r6("value", "value"), "text")
 
 
 @query
@@ -456,11 +461,9 @@ def window_state_stats(spark, folder):
 @query
 def temporal_parts(spark, folder):
     rows = readings(spark, folder).select("seq", "timestamp")
-    made = features.temporal_parts(rows)
-    sunday = features.temporal_parts(rows, week="sunday").select(
-        "seq", F.col("day_of_week").alias("sunday_day"), F.col("is_weekend").alias("sunday_weekend")
-    )
-    return made.join(sunday, "seq").select(
+    sunday = features.temporal_parts(rows, week="sunday")
+    sunday = sunday.withColumnsRenamed({"day_of_week": "sunday_day", "is_weekend": "sunday_weekend"})
+    return features.temporal_parts(sunday.select("seq", "timestamp", "sunday_day", "sunday_weekend")).select(
         "seq", "hour_of_day", "day_of_week", "month", "is_weekend", "sunday_day", "sunday_weekend"
     )
 
@@ -510,6 +513,13 @@ def feature_statistics(spark, folder):
     return rounded(profile.feature_statistics(lineitem(spark, folder), MEASURES))
 
 
+@query
+def feature_statistics_sparse(spark, folder):
+    """A column without any value, by the way for tables of any size."""
+    rows = table(spark, folder, "lineitem").select(*MEASURES, F.lit(None).cast("double").alias("nothing"))
+    return rounded(profile.feature_statistics(rows, [*MEASURES, "nothing"], limit=0))
+
+
 @query
 def feature_distributions(spark, folder):
     return rounded(profile.feature_distributions(readings(spark, folder), ["aqi", "pm25"]))
@@ -589,6 +599,14 @@ def holdout_split(spark, folder):
     return splits.holdout_split(order_rows(spark, folder), 0.2).select("seq", "role")
 
 
+@query
+def holdout_split_null_time(spark, folder):
+    """Every tenth order has no timestamp; those come first."""
+    rows = order_rows(spark, folder)
+    rows = rows.withColumn("timestamp", F.when(F.col("seq") % 10 != 0, F.col("timestamp")))
+    return splits.holdout_split(rows, 0.2).select("seq", "role")
+
+
 @query
 def leakage_check(spark, folder):
     made = splits.leakage_check(splits.expanding_folds(order_rows(spark, folder)))
@@ -697,14 +715,15 @@ def evaluate_all(spark, folder):
 
 @query
 def model_feature_importance(spark, folder):
-    return rounded(models.model_feature_importance(_model(spark, folder, "boosted_trees"), spark, 10))
+    return rounded(models.model_feature_importance(_model(spark, folder, "boosted_trees"), spark))
 
 
 @query
 def forecast_24h(spark, folder):
     trained = _model(spark, folder, "boosted_trees")
     rows = clean.clean(readings(spark, folder))
-    sigma = models.residual_sigma(trained, _training_rows(spark, folder))
+    held = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'test'")
+    sigma = models.residual_sigma(trained, held)
     made = models.forecast_24h(trained, rows, sigma)
     return rounded(made.select("city", us(), "predicted_aqi", "upper_bound", "lower_bound"))
 
@@ -716,12 +735,82 @@ def model_registry(spark, folder):
         trained = _model(spark, folder, kind)
         row = evaluate.regression_metrics(_scored(spark, folder, kind), "aqi", "prediction").first()
         store.register(trained, kind, "v1", {m: row[m] for m in ("rmse", "mae", "r2")})
-    store.register(_model(spark, folder, "boosted_trees"), "boosted_trees", "v2", {"r2": -1.0})
+    row = evaluate.regression_metrics(_scored(spark, folder, "boosted_trees"), "aqi", "prediction", keys=["city"]).first()
+    store.register(_model(spark, folder, "boosted_trees"), "boosted_trees", "v2", {m: row[m] for m in ("rmse", "mae", "r2")})
     store.delete("boosted_trees_v2")
     store.get(store.best("rmse")["model_id"])
     return store.stats()
 
 
+@query
+def predicted_rows(spark, folder):
+    """Each row of the holdout has a finite prediction, for both kinds of models."""
+    both = _scored(spark, folder, "boosted_trees").withColumn("kind", F.lit("boosted_trees"))
+    both = both.union(_scored(spark, folder, "random_forest").withColumn("kind", F.lit("random_forest")))
+    fine = F.abs("prediction") < float("inf")
+    return both.groupBy("kind", "city").agg(F.count("*").alias("records"), F.count_if(fine).alias("predicted"))
+
+
+@query
+def fold_sizes(spark, folder):
+    """Rows of the folds along time that cross validation trains and tests on."""
+    made = splits.expanding_folds(_training_rows(spark, folder))
+    return made.groupBy("fold", "role").agg(F.count("*").alias("records"))
+
+
+@query
+def importance_total(spark, folder):
+    made = models.model_feature_importance(_model(spark, folder, "random_forest"), spark)
+    return made.agg(F.count("*").alias("features"), r6(F.sum("importance"), "total"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+@query
+def forecast_shape(spark, folder):
+    """24 hours for each city, the prediction between bounds of one width."""
+    trained = _model(spark, folder, "boosted_trees")
+    held = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'test'")
+    made = models.forecast_24h(trained, clean.clean(readings(spark, folder)), models.residual_sigma(trained, held))
+    width = F.round(F.col("upper_bound") - F.col("predicted_aqi"), 6)
+    inside = (F.col("lower_bound") <= F.col("predicted_aqi")) & (F.col("predicted_aqi") <= F.col("upper_bound"))
+    return made.groupBy("city").agg(
+        F.count("*").alias("hours"), F.count_distinct("timestamp").alias("stamps"), F.count_if(inside).alias("inside"),
+        (F.max(width) == F.min(width)).alias("one_width"),
+    )
+
+
+@query
+def registry_counts(spark, folder):
+    """Two kinds registered, one of them twice, one version deleted."""
+    return model_registry(spark, folder).select("grouping", "value", F.col("models").cast("long").alias("models"))
+
+
+@query
+def scaler_round_trip(spark, folder):
+    """A scaler saved, loaded and used gives what the one that was fitted gives."""
+    rows = table(spark, folder, "lineitem")
+    fitted = scaling.scaler_fit(rows, MEASURES)
+    path = new_folder(spark, "scaler")
+    scaling.scaler_save(fitted, path)
+    made = scaling.scaler_transform(rows, scaling.scaler_load(spark, path))
+    return made.agg(*[r6(F.avg(c), f"{c}_mean") for c in MEASURES], F.count("*").alias("records"))
+
+
+@query
+def get_alert(spark, folder):
+    """The alert of largest id, looked up by that id in the store."""
+    stored, _, _ = _store(spark, folder)
+    wanted = stored.agg(F.max("alert_id")).first()[0]
+    return alert_store.get_alert(stored, wanted).select("alert_id", "city", "level", us())
+
+
+@query
+def fingerprint_of_shuffled(spark, folder):
+    """The fingerprint of a table does not depend on the order or the partitions of its rows."""
+    rows = readings(spark, folder)
+    both = serving.table_fingerprint(rows).union(serving.table_fingerprint(rows.repartition(7, "station_id").orderBy(F.desc("seq"))))
+    return both.agg(F.max("records").alias("records"), F.count_distinct("fingerprint").alias("fingerprints"))
+
+
 # ---------------------------------------------------------------- streaming
 
 
@@ -824,7 +913,7 @@ def event_metrics_windowed(spark, folder):
     return rounded(
         made.select(
             us("window_start"), "event_count", "error_count", "error_rate", "min_latency_ms", "max_latency_ms",
-            "mean_latency_ms",
+            "mean_latency_ms", "p95_latency_ms", "p99_latency_ms",
         )
     )
 
