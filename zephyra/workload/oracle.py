@@ -719,3 +719,6 @@ ORACLE["registry_counts"] = """SELECT * FROM (VALUES ('all', NULL, 2), ('type',
     ('name', 'boosted_trees', 1), ('name', 'random_forest', 1)) v("grouping", "value", models)"""
 ORACLE["scaler_round_trip"] = "SELECT " + ", ".join(f"0.0 AS {c}_mean" for c in MEASURES) + ", count(*) AS records FROM lineitem"
 ORACLE["fingerprint_of_shuffled"] = "SELECT count(*) AS records, 1 AS fingerprints FROM events"
+ORACLE["stream_dedup"] = readings(
+    "SELECT DISTINCT city, epoch_us(date_trunc('minute', timestamp)) AS timestamp_us FROM readings WHERE aqi IS NOT NULL"
+)

@@ -17,8 +17,9 @@ from zephyra.sources import events as messages
 from zephyra.sources import landing, tables
 from zephyra.streaming import scoring
 from zephyra.streaming.alerts import suppress_repeats_stream
+from zephyra.streaming.clean import deduplicate_stream
 from zephyra.streaming.features import stream_features
-from zephyra.workload.views import as_readings, readings, table
+from zephyra.workload.views import readings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,10 +131,16 @@ def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def reading_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return as_readings(source).where("aqi is not null")
+def reading_stream(spark: SparkSession, folder: str, batches: int = 4) -> DataFrame:
+    """The readings as a stream of that many micro-batches in time order: files written one after another, read one at a time."""
+    rows = readings(spark, folder).where("aqi is not null")
+    path = new_folder(spark, "readings")
+    at = F.unix_micros("timestamp")
+    cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(at >= low)
+        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 # ------------------------------------------------------- sources and sinks
@@ -841,6 +848,14 @@ def assemble_features(spark, folder):
     return made.select("seq", *parts)
 
 
+@query
+def stream_dedup(spark, folder):
+    """Instants of each city, of which several readings share some after rounding to the minute."""
+    rows = reading_stream(spark, folder).withColumn("timestamp", F.date_trunc("minute", "timestamp"))
+    made = run_to_end(spark, deduplicate_stream(rows), "dedup")
+    return made.select("city", us())
+
+
 @query
 def stream_features_query(spark, folder):
     made = run_to_end(spark, stream_features(reading_stream(spark, folder)), "features")
