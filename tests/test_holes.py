@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, rows_of
-from zephyra.operators import profile, splits
+from zephyra.operators import alerts, profile, splits
 from zephyra.plans.quantiles import quantiles
 from zephyra.sources import events, landing
 
@@ -82,3 +82,14 @@ print('ROWS', e.queries()['suppress_repeats'](spark, {SMALL!r}).count())
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, check=False)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_regular_cadence_over_many_chunks(spark):
+    """Maps never shrink on a regular cadence; chunks are joined two at a time."""
+    rows = spark.range(900).select(
+        F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, "a").alias("city"), F.lit("warning").alias("level"),
+        F.timestamp_millis(F.col("id") * 10 + 5_000_000).alias("timestamp"),
+    )
+    rows = rows.union(rows.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).withColumn("seq", F.col("seq") + 900))
+    whole, cut = (rows_of(alerts.suppress_repeats(rows, 1, limit=limit), "seq") for limit in (10**6, 40))
+    assert whole == cut and len(whole) == 4

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from zephyra.functions.spacing import exits, passing
+from zephyra.functions.spacing import entered, exits, followed, passing
 
 stamps = st.lists(st.integers(0, 400), min_size=1, max_size=60, unique=True).map(sorted)
 
@@ -63,3 +63,16 @@ def test_repeats(spark, hourly):
     for wrong in (0, -1, 1.5, True):
         with pytest.raises(ValueError):
             suppress_repeats(rows, wrong)
+
+
+@settings(deadline=None, max_examples=300)
+@given(stamps, st.integers(1, 50), st.lists(st.integers(0, 400), min_size=1, max_size=4), st.one_of(st.none(), st.integers(-60, -1)))
+def test_maps_of_neighbours_make_the_map_of_both(times, window, cuts, last):
+    times = np.array(times)
+    parts = [p for p in np.split(times, np.searchsorted(times, sorted(cuts))) if len(p)]
+    upto, end = exits(parts[0], window)
+    for part in parts[1:]:
+        upto, end = followed(upto, end, *exits(part, window), window)
+    sent = greedy(times.tolist(), window, last)
+    assert entered(upto, end, window, last) == (sent[-1] if sent else last)
+    assert (np.diff(upto) > 0).all() and len(upto) <= np.count_nonzero(times < times[0] + window) + 1

@@ -26,8 +26,8 @@ def exits(stamps: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
     A pass before the run allows the first instant at or after ``last + window``. Returns ``(upto, exit)``: when that
     moment is at most ``upto[i]`` (and above ``upto[i - 1]``), the last pass in the run is ``exit[i]``. Moments above
-    the last ``upto`` leave the run without a pass. Equal neighbours are merged, which leaves few entries, because
-    chains that start close together soon meet.
+    the last ``upto`` leave the run without a pass. Equal neighbours are merged; there is at most one entry for each instant
+    of the first ``window``.
     """
     n = len(stamps)
     end = np.arange(n)
@@ -43,3 +43,21 @@ def exits(stamps: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     reached = stamps[end[:starts]]
     last_of_run = np.append(reached[1:] != reached[:-1], True)
     return stamps[:starts][last_of_run], reached[last_of_run]
+
+
+def entered(upto: np.ndarray, end: np.ndarray, window: int, last: int | None) -> int | None:
+    """The last pass in a run, or before it, given the last pass before it and the run's :func:`exits`."""
+    at = 0 if last is None else int(np.searchsorted(upto, last + window, side="left"))
+    return int(end[at]) if at < len(upto) else last
+
+
+def followed(
+    upto: np.ndarray, end: np.ndarray, next_upto: np.ndarray, next_end: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The :func:`exits` of two neighbouring runs taken together, from those of each."""
+    at = np.searchsorted(next_upto, end + window, side="left")
+    through = np.where(at < len(next_upto), np.append(next_end, 0)[np.minimum(at, len(next_upto))], end)
+    later = next_upto > upto[-1]
+    upto, end = np.append(upto, next_upto[later]), np.append(through, next_end[later])
+    last_of_run = np.append(end[1:] != end[:-1], True)
+    return upto[last_of_run], end[last_of_run]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from zephyra.functions.bands import category, category_attribute, prediction_advice, prediction_level
 from zephyra.functions.columns import need_columns
 from zephyra.functions.rounding import fixed_text
-from zephyra.functions.spacing import exits, passing
+from zephyra.functions.spacing import entered, exits, followed, passing
 from zephyra.plans.ordered import chunk_rows, join_on
+from zephyra.plans.tables import write_out
 from zephyra.schemas import ALERT_WINDOW_HOURS, PREDICTION_THRESHOLD
 
 INSTANTS_PER_TASK = 500_000  # of one key, as numbers in a Python worker
@@ -148,30 +149,47 @@ def _sent(instants: DataFrame, keys: list[str], window: int, limit: int, bound:
 
 
 def _entries(chunks: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Per chunk, the last sent stamp before it."""
+    """Per chunk, the last sent stamp before it.
+
+    The map of a chunk takes the last stamp before it to the last one in it. Neighbouring maps are joined pairwise, level by
+    level, up to one for each key; then the stamps before go down the same levels. No task holds more than two maps.
+    """
     group = [*keys, "_chunk"]
     fields = chunks.select(*group).schema.simpleString()[len("struct<") : -1]
+    shape = f"{fields}, _upto array<bigint>, _exit array<bigint>"
 
     def map_of_chunk(rows: pd.DataFrame) -> pd.DataFrame:
         upto, end = exits(np.sort(rows["_us"].to_numpy()), window)
-        head = rows[group].iloc[[0]].reset_index(drop=True)
-        return head.loc[head.index.repeat(len(upto))].reset_index(drop=True).assign(_upto=upto, _exit=end)
-
-    maps = chunks.groupBy(*group).applyInPandas(map_of_chunk, f"{fields}, _upto bigint, _exit bigint")
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        last, found = None, []
-        for number, part in rows.sort_values(["_chunk", "_upto"]).groupby("_chunk", sort=True):
-            found.append((number, last))
-            moment = part["_upto"].iloc[0] if last is None else last + window
-            fits = part["_exit"].to_numpy()[np.searchsorted(part["_upto"].to_numpy(), moment, side="left") :]
-            last = int(fits[0]) if len(fits) else last
-        made = pd.DataFrame(found, columns=["_chunk", "_last"]).astype({"_last": "Int64"})
-        for name in keys:
-            made[name] = rows[name].iloc[0]
-        return made[[*group, "_last"]]
-
-    return maps.groupBy(*keys).applyInPandas(chain, f"{fields}, _last bigint")
+        return rows[group].iloc[[0]].assign(_upto=[upto], _exit=[end])
+
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_chunk", ignore_index=True)
+        upto, end = rows["_upto"].iloc[0], rows["_exit"].iloc[0]
+        if len(rows) > 1:
+            upto, end = followed(upto, end, rows["_upto"].iloc[1], rows["_exit"].iloc[1], window)
+        return rows[keys].iloc[[0]].assign(_chunk=rows["_parent"].iloc[0], _upto=[upto], _exit=[end])[[*group, "_upto", "_exit"]]
+
+    def down(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_chunk", ignore_index=True)
+        last = None if pd.isna(rows["_last"].iloc[0]) else int(rows["_last"].iloc[0])
+        lasts = [last]
+        if len(rows) > 1:
+            lasts.append(entered(rows["_upto"].iloc[0], rows["_exit"].iloc[0], window, last))
+        return rows[group].assign(_last=pd.array(lasts, dtype="Int64"))
+
+    parent = F.shiftright("_chunk", 1).alias("_parent")
+    levels = [write_out(chunks.groupBy(*group).applyInPandas(map_of_chunk, shape))]
+    most = levels[0].agg(F.max("_chunk")).first()[0] or 0
+    while most > 0:
+        joined = levels[-1].select("*", parent).groupBy(*keys, "_parent").applyInPandas(together, shape)
+        levels.append(write_out(joined))
+        most >>= 1
+    lasts = levels.pop().select(*group, F.lit(None).cast("long").alias("_last"))
+    while levels:
+        above = lasts.withColumnRenamed("_chunk", "_parent")
+        rows = join_on(levels.pop().select("*", parent), above, [*keys, "_parent"])
+        lasts = write_out(rows.groupBy(*keys, "_parent").applyInPandas(down, f"{fields}, _last bigint"))
+    return lasts
 
 
 def suppression_state(sent: DataFrame, now: Column, hours: int = ALERT_WINDOW_HOURS) -> DataFrame:

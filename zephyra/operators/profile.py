@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zephyra.functions.columns import long_rows, need_columns, numeric_columns, tidy
 from zephyra.functions.moments import correlation, unbiased_kurtosis, unbiased_skewness
 from zephyra.plans.quantiles import VALUES_PER_AGGREGATE, quantiles
+from zephyra.plans.tables import write_out
 
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
@@ -32,8 +33,11 @@ def _per_column(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-def _quartiles(df: DataFrame, columns: list[str], names: dict[str, float], limit: int) -> DataFrame:
-    found = quantiles(df, columns, list(names.values()), limit=limit)
+def _quartiles(
+    df: DataFrame, columns: list[str], names: dict[str, float], limit: int, known: DataFrame | None = None
+) -> DataFrame:
+    """``known`` are quartiles that were worked out before."""
+    found = quantiles(df, columns, list(names.values()), limit=limit) if known is None else known
     label = None
     for name, p in names.items():
         label = (label.when if label is not None else F.when)(F.col("p") == p, name)
@@ -41,7 +45,7 @@ def _quartiles(df: DataFrame, columns: list[str], names: dict[str, float], limit
 
 
 def feature_statistics(
-    df: DataFrame, columns: list[str] | None = None, limit: int = VALUES_PER_AGGREGATE
+    df: DataFrame, columns: list[str] | None = None, limit: int = VALUES_PER_AGGREGATE, quartiles: DataFrame | None = None
 ) -> DataFrame:
     """``feature, stat, value``: count, mean, std, min, quartiles, max, skewness, kurtosis, nulls and their share."""
     columns = columns or numeric_columns(df)
@@ -56,11 +60,11 @@ def feature_statistics(
         "null_count": lambda c: F.count_if(c.isNull()),
         "null_percentage": lambda c: F.try_divide(F.count_if(c.isNull()) * 100.0, F.count("*")),
     }
-    return _per_column(df, columns, measures).unionByName(_quartiles(df, columns, QUARTILES, limit))
+    return _per_column(df, columns, measures).unionByName(_quartiles(df, columns, QUARTILES, limit, quartiles))
 
 
 def feature_distributions(
-    df: DataFrame, columns: list[str] | None = None, limit: int = VALUES_PER_AGGREGATE
+    df: DataFrame, columns: list[str] | None = None, limit: int = VALUES_PER_AGGREGATE, quartiles: DataFrame | None = None
 ) -> DataFrame:
     """``feature, stat, value``: mean, std, min, max, median, q25, q75, skewness, kurtosis."""
     columns = columns or numeric_columns(df)
@@ -73,7 +77,7 @@ def feature_distributions(
         "kurtosis": unbiased_kurtosis,
     }
     names = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    return _per_column(df, columns, measures).unionByName(_quartiles(df, columns, names, limit))
+    return _per_column(df, columns, measures).unionByName(_quartiles(df, columns, names, limit, quartiles))
 
 
 def _upper_triangle(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -143,10 +147,12 @@ def outliers_iqr(
     columns: list[str] | None = None,
     threshold: float = 1.5,
     limit: int = VALUES_PER_AGGREGATE,
+    quartiles: DataFrame | None = None,
 ) -> DataFrame:
     """``feature, keys..., value`` of the values outside ``[Q1 - k IQR, Q3 + k IQR]``. ``keys`` identify a row."""
     columns = columns or [c for c in numeric_columns(df) if c not in keys]
-    q = quantiles(df, columns, [0.25, 0.75], limit=limit).groupBy("feature").agg(
+    q = quantiles(df, columns, [0.25, 0.75], limit=limit) if quartiles is None else quartiles
+    q = q.groupBy("feature").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"),
     )
@@ -232,13 +238,14 @@ def analysis_report(
 
     none = F.lit(None)
     matrix = correlation_matrix(df, columns).withColumnRenamed("feature_a", "feature")
-    found = outliers_iqr(df, keys, columns)
+    quartiles = write_out(quantiles(df, columns, list(QUARTILES.values())))  # three rows per column
+    found = outliers_iqr(df, keys, columns, quartiles=quartiles)
     row_id = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     summary = df.agg(F.count("*").cast("double").alias("value")).select(F.lit(target).alias("feature"), "value")
     report = part(summary, "summary", F.lit("records"))
     for rows in (
-        part(feature_statistics(df, columns), "statistics", F.col("stat")),
-        part(feature_distributions(df, columns), "distributions", F.col("stat")),
+        part(feature_statistics(df, columns, quartiles=quartiles), "statistics", F.col("stat")),
+        part(feature_distributions(df, columns, quartiles=quartiles), "distributions", F.col("stat")),
         part(target_correlations(df, target, columns), "target_correlations", none, "r"),
         part(matrix, "correlation_matrix", F.col("feature_b"), "r"),
         part(feature_importance(df, target, columns), "importance", none, "importance"),
