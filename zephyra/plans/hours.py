@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyra.plans.ordered import ROWS_PER_TASK
+from zephyra.plans.tables import write_out
+
+#: Up to so many crowded instants are broadcast.
+BROADCAST_INSTANTS = 1_000_000
 
 HOUR = 3_600_000_000  # microseconds
 
@@ -245,11 +249,13 @@ def add_trailing(
     crowded = _crowded(asked, on, limit)
     if crowded is None:
         return asked.join(found, on, "left").select(*df.columns, *names)
-    # at most (rows of the table / limit) instants are crowded, so their list may be broadcast
+    crowded = write_out(crowded)
+    if crowded.count() <= BROADCAST_INSTANTS:  # else Spark joins them by a shuffle, in which it may split a large instant
+        crowded = F.broadcast(crowded)
     share = F.pmod(F.xxhash64(tie), F.coalesce("_copies", F.lit(1)))
-    asked = asked.join(F.broadcast(crowded), on, "left").withColumn("_share", share)
+    asked = asked.join(crowded, on, "left").withColumn("_share", share)
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", F.lit(1).cast("long")) - 1)
-    found = found.join(F.broadcast(crowded), on, "left").select(*on, *names, F.explode(copies).alias("_share"))
+    found = found.join(crowded, on, "left").select(*on, *names, F.explode(copies).alias("_share"))
     return asked.join(found, [*on, "_share"], "left").select(*df.columns, *names)
 
 
