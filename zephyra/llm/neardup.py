@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyra.llm.components import components
-from zephyra.llm.partenum import SKETCH, apart, shingle_sets, signatures, sketch
+from zephyra.llm.partenum import SKETCH, shingle_sets, signatures, sketch
 from zephyra.llm.texts import mixed, pieces
 from zephyra.plans.tables import write_out
 
@@ -24,6 +25,8 @@ from zephyra.plans.tables import write_out
 CROWDED = 20
 #: A group's sets are compared in blocks of this many.
 BLOCK = 4096
+#: Open pairs of a set with so many nearest others are compared before all the rest.
+NEAREST = 3
 #: Up to so many keys are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
@@ -117,11 +120,19 @@ def memberships(rows: DataFrame, percent: int, crowded: int = CROWDED) -> DataFr
             F.col("_hub.set").alias("hub"), F.shiftright("_hub.about", 32).alias("hub_n"),
         )
     )
+    # a set needs the first of its crowded signatures only, in one order for all sets
     busy = rows.where(F.col("_size") > crowded)
-    held = busy.groupBy("set", "band").agg(F.count("*").alias("_held"))
-    busy = busy.join(held, ["set", "band"]).where("_held > spare")
+    own = Window.partitionBy("set", "band")
+    busy = busy.withColumn("_held", F.count("*").over(own)).withColumn("_at", F.row_number().over(own.orderBy("_size", "sig")))
+    busy = busy.where("_at <= _held - spare")
     columns = ["sig", "set", "n", "hub", "hub_n"]
-    return write_out(rows.where(F.col("_size") <= crowded).select(columns).union(busy.select(columns)))
+    kept = write_out(rows.where(F.col("_size") <= crowded).select(columns).union(busy.select(columns)))
+    # many signatures have the same sets; one of them stands for all
+    prints = kept.groupBy("sig").agg(
+        F.count("*").alias("n"), F.min("hub").alias("hub"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y")
+    )
+    one = prints.groupBy("n", "hub", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    return write_out(kept.join(one, "sig", "left_semi"))
 
 
 def keyed(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
@@ -138,8 +149,8 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) ->
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            sides = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("wide_a", "wide_b")]
-            bits = np.fromiter((apart(x, y) for x, y in zip(*sides, strict=True)), np.int64, len(sizes))
+            rows = np.arange(len(sizes))
+            bits = _apart(pa.concat_arrays([batch.column("wide_a"), batch.column("wide_b")]), rows, rows + len(rows))
             yield batch.select(["a", "b"]).filter(pa.array(bits * (100 + percent) <= sizes * (100 - percent)))
 
     pairs = pairs.where(_alike_in_size("na", "nb", percent)).select("a", "b", "na", "nb", "wide_a", "wide_b")
@@ -176,24 +187,25 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) ->
     return with_both.mapInArrow(compare, "a long, b long")
 
 
-def open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def open_pairs(
+    members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, nearest: int | None = None
+) -> DataFrame:
     """Pairs of a group that are in different components and that their sketches do not rule out.
 
-    Only hub pairs were compared so far. A large group is dealt into blocks, and each two blocks are a task's work.
+    A large group is dealt into blocks, and each two blocks are a task's work. With ``nearest`` a set is looked at in its
+    largest group only, and gives only the pairs with so many sets whose sketches are nearest to its own: most of what links
+    at all links there, and then is one component.
     """
     rest = members.where("set != hub").select("sig", "set")
     rest = rest.join(found.select(F.col("node").alias("set"), "component"), "set", "left")
     rest = rest.withColumn("component", F.coalesce("component", "set"))
     by = Window.partitionBy("sig")
-    for name, value in (
-        ("_low", F.min("component")), ("_high", F.max("component")), ("_size", F.count("*")),
-        ("_x", F.bit_xor(F.xxhash64("set"))), ("_y", F.bit_xor(F.xxhash64("set", F.lit(1)))),
-    ):
+    for name, value in (("_low", F.min("component")), ("_high", F.max("component")), ("_size", F.count("*"))):
         rest = rest.withColumn(name, value.over(by))
-    rest = write_out(rest.where("_low != _high").drop("_low", "_high"))
-    # many signatures have the same sets; one of them stands for all
-    one = rest.groupBy("_size", "_x", "_y").agg(F.min("sig").alias("sig")).select("sig")
-    rest = rest.join(one, "sig", "left_semi")
+    rest = rest.where("_low != _high").drop("_low", "_high")
+    if nearest is not None:  # each set in its largest group
+        largest = Window.partitionBy("set").orderBy(F.desc("_size"), "sig")
+        rest = rest.withColumn("_at", F.row_number().over(largest)).where("_at = 1").drop("_at")
     parts = F.ceil(F.col("_size") / block)
     rest = rest.withColumn("_own", F.pmod(F.xxhash64("set"), parts)).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select(
@@ -221,7 +233,7 @@ def open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: i
         bits = np.stack([batch.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
         head = np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         group = np.cumsum(head)
-        at, found = np.arange(len(sig) - 1), [np.zeros((0, 2), np.int64)]
+        at, found = np.arange(len(sig) - 1), [np.zeros((3, 0), np.int32)]
         for k in range(1, len(sig)):
             at = at[at + k < len(sig)]
             at = at[group[at] == group[at + k]]
@@ -233,21 +245,50 @@ def open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: i
             x, y = at[ok], other[ok]
             differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             ok = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
-            found.append(np.stack([x[ok], y[ok]], axis=1))
-        rows = np.concatenate(found)
-        pairs, first = np.unique(np.sort(name[rows], axis=1), axis=0, return_index=True)
-        wide = batch.column("wide")
-        keep = np.zeros(len(pairs), bool)
-        for p, (x, y) in enumerate(rows[first].tolist()):
-            bits_apart = apart(*(np.frombuffer(wide[r].as_py(), np.uint64) for r in (x, y)))
-            keep[p] = bits_apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
-        pairs = pairs[keep]
+            found.append(np.stack([x[ok], y[ok], differ[ok]]).astype(np.int32))
+        x, y, differ = np.concatenate(found, axis=1)
+        a, b = np.minimum(name[x], name[y]), np.maximum(name[x], name[y])
+        order = np.lexsort((b, a))
+        order = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]]
+        x, y, differ = x[order], y[order], differ[order]
+        keep = _apart(batch.column("wide"), x, y) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+        x, y, differ = x[keep], y[keep], differ[keep]
+        if nearest is not None:
+            ends, both, pair = np.concatenate([name[x], name[y]]), np.tile(differ, 2), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((both, ends))
+            first = np.searchsorted(ends[order], ends[order])
+            chosen = np.unique(pair[order[np.arange(len(order)) - first < nearest]])
+            x, y = x[chosen], y[chosen]
+        pairs = np.sort(np.stack([name[x], name[y]], axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     together = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     return together.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _apart(sketches: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of rows x and y differ, for whole arrays of pairs with the same two lengths at a time."""
+    size = pc.binary_length(sketches).to_numpy().astype(np.int64) // 8
+    out = np.zeros(len(x), np.int64)
+    matrix, place = {}, np.zeros(len(size), np.int64)
+    for width in np.unique(size[np.concatenate([x, y])]).tolist():
+        rows = np.flatnonzero(size == width)
+        place[rows] = np.arange(len(rows))
+        matrix[width] = np.frombuffer(b"".join(sketches.take(pa.array(rows)).to_pylist()), np.uint64).reshape(-1, width)
+    for p in matrix:
+        for q in matrix:
+            at = np.flatnonzero((size[x] == p) & (size[y] == q))
+            step = max(1, (32 << 20) // (8 * max(p, q)))
+            for part in (at[k : k + step] for k in range(0, len(at), step)):
+                a, b = matrix[p][place[x[part]]], matrix[q][place[y[part]]]
+                while a.shape[1] > b.shape[1]:
+                    a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+                while b.shape[1] > a.shape[1]:
+                    b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+                out[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``.
 
@@ -268,8 +309,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROWDED,
     hubs = hubs.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
     links = write_out(linked(hubs, sets, docs, percent))
     found = write_out(components(links))
-    more = linked(open_pairs(members, found, sets, percent, block), sets, docs, percent)
-    found = write_out(components(links.union(more)))
+    for nearest in (NEAREST, None):
+        more = linked(open_pairs(members, found, sets, percent, block, nearest), sets, docs, percent)
+        links = write_out(links.union(more))
+        found = write_out(components(links))
     named = sets.join(found.select(F.col("node").alias("set"), "component"), "set", "left")
     named = named.withColumn("component", F.coalesce("component", "set"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -88,9 +88,11 @@ def sketch(elements: np.ndarray, bits: int | None = None) -> np.ndarray:
     """Bits as 64-bit words: for each bit, whether the number of elements dealt to it is odd.
 
     Each element in which two sets differ changes one bit, so sets that differ in d elements have sketches that differ in d
-    bits at most. By default there are four to eight bits for each element; a longer sketch can be folded to a shorter.
+    bits at most. By default there are 16 to 32 bits for each element of a small set, and four to eight for those of a large one; a longer
+    sketch can be folded to a shorter.
     """
-    bits = bits or max(SKETCH, 4 << len(elements).bit_length())
+    size = len(elements).bit_length()
+    bits = bits or max(SKETCH, min(16 << size, 8192), 4 << size)
     count = np.bincount((elements >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(count.astype(np.uint8)).view(np.uint64)
 
