@@ -23,6 +23,8 @@ from zephyra.plans.tables import write_out
 
 #: A signature of more sets than this is crowded: sets that can spare it drop it.
 CROWDED = 20
+#: Groups are compared side by side in slices of about so many rows.
+SLICE_ROWS = 1024
 #: A group's sets are compared in blocks of this many.
 BLOCK = 4096
 #: Open pairs of a set with so many nearest others are compared before all the rest.
@@ -222,11 +224,20 @@ def open_pairs(
             keys = [batch.column(c).to_numpy() for c in ("sig", "i", "j")]
             last = np.flatnonzero(~np.logical_and.reduce([k == k[-1] for k in keys]))
             cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield side_by_side(batch.slice(0, cut))
+            yield from slices(batch.slice(0, cut))
             left = batch.slice(cut)
         if left is not None:
-            yield side_by_side(left)
+            yield from slices(left)
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """A few groups at a time, or one large group: what a task holds grows with the pairs of a slice."""
+        keys = [batch.column(c).to_numpy() for c in ("sig", "i", "j")]
+        heads = np.flatnonzero(np.logical_or.reduce([np.diff(k, prepend=k[:1] - 1) != 0 for k in keys])) if batch.num_rows else []
+        start = 0
+        for head in [*heads[1:], batch.num_rows]:
+            if head - start >= SLICE_ROWS or head == batch.num_rows > start:
+                yield side_by_side(batch.slice(start, head - start))
+                start = head
 
     def side_by_side(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig, i, j, own, component, name, n = (batch.column(c).to_numpy() for c in ("sig", "i", "j", "_own", "component", "set", "n"))
@@ -278,7 +289,7 @@ def _apart(sketches: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for p in matrix:
         for q in matrix:
             at = np.flatnonzero((size[x] == p) & (size[y] == q))
-            step = max(1, (32 << 20) // (8 * max(p, q)))
+            step = max(1, (8 << 20) // (8 * max(p, q)))
             for part in (at[k : k + step] for k in range(0, len(at), step)):
                 a, b = matrix[p][place[x[part]]], matrix[q][place[y[part]]]
                 while a.shape[1] > b.shape[1]:
