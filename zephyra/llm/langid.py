@@ -27,8 +27,10 @@ ROUNDS = 3
 SMOOTHING = 0.1
 #: Text looked at together; all matches of pieces in its distinct words are in memory.
 PIECE = 1 << 20
-#: Probabilities are multiplied by this for every byte, so that products of many stay in range.
-_SCALE = 1000.0
+#: Probabilities are multiplied by this for every byte, so that products of up to ``SHORT`` bytes stay in range. Longer words
+#: are summed in logarithms, so many words and so many positions of each at a time.
+_SCALE, SHORT = 1000.0, 41
+LONG_WORDS, BLOCK = 1024, 256
 
 _matchers: dict[str, Matcher] = {}
 
@@ -75,11 +77,105 @@ def _relax(value: np.ndarray, source: np.ndarray, target: np.ndarray, depth: np.
         value[to[head]] = np.add.reduceat(value[source[a:b]] * theta[a:b], head, axis=0)
 
 
+def by_blocks(
+    match: Matcher, weigh, columns: int, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flip: bool = False, block: int = BLOCK
+) -> Iterator[tuple]:
+    """Logarithms of the sums of ``forward`` (``backward`` with ``flip``) for words of any length, a block of positions at a
+    time; only those from which a piece can reach on are kept for the next. ``weigh(pieces, words)`` gives the logarithms of
+    probabilities, with ``columns`` columns.
+
+    Yields for each block the words it has, the number of the first position of their stretch, the base of each stretch, its
+    length, the piece, source, target and word (among those of the block) of each match that ends in it, the weights, and the
+    values of all positions. Positions are counted from the end with ``flip``.
+    """
+    longest = int(match.lengths.max())
+    block = max(block, longest)
+    window = np.full((len(starts), longest + 1, columns), -np.inf)
+    window[:, -1] = 0.0
+    low, live = 0, np.arange(len(starts))
+    while len(live):
+        back = min(low, longest)
+        size = np.minimum(lengths[live] - low, block)
+        part = size + back
+        at = starts[live] + (lengths[live] - low - size if flip else low - back)
+        base = np.cumsum(part + 1) - (part + 1)
+        word = np.repeat(np.arange(len(live)), part + 1)
+        piece, source, target = match.edges(data[ranges(at, part)], np.cumsum(part) - part, part)
+        if flip:
+            mirror = (2 * base + part)[word[source]]
+            source, target = mirror - target, mirror - source
+        depth = target - base[word[target]] - back
+        order = np.lexsort((target, depth))
+        order = order[depth[order] > 0]
+        piece, source, target, depth = piece[order], source[order], target[order], depth[order]
+        value = np.full((len(word), columns), -np.inf)
+        value[ranges(base, np.full(len(live), back + 1))] = window[:, longest - back :].reshape(-1, columns)
+        weight = weigh(piece, live[word[target]])
+        _relax_logs(value, source, target, depth, weight)
+        yield live, low - back, base, part, (piece, source, target, word[target]), weight, value
+        low += block
+        more = lengths[live] > low
+        window = value[(base + part)[more][:, None] + np.arange(-longest, 1)]
+        live = live[more]
+
+
+def _relax_logs(value: np.ndarray, source: np.ndarray, target: np.ndarray, depth: np.ndarray, weight: np.ndarray) -> None:
+    """``_relax`` for logarithms."""
+    cuts = np.searchsorted(depth, np.arange(1, int(depth.max(initial=0)) + 2))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        to = target[a:b]
+        new = np.concatenate([[True], to[1:] != to[:-1]])
+        head = np.flatnonzero(new)
+        each = value[source[a:b]] + weight[a:b]
+        most = np.maximum.reduceat(each, head, axis=0)
+        each = np.exp(each - most[np.cumsum(new) - 1])
+        value[to[head]] = most + np.log(np.add.reduceat(each, head, axis=0))
+
+
+def long_scores(match: Matcher, logs: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """``word_scores`` for words of any length. ``logs``: pieces x languages."""
+    out = np.zeros((len(starts), logs.shape[1]))
+    for i in range(0, len(starts), LONG_WORDS):
+        some = slice(i, i + LONG_WORDS)
+        made = by_blocks(match, lambda piece, _: logs[piece], logs.shape[1], data, starts[some], lengths[some], block=block)
+        for live, _, base, part, _, _, value in made:
+            out[i + live] = value[base + part]
+    return out
+
+
+def long_uses(
+    match: Matcher, logs: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lang: np.ndarray, block: int = BLOCK
+) -> Iterator[tuple]:
+    """Piece, word and expected number of uses of the matches in words of any length, each in its language."""
+    for i in range(0, len(starts), LONG_WORDS):
+        some = slice(i, i + LONG_WORDS)
+        at, size, own = starts[some], lengths[some], lang[some]
+        zero = np.cumsum(size + 1) - (size + 1)
+        alpha = np.zeros(int((size + 1).sum()))
+
+        def weigh(piece, word):
+            return logs[piece, own[word]][:, None]  # noqa: B023
+
+        for live, low, base, part, _, _, value in by_blocks(match, weigh, 1, data, at, size, block=block):
+            alpha[ranges(zero[live] + low, part + 1)] = value[:, 0]
+        whole = alpha[zero + size]
+        for live, low, base, _, (piece, source, target, word), weight, value in by_blocks(match, weigh, 1, data, at, size, True, block):
+            first = (zero + size)[live][word] - (low + target - base[word])
+            yield piece, i + live[word], np.exp(alpha[first] + weight[:, 0] + value[source, 0] - whole[live[word]])
+
+
 def word_scores(match: Matcher, theta: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Logarithm of the probability of each word in each language. ``theta``: pieces x languages, scaled."""
-    edges = match.edges(data, starts, lengths)
-    alpha = forward(edges, lengths, theta[edges[0]])
-    return np.log(alpha[np.cumsum(lengths + 1) - 1]) - lengths[:, None] * np.log(_SCALE)
+    out, long = np.zeros((len(starts), theta.shape[1])), lengths > SHORT
+    if long.any():
+        out[long] = long_scores(match, np.log(theta), data, starts[long], lengths[long])
+    starts, sizes = starts[~long], lengths[~long]
+    edges = match.edges(data, starts, sizes)
+    alpha = forward(edges, sizes, theta[edges[0]])
+    out[~long] = np.log(alpha[np.cumsum(sizes + 1) - 1])
+    return out - lengths[:, None] * np.log(_SCALE)
 
 
 def _scaled(theta: np.ndarray, match: Matcher) -> np.ndarray:
@@ -153,8 +249,13 @@ def expected_uses(counts: DataFrame, model: Broadcast) -> DataFrame:
             data, bounds = views(batch.column("word"))
             n = batch.column("n").to_numpy()
             lang = np.array([index[x] for x in batch.column("lang").to_pylist()])
-            lengths = np.diff(bounds)
-            edges = match.edges(data, bounds[:-1], lengths)
+            starts, lengths = bounds[:-1], np.diff(bounds)
+            long = lengths > SHORT
+            if long.any():
+                for piece, word, expected in long_uses(match, np.log(theta), data, starts[long], lengths[long], lang[long]):
+                    np.add.at(uses, (piece, lang[long][word]), expected * n[long][word])
+            starts, lengths, lang, n = starts[~long], lengths[~long], lang[~long], n[~long]
+            edges = match.edges(data, starts, lengths)
             word = np.repeat(np.arange(len(lengths)), lengths + 1)[edges[2]]
             weight = theta[edges[0], lang[word]][:, None]
             alpha, beta = forward(edges, lengths, weight)[:, 0], backward(edges, lengths, weight)[:, 0]

@@ -1,8 +1,7 @@
 """The fixed vocabulary of sub-word pieces, and all its matches inside many words at once.
 
-A word is a maximal run of bytes that are not ASCII white space, with one space before it; a run of more than ``LONGEST``
-bytes is cut every ``LONGEST`` bytes and counts as several words, so that work stays linear. Pieces are byte strings; the 256
-single bytes belong to the vocabulary, so every word has at least one segmentation.
+A word is a maximal run of bytes that are not ASCII white space, however long, with one space before it. Pieces are byte
+strings; the 256 single bytes belong to the vocabulary, so every word has at least one segmentation.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ import sentencepiece
 
 from zephyra.llm.texts import SPACE, prefix_sums, ranges, span_hashes, words
 
-LONGEST = 40
 _SLOTS = 17
 
 
@@ -85,12 +83,6 @@ def spaced_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     """``spaced, starts, lengths, first``: the words of each text inside ``spaced``, with a space before each."""
     starts, ends, first = words(data, bounds, ~SPACE)
     sizes = ends - starts
-    parts = -(-sizes // LONGEST)
-    if len(parts) and parts.max() > 1:
-        inner = ranges(np.zeros(len(parts), np.int64), parts) * LONGEST
-        word = np.repeat(np.arange(len(parts)), parts)
-        first = np.concatenate([[0], np.cumsum(parts)])[first]
-        starts, sizes = starts[word] + inner, np.minimum(sizes[word] - inner, LONGEST)
     lengths = sizes + 1
     at = np.cumsum(lengths) - lengths
     spaced = np.full(int(lengths.sum()), 32, np.uint8)
