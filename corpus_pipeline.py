@@ -16,8 +16,11 @@ from zephyra.session import configure
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is ``und`` go: those with a null text or without any letter."""
+    """Documents whose language is ``und`` go: those with a null text or without any letter. If no language can be learned, the
+    others stay all the same."""
     model = langid.fit(langid.training_rows(docs), public_tokenizers.path("piece_bpe_32k.model"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(langid.LETTER))
     labelled = langid.predict(docs, model, carry=docs.columns)
     return labelled.where("lang_pred != 'und'").select("row.*")
 

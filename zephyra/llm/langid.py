@@ -32,6 +32,9 @@ PIECE = 1 << 20
 _SCALE, SHORT = 1000.0, 41
 LONG_WORDS, BLOCK = 1024, 256
 
+#: What a text must hold to have a language.
+LETTER = r"\p{L}"
+
 _matchers: dict[str, Matcher] = {}
 
 
@@ -322,7 +325,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
                 names=[piece.rows.schema.names[0], "lang_pred", "score"],
             )
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("_lettered")
     first = F.struct(*carry).alias("row") if carry else F.col("doc_id")
     given = docs.select(first, "text", lettered)
     schema = T.StructType([given.schema[0], *[T.StructField(*f) for f in (("lang_pred", T.StringType()), ("score", T.DoubleType()))]])
