@@ -39,15 +39,16 @@ class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        if float(np.abs(vectors).max()) ** 2 * vectors.shape[1] >= 2.0**53:
-            raise ValueError("components are too large for exact scores")
-        self.exact = self.vectors.astype(np.float64)  # sums of products below 2**53 are exact
+        self.largest = _largest(vectors)
+        self.exact = self.vectors.astype(np.float64)
         self.lists = np.argsort(self.vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.exact, self.lists, axis=0)
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best, best first."""
         n = len(self.ids)
+        if self.largest * _largest(query) * len(query) >= 2**53:  # sums of products below that are exact as floats
+            return self._best_of_all(query_id, query, k)
         used = np.flatnonzero(query)
         weight = query[used].astype(np.float64)
         up = weight > 0
@@ -77,6 +78,25 @@ class Shard:
         return places, scores
 
 
+    def _best_of_all(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` in Python's integers, over all vectors."""
+        places = np.flatnonzero(self.ids != query_id)
+        own = query.tolist()
+        scores = [sum(a * b for a, b in zip(self.vectors[p].tolist(), own, strict=True)) for p in places]
+        order = sorted(range(len(scores)), key=lambda i: -scores[i])[:k]
+        if any(abs(scores[i]) >= 2**63 for i in order):
+            raise ValueError("a score does not fit into 64 bits")
+        return places[order], np.array([scores[i] for i in order], np.int64)
+
+
+def _largest(whole: np.ndarray) -> int:
+    """The largest size of a component."""
+    most = max(int(whole.max(initial=0)), -int(whole.min(initial=0)))
+    if most >= 2**63 - 1:  # rounding down stops there
+        raise ValueError("a component does not fit into 64 bits")
+    return most
+
+
 def _search(vectors: DataFrame, queries: Broadcast, k: int, shard_rows: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -118,7 +138,8 @@ def top_k(
 
     ``rank`` counts from 1; ties go to the smaller id; fewer than k candidates give fewer rows. A row with the query's own id is
     no candidate, nor is a vector of another length. Repeated rows count once. See ``integer_vectors`` for what is left
-    out. Other columns are not looked at. Queries are searched in blocks, so that no broadcast grows with them.
+    out. Scores are exact; one among the best, or a component times ``scale``, that does not fit into 64 bits ends the query
+    with an error. Other columns are not looked at. Queries are searched in blocks, so that no broadcast grows with them.
     """
     context = rows.sparkSession.sparkContext
     vectors = integer_vectors(rows, vector, scale).distinct()
