@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyra.llm import archives, bpe, decontaminate, langid, neardup, repeats, sharding, tokencount, topk, toxicity
+from zephyra.llm import (
+    archives,
+    bpe,
+    decontaminate,
+    langid,
+    neardup,
+    repeats,
+    search,
+    sharding,
+    tokencount,
+    tokenfiles,
+    topk,
+    toxicity,
+    whitening,
+)
 from zephyra.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +91,18 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.by_component(*whitening.whiten(table(spark, folder, "embeddings")))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
