@@ -76,3 +76,18 @@ def test_maps_of_neighbours_make_the_map_of_both(times, window, cuts, last):
     sent = greedy(times.tolist(), window, last)
     assert entered(upto, end, window, last) == (sent[-1] if sent else last)
     assert (np.diff(upto) > 0).all() and len(upto) <= np.count_nonzero(times < times[0] + window) + 1
+
+
+@pytest.mark.parametrize("chunks", [2, 8, 64, 512])
+def test_the_map_of_many_chunks_stays_within_a_window(chunks):
+    window, rng = 50, np.random.default_rng(chunks)
+    for times in (np.arange(50 * chunks), np.flatnonzero(rng.random(50 * chunks) < 0.4)):
+        level = [exits(part, window) for part in np.array_split(times, chunks) if len(part)]
+        while len(level) > 1:
+            pairs = [followed(*a, *b, window) for a, b in zip(level[::2], level[1::2], strict=False)]
+            level = pairs + ([level[-1]] if len(level) % 2 else [])
+        upto, end = level[0]
+        assert len(upto) <= np.count_nonzero(times < times[0] + window) + 1 <= window + 1
+        for last in (None, times[0] - 1, times[0] - window // 2, times[0] - window, times[0] - 10 * window):
+            sent = greedy(times.tolist(), window, last)
+            assert entered(upto, end, window, last) == sent[-1]

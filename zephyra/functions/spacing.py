@@ -26,8 +26,9 @@ def exits(stamps: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
     A pass before the run allows the first instant at or after ``last + window``. Returns ``(upto, exit)``: when that
     moment is at most ``upto[i]`` (and above ``upto[i - 1]``), the last pass in the run is ``exit[i]``. Moments above
-    the last ``upto`` leave the run without a pass. Equal neighbours are merged; there is at most one entry for each instant
-    of the first ``window``.
+    the last ``upto`` leave the run without a pass. Equal neighbours are merged, but for the first entry, which is the first
+    instant of the run. A pass before the run cannot reach further than ``window`` beyond that, so there is at most one entry
+    for each instant of the first ``window``, and one more.
     """
     n = len(stamps)
     end = np.arange(n)
@@ -41,8 +42,14 @@ def exits(stamps: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         hop[:n] = np.where(further, hop[hop[:n]], hop[:n])
     starts = min(n, int(np.searchsorted(stamps, stamps[0] + window, side="left")) + 1)
     reached = stamps[end[:starts]]
-    last_of_run = np.append(reached[1:] != reached[:-1], True)
-    return stamps[:starts][last_of_run], reached[last_of_run]
+    return _merged(stamps[:starts], reached)
+
+
+def _merged(upto: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry for each run of equal ends after the first entry."""
+    kept = np.append(end[1:] != end[:-1], True)
+    kept[0] = True
+    return upto[kept], end[kept]
 
 
 def entered(upto: np.ndarray, end: np.ndarray, window: int, last: int | None) -> int | None:
@@ -54,10 +61,11 @@ def entered(upto: np.ndarray, end: np.ndarray, window: int, last: int | None) ->
 def followed(
     upto: np.ndarray, end: np.ndarray, next_upto: np.ndarray, next_end: np.ndarray, window: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The :func:`exits` of two neighbouring runs taken together, from those of each."""
+    """The :func:`exits` of two neighbouring runs taken together, from those of each. Entries that no pass before both can
+    reach are left out, so the map does not grow with the runs."""
     at = np.searchsorted(next_upto, end + window, side="left")
     through = np.where(at < len(next_upto), np.append(next_end, 0)[np.minimum(at, len(next_upto))], end)
     later = next_upto > upto[-1]
     upto, end = np.append(upto, next_upto[later]), np.append(through, next_end[later])
-    last_of_run = np.append(end[1:] != end[:-1], True)
-    return upto[last_of_run], end[last_of_run]
+    reachable = int(np.searchsorted(upto, upto[0] + window, side="left")) + 1
+    return _merged(upto[:reachable], end[:reachable])
