@@ -19,15 +19,18 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyra.llm.lookup import Lookup
-from zephyra.llm.texts import Piece, pieces, prefix_sums, ranges, span_hashes, views
+from zephyra.llm.texts import Piece, prefix_sums, ranges, span_hashes, steady_pieces, views
 
 #: Text of a batch, about; a longer text is a batch by itself.
 BATCH_BYTES = 8 << 20
+#: Text whose distinct words meet in one bucket, about.
+BUCKET_BYTES = 16 << 20
 #: Longer words are merged one by one with a heap, so that work stays near linear.
 _SIDE_BY_SIDE = 64
 _NONE = np.int64(1) << 40
@@ -150,9 +153,10 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 class Batch:
     """Pre-tokens of a piece of text: distinct ``words`` (bytes and bounds) by falling frequency, the ``codes`` that say which
-    of them stand where, and how many each document has (``counts``). ``name`` is a hash of the content."""
+    of them stand where, and how many each document has (``counts``). ``name`` is a hash of the content and of its place: the
+    partition, and the number of the batch there."""
 
-    def __init__(self, piece: Piece, find):
+    def __init__(self, piece: Piece, find, number: int):
         found, counts = [], []
         for text in piece.rows.column("text").to_pylist():
             tokens = find(text) if text else []
@@ -167,6 +171,7 @@ class Batch:
         self.words = views(encoded.dictionary.take(pa.array(order)))
         content = xxhash.xxh3_64(piece.data.tobytes())
         content.update(piece.bounds.tobytes())
+        content.update(np.array([TaskContext.get().partitionId(), number]).tobytes())
         self.name = int(np.uint64(content.intdigest()).view(np.int64))
 
 
@@ -176,8 +181,8 @@ def word_blocks(docs: DataFrame, pattern: str, batch_bytes: int, buckets: int) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        for piece in pieces(batches, limit=batch_bytes):
-            batch = Batch(piece, find)
+        for number, piece in enumerate(steady_pieces(batches, limit=batch_bytes)):
+            batch = Batch(piece, find, number)
             data, bounds = batch.words
             hashes = span_hashes(prefix_sums(data), bounds[:-1], bounds[1:])
             bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
@@ -194,7 +199,7 @@ def word_blocks(docs: DataFrame, pattern: str, batch_bytes: int, buckets: int) -
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "steps", "sizes", "content"])
 
     schema = "bucket int, batch long, steps binary, sizes binary, content binary"
-    return docs.select("text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)  # the columns of positions(): both read the same rows in the same order
 
 
 def encoded_blocks(blocks: DataFrame, tokens: Broadcast) -> DataFrame:
@@ -238,8 +243,8 @@ def positions(docs: DataFrame, pattern: str, batch_bytes: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        for piece in pieces(batches, limit=batch_bytes):
-            batch = Batch(piece, find)
+        for number, piece in enumerate(steady_pieces(batches, limit=batch_bytes)):
+            batch = Batch(piece, find, number)
             ids = pa.ListArray.from_arrays(pa.array([0, len(piece)], pa.int32()), piece.rows.column("doc_id"))
             lengths = pa.array([batch.counts], pa.list_(pa.int32()))
             columns = [pa.array([batch.name]), ids, lengths, pa.array([_pack(batch.codes)], pa.binary())]
@@ -280,11 +285,13 @@ def encode(
     numbers, ``decoded_sha256`` the hash of the bytes that the ids stand for in the table of tokens. A null text is the
     empty text and has no ids. Repeated rows and null ids stay. Other columns are not looked at. ``docs`` is read twice and
     must come in the same order both times, as a scan of files does; otherwise the job ends with an error. ``buckets``, by
-    default the number of shuffle partitions, bounds what a task has of the distinct words.
+    default as many as the text needs, bounds what a task has of the distinct words.
     """
     spark = docs.sparkSession
     tokens = spark.sparkContext.broadcast(load_ranks(path))  # a fixed public file
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
     words = encoded_blocks(word_blocks(docs, pattern, batch_bytes, buckets), tokens)
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

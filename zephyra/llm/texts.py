@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 4 << 20
+ROW_BYTES = 64
 
 #: Odd multipliers for hashes modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +75,35 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = end
 
 
+def steady_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[Piece]:
+    """``pieces`` whose cuts depend on the rows of the partition alone, not on how Arrow hands them over. A row counts as
+    ``ROW_BYTES`` besides its text, so rows without text fill a piece too."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def close() -> Piece:
+        rows = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return Piece(rows, *views(rows.column(column)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = views(batch.column(column))[1][1:] + ROW_BYTES * np.arange(1, batch.num_rows + 1)
+        start = done = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, done + limit - size, side="right"))
+            if stop <= start and not held:
+                stop = start + 1  # a longer text is a piece by itself
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size, done, start = size + int(ends[stop - 1]) - done, int(ends[stop - 1]), stop
+            if start < batch.num_rows:
+                yield close()
+                held, size = [], 0
+    if held:
+        yield close()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE ** i`` and its inverse modulo 2**64, for i below n."""
     global _powers
