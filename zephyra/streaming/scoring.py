@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +12,8 @@ from zephyra.functions.columns import need_columns
 from zephyra.plans.quantiles import VALUES_PER_AGGREGATE, quantiles
 from zephyra.schemas import MAX_LATENCY_MS
 from zephyra.sources.events import finite
+from zephyra.sources.tables import read_or_empty
+from zephyra.streaming.state import read_state
 
 
 def validate_event(events: DataFrame) -> DataFrame:
@@ -45,7 +49,8 @@ def assemble_features(df: DataFrame, columns: list[str], output: str = "features
 def score(df: DataFrame, model, columns: list[str], now: Column | None = None) -> DataFrame:
     """Feature rows to result rows. Rows with an ``error`` get no prediction. Works on tables and streams.
 
-    ``ingest_time``, when there, is what latency counts from.
+    ``ingest_time``, when there, is what latency counts from; on a stream it ends at the start of the micro-batch, and
+    ``latency_sink`` measures it to its end.
     """
     from zephyra.operators.models import assembled
 
@@ -136,7 +141,8 @@ def _one_row(left: DataFrame, right: DataFrame, keys: list[str] = ()) -> DataFra
 
 
 def event_metrics_stream(results: DataFrame, ts: str = "timestamp", width: str = "1 minute", watermark: str = "1 hour") -> DataFrame:
-    """The same counts per tumbling window of a stream; percentiles are sketches here."""
+    """The same counts per tumbling window of a stream, one row when the watermark has passed the window; percentiles are
+    sketches here. :func:`event_metrics_sink` gives exact ones, and with :func:`open_windows` those that are still open."""
     timed = results.withWatermark(ts, watermark).groupBy(F.window(ts, width))
     made = timed.agg(
         F.count("*").alias("event_count"),
@@ -159,6 +165,83 @@ def event_metrics_stream(results: DataFrame, ts: str = "timestamp", width: str =
     )
 
 
+def _of_histogram(counts: DataFrame) -> DataFrame:
+    """Metrics of each window from ``window, latency_ms, n, errors``, a row per distinct latency."""
+    n, latency = F.col("n"), F.col("latency_ms")
+    known = F.sum(F.when(latency.isNotNull(), n))
+    made = counts.groupBy("window").agg(
+        F.sum(n).alias("event_count"),
+        F.sum("errors").alias("error_count"),
+        F.min(latency).alias("min_latency_ms"),
+        F.max(latency).alias("max_latency_ms"),
+        F.try_divide(F.sum(latency * n), known).alias("mean_latency_ms"),
+        F.percentile(latency, F.array(F.lit(0.95), F.lit(0.99)), n).alias("_p"),
+    )
+    return made.select(
+        F.col("window.start").alias("window_start"),
+        "event_count",
+        "error_count",
+        (F.col("error_count") / F.col("event_count")).alias("error_rate"),
+        "min_latency_ms",
+        "max_latency_ms",
+        "mean_latency_ms",
+        F.get("_p", F.lit(0)).alias("p95_latency_ms"),
+        F.get("_p", F.lit(1)).alias("p99_latency_ms"),
+    )
+
+
+def event_metrics_sink(
+    results: DataFrame, path: str, checkpoint: str, ts: str = "timestamp", width: str = "1 minute", watermark: str = "1 hour", **trigger
+):
+    """Write the metrics of every closed window of a stream, with exact percentiles, a folder per micro-batch.
+
+    The state is a histogram of each open window, an entry per window and distinct latency, so a busy window is
+    spread over the tasks. All entries of a window leave the state in the same micro-batch, which then has the whole histogram.
+    A batch that is run again replaces what it wrote.
+    """
+    counts = results.withWatermark(ts, watermark).groupBy(F.window(ts, width), "latency_ms")
+    counts = counts.agg(F.count("*").alias("n"), F.sum(F.when(~F.col("success"), 1).otherwise(0)).alias("errors"))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _of_histogram(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return counts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The metrics so far of the windows that :func:`event_metrics_sink` still holds, read from its state."""
+    held = read_state(spark, checkpoint)
+    counts = held.select("key.window", "key.latency_ms", F.col("value.count").alias("n"), F.col("value.sum").alias("errors"))
+    return _of_histogram(counts)
+
+
+def latency_sink(results: DataFrame, path: str, checkpoint: str, **trigger):
+    """Write results a folder per micro-batch, and beside them when each batch was there in full (``<path>_finished``).
+
+    A batch that is run again replaces both, so its results count as finished when they last were.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        now = datetime.now(UTC)
+        spark.createDataFrame([(now,)], "finished timestamp").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}_finished/batch={batch_id}"
+        )
+
+    return results.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def finished_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What :func:`latency_sink` wrote, with ``batch`` and ``latency_ms``: from the ``ingest_time`` of a row to the moment its
+    whole batch was written."""
+    rows = read_or_empty(spark, path, schema, "batch")
+    finished = read_or_empty(spark, f"{path}_finished", T.StructType([T.StructField("finished", T.TimestampType())]), "batch")
+    both = rows.drop("latency_ms").join(finished, "batch")
+    latency = (F.unix_micros("finished") - F.unix_micros(F.col("ingest_time").cast("timestamp"))) / 1000.0
+    return both.withColumn("latency_ms", latency).drop("finished")
+
+
 def stage_timing_stats(runs: DataFrame) -> DataFrame:
     """``operation, count, min_seconds, max_seconds, mean_seconds, total_seconds``."""
     return runs.where(F.col("operation").isNotNull()).groupBy("operation").agg(

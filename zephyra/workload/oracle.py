@@ -315,6 +315,14 @@ ORACLE["stream_features"] = feature_query(
     source="(FROM readings WHERE aqi IS NOT NULL)",
     more=f"{CALENDAR}, buffer_size, oldest_timestamp_us, {r6('(timestamp_us - oldest_timestamp_us) / 3.6e9', 'time_span_hours')}",
 )
+# a city leaves the state of the stream when the watermark, an hour behind the newest reading, is beyond its window and lateness
+ORACLE["stream_state_stats"] = readings(
+    f"""SELECT city, buffer_size, oldest_timestamp_us, {US.replace('timestamp_us', 'newest_timestamp_us')},
+    {r6('(epoch_us(timestamp) - oldest_timestamp_us) / 3.6e9', 'time_span_hours')} FROM (
+        SELECT DISTINCT city, timestamp, count(*) {BUFFER} AS buffer_size, epoch_us(min(timestamp) {BUFFER}) AS oldest_timestamp_us,
+        max(timestamp) OVER (PARTITION BY city) AS newest, max(timestamp) OVER () AS latest FROM readings WHERE aqi IS NOT NULL)
+    WHERE timestamp = newest AND newest + INTERVAL 26 HOUR > latest"""
+)
 ORACLE["temporal_parts"] = readings(
     f"""SELECT seq, {calendar('timestamp')}, CAST(dayofweek(timestamp) AS INTEGER) AS sunday_day,
     CASE WHEN dayofweek(timestamp) IN (5, 6) THEN 1 ELSE 0 END AS sunday_weekend FROM readings"""
@@ -573,11 +581,14 @@ ORACLE["event_metrics"] = latency(
 )
 ORACLE["event_metrics_by_type"] = latency(PERCENTILES, "events GROUP BY event_type", "event_type,")
 ORACLE["event_metrics_windowed"] = latency(
-    f", {r6('quantile_disc(value, 0.95)', 'p95_latency_ms')}, {r6('quantile_disc(value, 0.99)', 'p99_latency_ms')}",
-    """events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
-    GROUP BY date_trunc('hour', ts)""",
+    f", {r6('quantile_cont(value, 0.95)', 'p95_latency_ms')}, {r6('quantile_cont(value, 0.99)', 'p99_latency_ms')}",
+    "events GROUP BY date_trunc('hour', ts)",
     "epoch_us(date_trunc('hour', ts)) AS window_start_us,",
 )
+ORACLE["latency_at_sink"] = readings(
+    """SELECT count(*) AS events_processed, 0 AS events_exceeding_max, true AS measured, true AS ordered, 4 AS batches
+    FROM readings WHERE aqi IS NOT NULL"""
+)
 ORACLE["stage_timing_stats"] = f"""SELECT event_type AS operation, count(*) AS count, {r6('min(value)', 'min_seconds')},
     {r6('max(value)', 'max_seconds')}, {r6('avg(value)', 'mean_seconds')}, {r6('sum(value)', 'total_seconds')} FROM events GROUP BY event_type"""
 
@@ -634,6 +645,11 @@ ORACLE["suppression_state"] = readings(
     {r6('greatest(0.0, 3600 - since)', 'seconds_until_next')}, since > 3600 AS expired FROM state""",
     True,
 )
+ORACLE["stream_suppression_state"] = readings(
+    f"""{RULES}{sent('rules')} SELECT city, level, epoch_us(max(timestamp)) AS last_sent_us FROM sent GROUP BY city, level
+    HAVING max(timestamp) + INTERVAL 2 HOUR > (SELECT max(timestamp) FROM rules)""",
+    True,
+)
 ORACLE["suppression_totals"] = readings(
     f"""{RULES}{sent('rules')}{STATE} SELECT CAST(1 AS INTEGER) AS dedup_window_hours, count(*) AS total_entries,
     count(DISTINCT city) AS unique_cities, count(DISTINCT level) AS unique_levels FROM state""",

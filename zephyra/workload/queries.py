@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,9 @@ from zephyra.session import configure, shared_dir
 from zephyra.sources import events as messages
 from zephyra.sources import landing, tables
 from zephyra.streaming import scoring
-from zephyra.streaming.alerts import suppress_repeats_stream
+from zephyra.streaming.alerts import state_entries, suppress_repeats_stream
 from zephyra.streaming.clean import deduplicate_stream
-from zephyra.streaming.features import stream_features
+from zephyra.streaming.features import state_stats, stream_features
 from zephyra.workload.views import readings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,30 +118,44 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all there is, into a Parquet folder, and read that."""
-    folder = new_folder(spark, name)
+@contextmanager
+def fewer_partitions(spark: SparkSession):
+    """A stream keeps the number of partitions it starts with; one for each core here."""
     kept = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def run_stream(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all there is, into a Parquet folder, and read that. Its checkpoint stays in ``folder/checkpoint``."""
+    with fewer_partitions(spark):
         writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
         running = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         running.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", kept)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def reading_stream(spark: SparkSession, folder: str, batches: int = 4) -> DataFrame:
-    """The readings as a stream of that many micro-batches in time order: files written one after another, read one at a time."""
+def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    return run_stream(spark, stream, new_folder(spark, name))
+
+
+def reading_stream(spark: SparkSession, folder: str, batches: int = 4, rows_per_file: int = 1_000_000) -> DataFrame:
+    """The readings as a stream of that many micro-batches in time order: parts written one after another, as many files each as
+    the rows ask for, and read a part at a time. Readings without time are in the first part."""
     rows = readings(spark, folder).where("aqi is not null")
     path = new_folder(spark, "readings")
     at = F.unix_micros("timestamp")
     cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
-    for low, high in zip([None, *cuts], [*cuts, None]):
+    files = max(1, -(-rows.count() // (batches * rows_per_file)))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if low is None else rows.where(at >= low)
-        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        if high is not None:
+            part = part.where((at < high) | at.isNull()) if low is None else part.where(at < high)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 # ------------------------------------------------------- sources and sinks
@@ -867,6 +882,23 @@ def stream_features_query(spark, folder):
     )
 
 
+@query
+def stream_state_stats(spark, folder):
+    """What the state of the feature stream holds at its end. Cities that the watermark has left behind are gone from it."""
+    path = new_folder(spark, "features")
+    run_stream(spark, stream_features(reading_stream(spark, folder)), path)
+    found = state_stats(spark, f"{path}/checkpoint")
+    return rounded(found.select("city", "buffer_size", us("oldest_timestamp"), us("newest_timestamp"), "time_span_hours"))
+
+
+@query
+def stream_suppression_state(spark, folder):
+    """The entries that the stream of alerts holds at its end; those older than the window have been removed by their timers."""
+    path = new_folder(spark, "sent")
+    run_stream(spark, suppress_repeats_stream(alerts.rule_alerts(reading_stream(spark, folder))), path)
+    return state_entries(spark, f"{path}/checkpoint").select("city", "level", us("last_sent"))
+
+
 @query
 def stream_decode(spark, folder):
     """Messages as a file stream, decoded; good and bad events with their error."""
@@ -917,22 +949,45 @@ def event_metrics_by_type(spark, folder):
 
 @query
 def event_metrics_windowed(spark, folder):
-    """Tumbling hours of a stream that close by watermark."""
+    """Tumbling hours of a stream: those that its watermark has closed, and those that it still holds."""
     schema = table(spark, folder, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     rows = source.select(
         F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("latency_ms"),
         (F.col("event_type") != "error").alias("success"),
     )
-    made = run_to_end(spark, scoring.event_metrics_stream(rows, width="1 hour"), "windows")
+    path = new_folder(spark, "windows")
+    with fewer_partitions(spark):
+        scoring.event_metrics_sink(rows, f"{path}/out", f"{path}/checkpoint", width="1 hour", availableNow=True).awaitTermination()
+    still = scoring.open_windows(spark, f"{path}/checkpoint")
+    closed = tables.read_or_empty(spark, f"{path}/out", still.schema, "batch").drop("batch")
     return rounded(
-        made.select(
+        closed.unionByName(still).select(
             us("window_start"), "event_count", "error_count", "error_rate", "min_latency_ms", "max_latency_ms",
             "mean_latency_ms", "p95_latency_ms", "p99_latency_ms",
         )
     )
 
 
+@query
+def latency_at_sink(spark, folder):
+    """Readings through a stream that measures when they are written: how many have a latency, and in how many batches."""
+    rows = reading_stream(spark, folder)
+    rows = rows.select("seq", "city", "timestamp", "aqi", F.col("_metadata.file_modification_time").alias("ingest_time"))
+    path = new_folder(spark, "latency")
+    with fewer_partitions(spark):
+        scoring.latency_sink(rows, f"{path}/out", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    made = scoring.finished_results(spark, f"{path}/out", rows.schema)
+    found = scoring.latency_stats(made, ["seq"], limit_ms=3_600_000.0)
+    return found.select(
+        "events_processed",
+        "events_exceeding_max",
+        (F.col("min_latency_ms") > 0).alias("measured"),
+        (F.col("p99_latency_ms") >= F.col("median_latency_ms")).alias("ordered"),
+        F.lit(made.select("batch").distinct().count()).alias("batches"),
+    )
+
+
 @query
 def stage_timing_stats(spark, folder):
     rows = table(spark, folder, "events").select(F.col("event_type").alias("operation"), F.col("value").alias("seconds"))
