@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zephyra.functions.calendar import calendar_parts, season
 from zephyra.functions.columns import numeric_columns
-from zephyra.plans.hours import add_trailing, trailing
+from zephyra.plans.hours import add_trailing, largest_hour, trailing
 from zephyra.plans.ordered import (
     ROWS_PER_TASK,
     chunk_rows,
@@ -71,10 +71,11 @@ def rolling_rows(
 
 
 def _with_trailing(df, keys, ts, column, tie, lags, sizes, closed, std, limit) -> DataFrame:
-    found = trailing(df, keys, ts, column, tie, lags, sizes, closed, std)
+    top = largest_hour(df, keys, ts)
+    found = trailing(df, keys, ts, column, tie, lags, sizes, closed, std, limit, top)
     names = [F.col(f"lag_{n}").alias(f"{column}_lag_{n}h") for n in lags]
     names += [F.col(f"{s}_{n}").alias(f"{column}_{s}_{n}h") for n in sizes for s in ("mean", "std", "min", "max")]
-    return add_trailing(df, keys, ts, tie, found, *names, limit=limit)
+    return add_trailing(df, keys, ts, tie, found, *names, limit=limit, top=top)
 
 
 def rolling_range(
@@ -137,11 +138,12 @@ def window_state_stats(
     keys: list[str] = ("city",),
     ts: str = "timestamp",
     tie: str = "seq",
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """What a sliding buffer of ``hours`` holds after each instant: size, oldest and newest stamp, span in hours."""
     keys = list(keys)
     stamped = df.select(*keys, ts, tie, F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("_stamp"))
-    held = trailing(stamped, keys, ts, "_stamp", tie, [], [hours], "right")
+    held = trailing(stamped, keys, ts, "_stamp", tie, [], [hours], "right", limit=limit)
     oldest = F.col(f"min_{hours}").cast("long")
     known = [F.when(~F.col(f"_z{i}"), F.col(f"_k{i}")).alias(name) for i, name in enumerate(keys)]
     return held.select(

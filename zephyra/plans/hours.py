@@ -8,17 +8,18 @@ inside an earlier hour, so it consists of
 * the full hours in between, at most 23 small summaries  (a frame over the hours),
 * the rows of the earlier hour after the offset          (a running aggregate from the end of that hour).
 
-Rows of one instant are combined before the first shuffle, so no group holds more rows than the clock has ticks in
-an hour, times the number of offsets asked for. A busy city is spread over as many tasks as it has hours.
+Rows of one instant are combined before the first shuffle. A busy city is spread over as many tasks as it has hours, and an
+hour that holds more than ``limit`` of them is cut further: at any offset, into chunks of about ``limit`` rows. A chunk
+runs its own aggregates, and a summary for each chunk says what the chunks before and after it in the hour hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zephyra.plans.ordered import ROWS_PER_TASK
+from zephyra.plans.ordered import ROWS_PER_TASK, chunk_carry, chunk_rows
 from zephyra.plans.tables import write_out
 
 #: Up to so many crowded instants are broadcast.
@@ -119,12 +120,15 @@ def trailing(
     windows: list[int] = (),
     closed: str = "neither",
     std: str = "pop",
+    limit: int = ROWS_PER_TASK,
+    top: int | None = None,
 ) -> DataFrame:
     """Lags and trailing statistics for every distinct ``(keys, ts)`` of ``df``.
 
     Columns: those of :func:`plain_keys`, ``_us`` (the instant in microseconds), ``lag_<n>`` for each lag (the value of
     the latest row at or before ``ts - n`` hours, the highest ``tie`` among rows of one instant) and ``count_<n>, mean_<n>, std_<n>, min_<n>, max_<n>`` for each window.
     Null values are skipped. ``closed`` says which ends of the frame belong to it: ``neither``, ``both`` or ``right``.
+    ``top`` is :func:`largest_hour` if it is known already.
     """
     if closed not in ("neither", "both", "right"):
         raise ValueError(f"unknown closed: {closed}")
@@ -134,6 +138,7 @@ def trailing(
     back = sorted(set(lags) | set(windows))
     if not back:
         raise ValueError("give lags or windows")
+    names = list(keys)
     points = df.where(F.col(ts).isNotNull()).select(
         *plain_keys(df, keys),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"),
@@ -160,29 +165,26 @@ def trailing(
         (F.col("_hour") - F.col("_back")).alias("_hour"),
         *[F.when(is_own, F.col(c)).alias(c) for c in (*STATS, "last")],
     )
-    rows = asked.join(_hour_table(points, keys, back, lags, windows), [*keys, "_hour"])
-    cell = Window.partitionBy(*keys, "_hour")
-    upward = cell.orderBy("_off", "_back")
-    made = [*keys, "_us", "_back"]
-    if windows:
-        # sums about the mean of the hour, so that little cancels
-        shift = F.col("mean") - F.col("_center")
-        rows = rows.withColumn("s1", F.col("n") * shift).withColumn("s2", F.col("m2") + F.col("n") * shift * shift)
-        seen = upward.rowsBetween(Window.unboundedPreceding, -1 if closed == "neither" else 0)
-        own_first = F.col("_back") if closed == "both" else F.col("_back").desc()
-        later = cell.orderBy(F.col("_off").desc(), own_first).rowsBetween(Window.unboundedPreceding, 0)
-
-        def edge(fn, column: str) -> Column:
-            return F.when(is_own, fn(column).over(seen)).otherwise(fn(column).over(later)).alias(f"e_{column}")
-
-        rows = rows.withColumn("_full", F.when(is_own, F.col("_full")))  # the questions sort without it
-        made += ["_center", "_full"]
-        made += [edge(F.sum, "n"), edge(F.sum, "s1"), edge(F.sum, "s2"), edge(F.min, "lo"), edge(F.max, "hi")]
-    if lags:
-        at_or_before = upward.rowsBetween(Window.unboundedPreceding, 0)
-        made.append(F.coalesce(F.last("last", ignorenulls=True).over(at_or_before), "_last_before").alias("_asof"))
+    table = _hour_table(points, keys, back, lags, windows)
+    hour = [*keys, "_hour"]
+
+    def edges(rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+        return _edges(rows, keys, windows, bool(lags), closed, chunks)
+
+    dense = None
+    if (largest_hour(df, names, ts) if top is None else top) * (1 + len(back)) > limit:
+        dense = _dense_hours(points, keys, back, limit)
+    if dense is None:
+        rows = edges(asked.join(table, hour))
+    else:
+        few = dense.count() <= BROADCAST_INSTANTS
+        own = write_out(table.join(F.broadcast(dense) if few else dense, hour, "left_semi"))
+        crowded = asked.join(F.broadcast(own) if few else own, hour)
+        cut = chunk_rows(crowded.select(*hour, "_off").distinct(), hour, ["_off"], max(1, limit // (1 + len(back))))
+        rest = asked.join(F.broadcast(dense) if few else dense, hour, "left_anti").join(table, hour)
+        rows = edges(rest).unionByName(edges(crowded, cut))
     # bring the answers of an instant together; narrow rows travel, and they are put side by side afterwards
-    rows = rows.select(*made).repartition(*keys, "_us")
+    rows = rows.repartition(*keys, "_us")
 
     def of(hours: int, column: str) -> Column:
         return F.max(F.when(F.col("_back") == hours, F.col(column)))
@@ -200,6 +202,76 @@ def trailing(
     return _merged(found, keys, windows, std)
 
 
+def largest_hour(df: DataFrame, keys: list[str], ts: str) -> int:
+    """Rows of the fullest hour of a key. It shuffles one row per hour."""
+    hour = F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {HOUR}L")
+    return df.groupBy(*plain_keys(df, keys), hour.alias("_hour")).count().agg(F.max("count")).first()[0] or 0
+
+
+def _dense_hours(points: DataFrame, keys: list[str], back: list[int], limit: int) -> DataFrame | None:
+    """The hours that hold more than ``limit`` instants and questions, or None."""
+    counts = points.groupBy(*keys, "_hour").agg(F.count_distinct("_off").alias("_n"))
+    asked = counts.select("*", F.explode(F.array(*map(F.lit, [0, *back]))).alias("_back"))
+    asked = asked.groupBy(*keys, (F.col("_hour") - F.col("_back")).alias("_hour")).agg(F.sum("_n").alias("_n"))
+    dense = write_out(asked.where(F.col("_n") > limit).drop("_n"))
+    return None if dense.isEmpty() else dense
+
+
+def _edges(
+    rows: DataFrame, keys: list[str], windows: list[int], lags: bool, closed: str, chunks: DataFrame | None
+) -> DataFrame:
+    """What the hour of a row holds before an instant, or after the start of a frame; and the last value there.
+
+    ``chunks`` cuts hours: a chunk for each offset. Rows of one offset are never cut apart.
+    """
+    hour = [*keys, "_hour"]
+    is_own = F.col("_back") == 0
+    made = [*keys, "_us", "_back"]
+    if windows:
+        # sums about the mean of the hour, so that little cancels
+        shift = F.col("mean") - F.col("_center")
+        rows = rows.withColumn("s1", F.col("n") * shift).withColumn("s2", F.col("m2") + F.col("n") * shift * shift)
+        rows = rows.withColumn("_full", F.when(is_own, F.col("_full")))  # the questions sort without it
+        made += ["_center", "_full"]
+    folds = {"n": F.sum, "s1": F.sum, "s2": F.sum, "lo": F.min, "hi": F.max} if windows else {}
+    cell = hour
+    if chunks is not None:
+        cell = [*hour, "_chunk"]
+        rows = write_out(rows.join(chunks.drop("_row"), [*hour, "_off"]))
+        parts = [fn(c).alias(c) for c, fn in folds.items()]
+        if lags:
+            when = F.when(F.col("last").isNotNull(), F.struct("_off", "_back"))
+            parts.append(F.max_by("last", when).alias("last"))
+        after = Window.partitionBy(*hour).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+
+        def others(before: WindowSpec, _: WindowSpec) -> list[Column]:
+            both = [fn(c).over(w).alias(f"_{side}_{c}") for c, fn in folds.items() for side, w in (("b", before), ("a", after))]
+            return both + ([F.last("last", ignorenulls=True).over(before).alias("_b_last")] if lags else [])
+
+        rows = rows.join(chunk_carry(rows, hour, parts, others), cell)
+    own_first = F.col("_back") if closed == "both" else F.col("_back").desc()
+    upward = Window.partitionBy(*cell).orderBy("_off", "_back")
+    seen = upward.rowsBetween(Window.unboundedPreceding, -1 if closed == "neither" else 0)
+    later = Window.partitionBy(*cell).orderBy(F.col("_off").desc(), own_first).rowsBetween(Window.unboundedPreceding, 0)
+
+    def with_others(found: Column, side: str, column: str) -> Column:
+        if chunks is None:
+            return found
+        other = F.col(f"_{side}_{column}")
+        if column in ("lo", "hi"):
+            return F.least(found, other) if column == "lo" else F.greatest(found, other)
+        return F.coalesce(found + other, found, other)
+
+    for column, fn in folds.items():
+        head, tail = with_others(fn(column).over(seen), "b", column), with_others(fn(column).over(later), "a", column)
+        made.append(F.when(is_own, head).otherwise(tail).alias(f"e_{column}"))
+    if lags:
+        at_or_before = F.last("last", ignorenulls=True).over(upward.rowsBetween(Window.unboundedPreceding, 0))
+        earlier = [at_or_before, *([F.col("_b_last")] if chunks is not None else []), F.col("_last_before")]
+        made.append(F.coalesce(*earlier).alias("_asof"))
+    return rows.select(*made)
+
+
 def _merged(found: DataFrame, keys: list[str], windows: list[int], std: str) -> DataFrame:
     """Put the three pieces of every window together: counts and means first, then the squares about the mean."""
 
@@ -235,18 +307,19 @@ def _merged(found: DataFrame, keys: list[str], windows: list[int], std: str) ->
 
 
 def add_trailing(
-    df: DataFrame, keys: list[str], ts: str, tie: str, answers: DataFrame, *columns: Column, limit: int = ROWS_PER_TASK
+    df: DataFrame, keys: list[str], ts: str, tie: str, answers: DataFrame, *columns: Column, limit: int = ROWS_PER_TASK,
+    top: int | None = None,
 ) -> DataFrame:
     """Give every row of ``df`` the ``columns`` of its instant, from the ``answers`` of :func:`trailing`.
 
     The answers are partitioned by key and instant already, so only ``df`` is shuffled. Instants with more than
-    ``limit`` rows are spread over several tasks.
+    ``limit`` rows are spread over several tasks. ``top`` is :func:`largest_hour` if it is known already.
     """
     asked = df.select("*", *plain_keys(df, keys), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
     on = [*key_names(keys), "_us"]
     found = answers.select(*on, *columns)
     names = found.columns[len(on) :]
-    crowded = _crowded(asked, on, limit)
+    crowded = _crowded(asked, on, limit) if (largest_hour(df, keys, ts) if top is None else top) > limit else None
     if crowded is None:
         return asked.join(found, on, "left").select(*df.columns, *names)
     crowded = write_out(crowded)
@@ -260,13 +333,7 @@ def add_trailing(
 
 
 def _crowded(rows: DataFrame, on: list[str], limit: int) -> DataFrame | None:
-    """The instants with more than ``limit`` rows and the number of tasks they need, or None.
-
-    Hours are counted first: that shuffles one row per hour, and mostly shows that there are none.
-    """
-    hour = F.expr(f"_us - pmod(_us, {HOUR}L)")
-    if rows.groupBy(*on[:-1], hour.alias("_h")).count().where(F.col("count") > limit).isEmpty():
-        return None
+    """The instants with more than ``limit`` rows and the number of tasks they need, or None."""
     crowded = rows.groupBy(*on).count().where(F.col("count") > limit)
     crowded = crowded.select(*on, F.ceil(F.col("count") / limit).alias("_copies"))
     return None if crowded.isEmpty() else crowded
