@@ -43,6 +43,8 @@ FILE_IDS = 1 << 22
 TASK_BYTES = 32 << 20
 #: Distinct words whose ids a task remembers at once.
 KNOWN_WORDS = 1_000_000
+#: Words that the library gets at once.
+AT_ONCE = 4000
 #: Files whose sizes are summed in one group.
 _GROUP = 4096
 
@@ -158,6 +160,14 @@ class WordIds:
         self.number: dict[bytes, int] = {}
         self.sizes, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
 
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words without white space: of one text of them all, where the offset of an id tells its word."""
+        made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        offsets = np.fromiter((start for start, _ in made.offsets), np.int64, len(made))
+        word = np.searchsorted(np.cumsum(lengths), offsets, side="right")
+        return np.bincount(word, minlength=len(words)), np.array(made.ids, np.uint32)
+
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of each distinct word, and the sizes and ids of all known words by place."""
         if len(self.number) + len(words) > self.most:
@@ -165,10 +175,11 @@ class WordIds:
         wanted = words.to_pylist()
         new = [w for w in wanted if w not in self.number]
         if new:
-            made = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
-            self.ids.append(np.fromiter((i for x in made for i in x), np.uint32, int(self.sizes[-1].sum())))
+            for start in range(0, len(new), AT_ONCE):
+                sizes, ids = self.encode([w.decode() for w in new[start : start + AT_ONCE]])
+                self.sizes.append(sizes)
+                self.ids.append(ids)
             self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
         place = np.fromiter(map(self.number.__getitem__, wanted), np.int64, len(wanted))
         return place, self.sizes[0], self.ids[0]
