@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zephyra.functions.calendar import calendar_parts
 from zephyra.functions.columns import need_columns
 from zephyra.operators.evaluate import best_model, regression_metrics
 from zephyra.operators.splits import expanding_folds
 from zephyra.plans.tables import write_out
+from zephyra.sources.tables import read_or_empty
 from zephyra.schemas import CALENDAR_FEATURES, CV_FOLDS, LAG_FEATURES, LAG_OFFSETS, ROLLING_FEATURES, ROLLING_WINDOWS
 
 ROWS_PER_TASK = 20_000  # of training data; fixed, as bagging is seeded per partition
@@ -31,6 +34,8 @@ RANDOM_FOREST = {
     "featureSubsetStrategy": "all",
     "seed": 42,
 }
+#: Fits that run at once. Each one is many short jobs that leave cores idle at their ends.
+FITS_AT_ONCE = 3
 KINDS = {"boosted_trees": (GBTRegressor, BOOSTED_TREES), "random_forest": (RandomForestRegressor, RANDOM_FOREST)}
 
 
@@ -70,6 +75,29 @@ def estimator(kind: str, parameters: dict | None = None):
     return cls(featuresCol="features", labelCol="label", **{**defaults, **(parameters or {})})
 
 
+def side_by_side(spark: SparkSession, works: list[Callable], at_once: int = FITS_AT_ONCE) -> list:
+    """The results of ``works`` in their order, at most ``at_once`` of them running at a time.
+
+    Each has a scheduler pool of its own, so with ``spark.scheduler.mode=FAIR`` they share the cores evenly. The first
+    failure is raised when all have ended.
+    """
+
+    def run(place: int, work: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{place}")
+        try:
+            return work()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    if at_once <= 1 or len(works) <= 1:
+        return [work() for work in works]
+    with ThreadPool(min(at_once, len(works))) as pool:
+        made = [pool.apply_async(inheritable_thread_target(spark)(run), (i, work)) for i, work in enumerate(works)]
+        for one in made:
+            one.wait()
+        return [one.get() for one in made]
+
+
 @contextmanager
 def _prepared(df: DataFrame, columns: list[str], target: str, *keep: str) -> Iterator[DataFrame]:
     """Vector and label of the rows that have one.
@@ -100,16 +128,19 @@ def train(
     cv_folds: int | None = None,
     ts: str = "timestamp",
     tie: str = "seq",
+    at_once: int = FITS_AT_ONCE,
 ) -> Trained:
-    """Fit one model; with ``cv_folds``, also score it on that many folds along time."""
+    """Fit one model; with ``cv_folds``, also score it on that many folds along time, ``at_once`` fits at a time."""
     chosen = {**KINDS[kind][1], **(parameters or {})} if kind in KINDS else {}
     fitter = estimator(kind, parameters)
     with _prepared(df, columns, target, ts, tie) as ready:
         rows = ready.count()
         if rows == 0:
             raise ValueError("nothing to train on")
-        cv = _fold_means(_folds(fitter, ready, cv_folds, ts, tie)) if cv_folds else {}
-        return Trained(kind, fitter.fit(ready), list(columns), target, chosen, rows, cv)
+        works = [lambda: fitter.fit(ready)]
+        works += _folds(fitter, ready, cv_folds, ts, tie) if cv_folds else []
+        model, *scores = side_by_side(df.sparkSession, works, at_once)
+        return Trained(kind, model, list(columns), target, chosen, rows, _fold_means(scores))
 
 
 def train_boosted_trees(df: DataFrame, **options) -> Trained:
@@ -126,23 +157,26 @@ def train_all(df: DataFrame, parameters: dict[str, dict] | None = None, cv_folds
     return {kind: train(kind, df, parameters=parameters.get(kind), cv_folds=cv_folds, **options) for kind in KINDS}
 
 
-def _folds(fitter, ready: DataFrame, n: int, ts: str, tie: str) -> list[DataFrame]:
+def _folds(fitter, ready: DataFrame, n: int, ts: str, tie: str) -> list[Callable]:
+    """For each fold the work that fits on its past, scores what follows, and gives one row of metrics."""
     split = expanding_folds(ready, n, ts, tie)
-    scores = []
-    for fold in range(1, n + 1):
-        part = split.where(F.col("fold") == fold)
-        fitted = fitter.fit(part.where("role = 'train'"))
-        scored = fitted.transform(part.where("role = 'test'"))
-        scores.append(regression_metrics(scored, "label", "prediction").withColumn("fold", F.lit(fold)))
-    return scores
 
+    def work(fold: int) -> Callable:
+        def run() -> dict:
+            part = split.where(F.col("fold") == fold)
+            fitted = fitter.fit(part.where("role = 'train'"))
+            scored = fitted.transform(part.where("role = 'test'"))
+            return {"fold": fold, **regression_metrics(scored, "label", "prediction").first().asDict()}
+
+        return run
+
+    return [work(fold) for fold in range(1, n + 1)]
 
-def _fold_means(scores: list[DataFrame]) -> dict[str, float]:
-    together = scores[0]
-    for part in scores[1:]:
-        together = together.unionByName(part)
-    means = together.agg(*[F.avg(m).alias(f"{m}_mean") for m in ("rmse", "mae", "r2")])
-    return means.first().asDict()
+
+def _fold_means(scores: list[dict]) -> dict[str, float]:
+    """Means over the folds that have the metric."""
+    known = {m: [s[m] for s in scores if s[m] is not None] for m in ("rmse", "mae", "r2")}
+    return {f"{m}_mean": sum(v) / len(v) if v else None for m, v in known.items()} if scores else {}
 
 
 def cross_validate(
@@ -154,11 +188,15 @@ def cross_validate(
     parameters: dict | None = None,
     ts: str = "timestamp",
     tie: str = "seq",
+    at_once: int = FITS_AT_ONCE,
 ) -> DataFrame:
-    """``fold, n, rmse, mae, r2, mape`` of every fold. The fits run here; the scores are small."""
+    """``fold, n, rmse, mae, r2, mape`` of every fold. The fits run here, ``at_once`` at a time; the scores are small."""
     with _prepared(df, columns, target, ts, tie) as ready:
-        scores = [row for part in _folds(estimator(kind, parameters), ready, n_folds, ts, tie) for row in part.collect()]
-    return df.sparkSession.createDataFrame(scores).select("fold", "n", "rmse", "mae", "r2", "mape")
+        scores = side_by_side(df.sparkSession, _folds(estimator(kind, parameters), ready, n_folds, ts, tie), at_once)
+    names = ["fold", "n", "rmse", "mae", "r2", "mape"]
+    return df.sparkSession.createDataFrame(
+        [tuple(s[c] for c in names) for s in scores], "fold int, n long, rmse double, mae double, r2 double, mape double"
+    )
 
 
 def predict(trained: Trained, df: DataFrame) -> DataFrame:
@@ -166,14 +204,44 @@ def predict(trained: Trained, df: DataFrame) -> DataFrame:
     return trained.model.transform(assembled(df, trained.columns)).drop("features")
 
 
+RUNS = T.StructType(
+    [
+        T.StructField("trained_at", T.TimestampType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("n_features", T.IntegerType()),
+        T.StructField("use_cv", T.BooleanType()),
+        T.StructField("rmse_mean", T.DoubleType()),
+        T.StructField("mae_mean", T.DoubleType()),
+        T.StructField("r2_mean", T.DoubleType()),
+    ]
+)
+
+
 def training_runs(spark, trained: dict[str, Trained]) -> DataFrame:
     """``trained_at, model, rows, n_features, use_cv, rmse_mean, mae_mean, r2_mean``, to append to a history table."""
     rows = [
-        (name, t.rows, len(t.columns), bool(t.cv), t.cv.get("rmse_mean"), t.cv.get("mae_mean"), t.cv.get("r2_mean"))
+        (None, name, t.rows, len(t.columns), bool(t.cv), t.cv.get("rmse_mean"), t.cv.get("mae_mean"), t.cv.get("r2_mean"))
         for name, t in trained.items()
     ]
-    schema = "model string, rows long, n_features int, use_cv boolean, rmse_mean double, mae_mean double, r2_mean double"
-    return spark.createDataFrame(rows, schema).select(F.current_timestamp().alias("trained_at"), "*")
+    return spark.createDataFrame(rows, RUNS).withColumn("trained_at", F.current_timestamp())
+
+
+def record_runs(spark, trained: dict[str, Trained], path: str) -> None:
+    """Append a training to the history table in ``path``."""
+    training_runs(spark, trained).coalesce(1).write.mode("append").parquet(path)
+
+
+def training_history(spark, path: str) -> DataFrame:
+    """All trainings that were recorded; none of a folder that is not there."""
+    return read_or_empty(spark, path, RUNS)
+
+
+def training_summary(history: DataFrame) -> DataFrame:
+    """``model, runs, last_trained, best_rmse`` of each model in a :func:`training_history`."""
+    return history.groupBy("model").agg(
+        F.count("*").alias("runs"), F.max("trained_at").alias("last_trained"), F.min("rmse_mean").alias("best_rmse")
+    )
 
 
 def best_trained(spark, trained: dict[str, Trained], metric: str = "r2") -> str:

@@ -728,6 +728,64 @@ ORACLE["fold_sizes"] = readings(
     FROM t, (VALUES (1), (2), (3)) f(fold), (VALUES ('train'), ('test')) r(role)"""
 )
 ORACLE["importance_total"] = f"SELECT {len(MODEL_FEATURES)} AS features, 1.0 AS total, true AS none_negative"
+# Trees of one split. Fit 0 learns from the first 80 percent and is tested on the rest, fits 1 to 3 are the folds along time,
+# fit 4 learns from all rows. The best split leaves the least squared error, so the greatest sum of n * mean^2 of both sides.
+ONE_SPLIT = f"""{silver('timestamp')}, n AS (SELECT *, {calendar('timestamp')},
+        row_number() OVER (ORDER BY timestamp, seq) - 1 AS i, count(*) OVER () AS total FROM silver),
+    fits AS (
+        SELECT 0 AS fit, CASE WHEN i < CAST(floor(total * (1 - 0.2)) AS BIGINT) THEN 'train' ELSE 'test' END AS role, * FROM n
+        UNION ALL SELECT fold, CASE WHEN i < (total // 4) * fold THEN 'train' ELSE 'test' END, n.*
+        FROM n, (VALUES (1), (2), (3)) f(fold) WHERE i < (total // 4) * (fold + 1)),
+    long AS (
+        SELECT fit, 'hour_of_day' AS feature, hour_of_day AS value, aqi FROM fits WHERE role = 'train'
+        UNION ALL SELECT fit, 'day_of_week', day_of_week, aqi FROM fits WHERE role = 'train'),
+    counted AS (SELECT fit, feature, value, count(*) AS n, sum(aqi) AS s FROM long GROUP BY ALL),
+    sides AS (SELECT *, sum(n) OVER up AS n1, sum(s) OVER up AS s1, sum(n) OVER (PARTITION BY fit, feature) AS n0,
+        sum(s) OVER (PARTITION BY fit, feature) AS s0, lead(value) OVER up AS following
+        FROM counted WINDOW up AS (PARTITION BY fit, feature ORDER BY value)),
+    split AS (SELECT fit, feature, (value + following) / 2.0 AS cut, s1 / n1 AS low, (s0 - s1) / (n0 - n1) AS high FROM sides
+        WHERE following IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY fit ORDER BY s1 * s1 / n1 + (s0 - s1) * (s0 - s1) / (n0 - n1) DESC) = 1),
+    predicted AS (SELECT f.*, CASE WHEN CASE feature WHEN 'hour_of_day' THEN hour_of_day ELSE day_of_week END <= cut
+        THEN low ELSE high END AS prediction FROM fits f JOIN split USING (fit) WHERE role = 'test'),
+    scores AS (SELECT fit, count(*) AS n, sqrt(avg((aqi - prediction) ** 2)) AS rmse, avg(abs(aqi - prediction)) AS mae,
+        1 - avg((aqi - prediction) ** 2) / var_pop(aqi) AS r2,
+        avg(CASE WHEN aqi <> 0 THEN abs(aqi - prediction) / abs(aqi) * 100 END) AS mape,
+        stddev_pop(aqi - prediction) AS sigma FROM predicted GROUP BY fit)"""
+KINDS = "(VALUES ('boosted_trees'), ('random_forest')) k(model)"
+SCORES = ", ".join(r6(c, c) for c in ("rmse", "mae", "r2", "mape"))
+ORACLE["one_split_predictions"] = readings(
+    f"{ONE_SPLIT} SELECT model, seq, {r6('prediction', 'prediction')} FROM predicted, {KINDS} WHERE fit = 0"
+)
+ORACLE["one_split_importance"] = readings(
+    f"""{ONE_SPLIT} SELECT model, f.feature, CASE WHEN f.feature = s.feature THEN 1.0 ELSE 0.0 END AS importance
+    FROM split s, {KINDS}, (VALUES ('hour_of_day'), ('day_of_week')) f(feature) WHERE fit = 0"""
+)
+ORACLE["one_split_metrics"] = readings(f"{ONE_SPLIT} SELECT model, n, {SCORES} FROM scores, {KINDS} WHERE fit = 0")
+ORACLE["one_split_folds"] = readings(f"{ONE_SPLIT} SELECT CAST(fit AS INTEGER) AS fold, n, {SCORES} FROM scores WHERE fit > 0")
+ORACLE["train_all"] = readings(
+    f"""{ONE_SPLIT}, means AS (SELECT true AS use_cv, avg(rmse) AS rmse, avg(mae) AS mae, avg(r2) AS r2 FROM scores WHERE fit > 0
+        UNION ALL SELECT false, NULL, NULL, NULL)
+    SELECT model, (SELECT count(*) FROM silver) AS rows, CAST(2 AS INTEGER) AS n_features, use_cv, {r6('rmse', 'rmse_mean')},
+    {r6('mae', 'mae_mean')}, {r6('r2', 'r2_mean')} FROM means, {KINDS}"""
+)
+ORACLE["training_summary"] = """SELECT * FROM (VALUES ('boosted_trees', 2, true, CAST(NULL AS DOUBLE)),
+    ('random_forest', 1, true, NULL)) v(model, runs, dated, best_rmse)"""
+ORACLE["one_split_forecast"] = readings(
+    f"""{ONE_SPLIT}, ahead AS (SELECT city, max(timestamp) + INTERVAL 1 HOUR * step AS timestamp
+        FROM silver, range(1, 25) r(step) GROUP BY city, step),
+    stamped AS (SELECT city, {US}, {calendar('timestamp')} FROM ahead),
+    valued AS (SELECT city, timestamp_us, CASE WHEN CASE feature WHEN 'hour_of_day' THEN hour_of_day ELSE day_of_week END <= cut
+        THEN low ELSE high END AS v FROM stamped, split WHERE fit = 0)
+    SELECT city, timestamp_us, {r6('v', 'predicted_aqi')}, {r6('v + 1.96 * sigma', 'upper_bound')}, {r6('v - 1.96 * sigma', 'lower_bound')}
+    FROM valued, scores WHERE fit = 0"""
+)
+ORACLE["stream_score_one_split"] = readings(
+    f"""{ONE_SPLIT}, stamped AS (SELECT seq, city, {US}, aqi, {calendar('timestamp')} FROM readings WHERE aqi IS NOT NULL)
+    SELECT seq, city, timestamp_us, {r6('aqi', 'current_aqi')}, {r6("""CASE WHEN CASE feature WHEN 'hour_of_day' THEN hour_of_day
+        ELSE day_of_week END <= cut THEN low ELSE high END""", 'predicted_aqi')}, true AS features_computed, CAST(NULL AS VARCHAR) AS error
+    FROM stamped, split WHERE fit = 0"""
+)
 ORACLE["forecast_shape"] = readings(
     f"{silver('timestamp')} SELECT DISTINCT city, 24 AS hours, 24 AS stamps, 24 AS inside, true AS one_width FROM silver"
 )

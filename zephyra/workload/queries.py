@@ -764,6 +764,87 @@ def model_registry(spark, folder):
     return store.stats()
 
 
+#: Trees of one split over columns with few values, which have an exact answer in SQL: every threshold is a candidate.
+SPLIT_ON = ["hour_of_day", "day_of_week"]
+ONE_SPLIT = {
+    "boosted_trees": {"maxDepth": 1, "maxIter": 1},
+    "random_forest": {"maxDepth": 1, "numTrees": 3, "bootstrap": False, "minInstancesPerNode": 1},
+}
+
+
+def _one_split(spark, folder, kind: str) -> models.Trained:
+    key = (spark.sparkContext.applicationId, folder, kind, "one split")
+    if key not in _trained:
+        rows = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'train'")
+        _trained[key] = models.train(kind, rows, SPLIT_ON, parameters=ONE_SPLIT[kind])
+    return _trained[key]
+
+
+@query
+def one_split_predictions(spark, folder):
+    """Each row of the holdout, predicted by trees of one split of either kind."""
+    rows = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'test'")
+    made = None
+    for kind in models.KINDS:
+        part = models.predict(_one_split(spark, folder, kind), rows).select(F.lit(kind).alias("model"), "seq", r6("prediction", "prediction"))
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+@query
+def one_split_importance(spark, folder):
+    """The column that a tree of one split uses has all the importance."""
+    made = None
+    for kind in models.KINDS:
+        part = models.model_feature_importance(_one_split(spark, folder, kind), spark).select(F.lit(kind).alias("model"), "feature", "importance")
+        made = part if made is None else made.unionByName(part)
+    return rounded(made)
+
+
+@query
+def one_split_metrics(spark, folder):
+    trained = {kind: _one_split(spark, folder, kind) for kind in models.KINDS}
+    rows = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'test'")
+    return rounded(models.evaluate_all(trained, rows))
+
+
+@query
+def one_split_folds(spark, folder):
+    """Cross-validation of trees of one split, fold by fold."""
+    return rounded(
+        models.cross_validate("boosted_trees", _training_rows(spark, folder), columns=SPLIT_ON, parameters=ONE_SPLIT["boosted_trees"])
+    )
+
+
+@query
+def train_all(spark, folder):
+    """Both kinds of models trained twice, with cross-validation and without, and the history that was recorded of it."""
+    rows, path = _training_rows(spark, folder), new_folder(spark, "runs")
+    for folds in (3, None):
+        trained = models.train_all(rows, ONE_SPLIT, folds, columns=SPLIT_ON)
+        models.record_runs(spark, trained, path)
+    return rounded(models.training_history(spark, path).drop("trained_at"))
+
+
+@query
+def training_summary(spark, folder):
+    path = new_folder(spark, "runs")
+    trained = {kind: _one_split(spark, folder, kind) for kind in models.KINDS}
+    models.record_runs(spark, trained, path)
+    models.record_runs(spark, {"boosted_trees": trained["boosted_trees"]}, path)
+    made = models.training_summary(models.training_history(spark, path))
+    return made.select("model", "runs", F.col("last_trained").isNotNull().alias("dated"), "best_rmse")
+
+
+@query
+def one_split_forecast(spark, folder):
+    """The next day of each city by a tree of one split over the hour and the weekday."""
+    trained = _one_split(spark, folder, "boosted_trees")
+    held = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'test'")
+    made = models.forecast_24h(trained, clean.clean(readings(spark, folder)), models.residual_sigma(trained, held))
+    return rounded(made.select("city", us(), "predicted_aqi", "upper_bound", "lower_bound"))
+
+
 @query
 def predicted_rows(spark, folder):
     """Each row of the holdout has a finite prediction, for both kinds of models."""
@@ -918,6 +999,15 @@ def stream_score(spark, folder):
     return rounded(made.select("seq", "city", us(), "current_aqi", "predicted_aqi", "features_computed", "error"))
 
 
+@query
+def stream_score_one_split(spark, folder):
+    """The feature stream scored by a tree of one split, whose predictions have an exact answer."""
+    trained = _one_split(spark, folder, "boosted_trees")
+    scored = scoring.score(stream_features(reading_stream(spark, folder)), trained.model, trained.columns)
+    made = run_to_end(spark, scored, "scores")
+    return rounded(made.select("seq", "city", us(), "current_aqi", "predicted_aqi", "features_computed", "error"))
+
+
 @query
 def stream_suppress_repeats(spark, folder):
     rows = reading_stream(spark, folder)
