@@ -1,12 +1,15 @@
 """Toxicity of a text by a factorization machine over hashed terms.
 
-Terms are the words of a text and their beginnings, each counted once, hashed into slots. The score is the logistic function of
-a bias, a weight for each slot, and for each pair of slots the inner product of their factors, so that two terms can mean
-together what neither means alone. The sum over all pairs takes one pass: half of the squared sum of the factors less the
-sum of their squares.
-
-Training is full-batch: a written table holds the slots of a bounded sample of labelled texts, tasks sum the gradient of their
-rows, and the driver, which holds the model, takes the step.
+Terms are the words of a text and their beginnings, each counted once, hashed into slots; every term takes part. The score is the
+logistic function of a bias, a weight for each slot, and for each pair of slots the inner product of their factors, so that two
+terms can mean together what neither means alone. The sum over all pairs takes one pass: half of the squared sum of the factors
+less the sum of their squares.
+
+Training is full-batch: a written table holds the slots of a bounded sample of labelled texts, tasks sum the gradients of their
+rows, and the driver, which holds the model, takes the step. A slot's step is scaled by its evidence: how far its gradient is from
+what rows with labels by chance would give, in standard deviations. So the many terms of few texts, which could tell any
+training text from any other, move little, and none is left out. Weights move first; then factors, on what weights leave
+unexplained. A fifth of the sample is set aside: on it the scale and the bias of the scores are fitted at the end.
 """
 
 from __future__ import annotations
@@ -15,24 +18,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zephyra.llm.decontaminate import WORD
-from zephyra.llm.lookup import Lookup
 from zephyra.llm.texts import LOWER, Piece, pieces, prefix_sums, span_hashes, words
 from zephyra.plans.tables import write_out
 
 #: At most so many labelled rows are used to fit, those of smallest hash of their id.
 TRAINING_ROWS = 40_000
-#: So many terms take part, those that go most clearly with one of the labels in the training texts, and of these only the
-#: ones that at least so many texts have.
-TERMS, LEAST_TEXTS = 2048, 8
+#: Of these one in so many is set aside for the scale of the scores.
+SET_ASIDE = 5
 #: Beginnings of words, in bytes, that are terms besides the words.
 BEGINNINGS = (4, 5)
-SLOTS, FACTORS = 1 << 14, 4
-ROUNDS, STEP, DECAY = 30, 0.05, 1e-4
+SLOT_BITS, FACTORS = 18, 4
+SLOTS = 1 << SLOT_BITS
+#: Rounds in all, and those in which only weights move.
+ROUNDS, WEIGHT_ROUNDS = 60, 25
+STEP, MOMENTUM, DECAY, START = 0.2, 0.5, 1e-4, 0.02
+#: Standard deviations at which a slot takes half a step, and how sharply the steps of others differ.
+EVIDENCE, SHARPNESS = 10.0, 6
 PIECE = 1 << 20
 
 
@@ -49,66 +56,82 @@ def terms(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def slots(piece: Piece, kept: Lookup) -> tuple[np.ndarray, np.ndarray]:
+def slots(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots of each text, one text after another, and their bounds."""
     hashes, text = terms(piece)
-    slot = kept.find(hashes).astype(np.int64)
-    there = slot >= 0
-    both = np.unique(text[there] * SLOTS + slot[there])
+    both = np.unique(text * SLOTS + (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
     return both % SLOTS, np.searchsorted(both // SLOTS, np.arange(len(piece) + 1))
 
 
 class Machine:
-    """``bias``, ``weight`` (slots) and ``factor`` (slots x factors); ``terms``: sorted hashes of the terms that take part."""
+    """``bias``, ``weight`` (slots) and ``factor`` (slots x factors); ``scale`` and ``shift`` of the value."""
 
-    def __init__(self, hashes: np.ndarray, seed: int = 11):
-        self.terms = hashes
-        self.bias, self.weight = 0.0, np.zeros(SLOTS)
-        self.factor = np.random.default_rng(seed).normal(0, 0.01, (SLOTS, FACTORS))
+    def __init__(self):
+        self.bias, self.scale, self.shift = 0.0, 1.0, 0.0
+        self.weight, self.factor = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
 
-    def lookup(self) -> Lookup:
-        return Lookup(self.terms, (self.terms % np.uint64(SLOTS)).astype(np.int64))
+    def start(self, share: np.ndarray, seed: int = 11) -> None:
+        """Small random factors, smaller for slots that few texts, or nearly all, have."""
+        spread = 2 * np.sqrt(share * (1 - share))
+        self.factor = (np.random.default_rng(seed).normal(0, START, (SLOTS, FACTORS)) * spread[:, None]).astype(np.float32)
 
     def margins(self, slot: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the value before the logistic function, and the sum of its factors."""
+        """For each row the value before scale and logistic function, and the sum of its factors."""
         rows = len(bounds) - 1
         owner = np.repeat(np.arange(rows), np.diff(bounds))
-        factor = self.factor[slot]
+        factor = self.factor[slot].astype(float)
         sums = np.stack([np.bincount(owner, factor[:, f], rows) for f in range(FACTORS)], axis=1)
         squares = np.bincount(owner, (factor**2).sum(axis=1), rows)
         pairs = ((sums**2).sum(axis=1) - squares) / 2
         return self.bias + np.bincount(owner, self.weight[slot], rows) + pairs, sums
 
-    def gradient(self, slot: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Sum over the rows: slots x (1 + factors), and in a last line the bias."""
+    def scores(self, slot: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return logistic(self.scale * self.margins(slot, bounds)[0] + self.shift)
+
+    def gradient(self, slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the rows. First the gradient, and beside it the sum of squares of what each error is multiplied by (slots x
+        (1 + factors) each); then the sum of the errors and that of their squares. Without ``pairs`` those of factors are 0."""
         margin, sums = self.margins(slot, bounds)
         error = logistic(margin) - label
         owner = np.repeat(np.arange(len(label)), np.diff(bounds))
-        each = np.bincount(slot, error[owner], SLOTS)
-        parts = [each]
-        for f in range(FACTORS):
-            parts.append(np.bincount(slot, (error * sums[:, f])[owner], SLOTS) - self.factor[:, f] * each)
-        out = np.zeros((SLOTS + 1, 1 + FACTORS))
-        out[:-1] = np.stack(parts, axis=1)
-        out[-1, 0] = error.sum()
-        return out
+        each = error[owner]
+        out = np.zeros((2, SLOTS, 1 + FACTORS))
+        out[0, :, 0], out[1, :, 0] = np.bincount(slot, each, SLOTS), np.bincount(slot, minlength=SLOTS)
+        for f in range(FACTORS if pairs else 0):
+            others = sums[owner, f] - self.factor[slot, f]
+            out[0, :, f + 1], out[1, :, f + 1] = np.bincount(slot, each * others, SLOTS), np.bincount(slot, others**2, SLOTS)
+        return out, np.array([error.sum(), (error**2).sum()])
+
+    def step(self, gradient: np.ndarray, errors: np.ndarray, n: int, motion: np.ndarray) -> np.ndarray:
+        """Move by the evidence of the summed gradient; ``motion`` is the average of the steps before, and the new one returned."""
+        variance = max(errors[1] / n, 1e-9)
+        square = gradient[0] ** 2 / np.maximum(gradient[1] * variance, 1e-12)
+        power = square ** (SHARPNESS / 2)
+        step = np.sign(gradient[0]) * power / (power + EVIDENCE**SHARPNESS)
+        motion = MOMENTUM * motion + (1 - MOMENTUM) * step
+        self.weight = ((1 - DECAY) * self.weight - STEP * motion[:, 0]).astype(np.float32)
+        self.factor = ((1 - DECAY) * self.factor - STEP * motion[:, 1:]).astype(np.float32)
+        self.bias -= STEP * float(np.clip(errors[0] / n / np.sqrt(variance / n) / 4, -1, 1))
+        return motion
+
+    def calibrate(self, margin: np.ndarray, label: np.ndarray, rounds: int = 50) -> None:
+        """Scale and shift that make the labels of rows that did not take part likeliest; few rows change little."""
+        scale, shift = 1.0, 0.0
+        for _ in range(rounds):
+            p = logistic(scale * margin + shift)
+            error, curve = p - label, p * (1 - p)
+            slope = np.array([(error * margin).sum() + scale - 1, error.sum() + shift])
+            bend = np.array([[(curve * margin**2).sum() + 1, (curve * margin).sum()], [(curve * margin).sum(), curve.sum() + 1]])
+            move = np.linalg.solve(bend, slope)
+            scale, shift = scale - float(np.clip(move[0], -0.5, 0.5)), shift - float(np.clip(move[1], -0.5, 0.5))
+        if scale > 0:
+            self.scale, self.shift = scale, shift
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-class Adam:
-    def __init__(self, shape: tuple[int, ...]):
-        self.mean, self.square, self.t = np.zeros(shape), np.zeros(shape), 0
-
-    def step(self, gradient: np.ndarray) -> np.ndarray:
-        self.t += 1
-        self.mean += 0.1 * (gradient - self.mean)
-        self.square += 0.001 * (gradient**2 - self.square)
-        return STEP * (self.mean / (1 - 0.9**self.t)) / (np.sqrt(self.square / (1 - 0.999**self.t)) + 1e-8)
-
-
 def _remainder(divisor: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
@@ -121,88 +144,85 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(write_out(chosen)), "doc_id").select("text", F.col("label").cast("double"))
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """``term, n, toxic``: in how many texts each term is, and in how many of those with label 1."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=PIECE):
-            hashes, text = terms(piece)
-            order = np.lexsort((text, hashes))
-            hashes, text = hashes[order], text[order]
-            once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])])[: len(hashes)]
-            found, inverse, n = np.unique(hashes[once], return_inverse=True, return_counts=True)
-            toxic = np.bincount(inverse, piece.column("label")[text[once]], len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(toxic)], names=["term", "n", "toxic"])
-
-    made = texts.select("text", "label").mapInArrow(count, "term long, n long, toxic double")
-    return made.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-
-
-def fit(texts: DataFrame, rounds: int = ROUNDS, count: int = TERMS, least_texts: int = LEAST_TEXTS) -> Machine:
+def fit(texts: DataFrame, rounds: int = ROUNDS, weight_rounds: int = WEIGHT_ROUNDS) -> Machine:
     """Fit on ``texts(text, label)``, a bounded sample. No rows give a model that scores one half."""
     context = texts.sparkSession.sparkContext
-    texts = write_out(texts)
-    n, rate = texts.agg(F.count("*"), F.avg("label")).first()
-    if not n:
-        return Machine(np.zeros(0, np.uint64))
-    rate = min(max(rate, 1 / (n + 1)), n / (n + 1))
-    # how far the label's share among the texts with the term is from its share among all, in standard deviations
-    far = F.abs((F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
-    chosen = term_counts(texts).where(F.col("n") >= least_texts).orderBy(far.desc(), "term").limit(count)
-    machine = Machine(np.sort(np.array([r["term"] for r in chosen.collect()], np.int64).view(np.uint64)))
-    machine.bias = float(np.log(rate / (1 - rate)))
-    first = context.broadcast(machine)
+    machine = Machine()
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = first.value.lookup()
         for piece in pieces(batches, limit=PIECE):
-            slot, bounds = slots(piece, kept)
+            slot, bounds = slots(piece)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(slot.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([piece.rows.column("label"), lists], names=["label", "slots"])
-
-    rows = write_out(texts.mapInArrow(prepare, "label double, slots array<int>").coalesce(8))
-    adam = Adam((SLOTS + 1, 1 + FACTORS))
-    for _ in range(rounds):
-        now = context.broadcast(machine)
-        total = np.zeros((SLOTS + 1, 1 + FACTORS))
-        for row in gradients(rows, now).collect():  # eight at most
-            total += np.frombuffer(row["gradient"], np.float32).reshape(total.shape)
-        gradient = total / n
-        gradient[:-1, 0] += DECAY * machine.weight
-        gradient[:-1, 1:] += DECAY * machine.factor
-        step = adam.step(gradient)
-        machine.weight = machine.weight - step[:-1, 0]
-        machine.factor = machine.factor - step[:-1, 1:]
-        machine.bias -= step[-1, 0]
+            columns = [piece.rows.column("label"), piece.rows.column("aside"), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "aside", "slots"])
+
+    marked = texts.withColumn("aside", F.pmod(F.xxhash64("text", F.lit(SET_ASIDE)), F.lit(SET_ASIDE)) == 0)
+    rows = write_out(marked.mapInArrow(prepare, "label double, aside boolean, slots array<int>").coalesce(8))
+    used = rows.where("not aside").drop("aside")
+    n, rate = used.agg(F.count("*"), F.avg("label")).first()
+    if not n:
+        return machine
+    rate = min(max(rate, 1 / (n + 1)), n / (n + 1))
+    machine.bias = float(np.log(rate / (1 - rate)))
+    motion = np.zeros((SLOTS, 1 + FACTORS))
+    for number in range(rounds):
+        now = context.broadcast(machine)  # a model of fixed size
+        pairs = number >= weight_rounds
+        gradient, errors = np.zeros((2, SLOTS, 1 + FACTORS)), np.zeros(2)
+        for row in gradients(used, now, pairs).toLocalIterator():  # eight at most, one at a time
+            part = np.frombuffer(zstandard.decompress(row["gradient"]), np.float32)
+            gradient += part.reshape(gradient.shape)
+            errors += row["errors"]
         now.unpersist()
+        motion = machine.step(gradient, errors, n, motion)
+        if number + 1 == weight_rounds:
+            machine.start(gradient[1, :, 0] / n)
+    known = margins_of(rows.where("aside").drop("aside"), context.broadcast(machine)).collect()  # of a fifth of the bounded sample
+    if known:
+        machine.calibrate(*np.array([(r["margin"], r["label"]) for r in known]).T)
     return machine
 
 
-def gradients(rows: DataFrame, machine: Broadcast) -> DataFrame:
-    """A row per task with the sum of its rows' gradients."""
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    lists = batch.column("slots")
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+
+
+def gradients(rows: DataFrame, machine: Broadcast, pairs: bool) -> DataFrame:
+    """A row per task with the sums of :meth:`Machine.gradient` over its rows."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SLOTS + 1, 1 + FACTORS))
+        total, errors = np.zeros((2, SLOTS, 1 + FACTORS)), np.zeros(2)
         for batch in batches:
             if batch.num_rows:
-                lists = batch.column("slots")
-                bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-                total += machine.value.gradient(lists.flatten().to_numpy(), bounds, batch.column("label").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["gradient"])
+                made, wrong = machine.value.gradient(*_lists(batch), batch.column("label").to_numpy(), pairs)
+                total += made
+                errors += wrong
+        packed = zstandard.compress(total.astype(np.float32).tobytes(), 1)  # most slots of a task are empty
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary()), pa.array([errors.tolist()])], names=["gradient", "errors"])
+
+    return rows.mapInArrow(add, "gradient binary, errors array<double>")
+
+
+def margins_of(rows: DataFrame, machine: Broadcast) -> DataFrame:
+    """``margin, label`` of prepared rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin = machine.value.margins(*_lists(batch))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(margin), batch.column("label")], names=["margin", "label"])
 
-    return rows.mapInArrow(add, "gradient binary")
+    return rows.mapInArrow(work, "margin double, label double")
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``doc_id, score`` for each row of ``docs(doc_id, text)``; a text without known terms, so a null one too, scores by the bias."""
+    """``doc_id, score`` for each row of ``docs(doc_id, text)``; a text without terms, so a null one too, scores by the bias."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
         for piece in pieces(batches, limit=PIECE):
-            kept = kept or shared.value.lookup()
-            margin, _ = shared.value.margins(*slots(piece, kept))
-            yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), pa.array(logistic(margin))], names=["doc_id", "score"])
+            scores = shared.value.scores(*slots(piece))
+            yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, score double")
