@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyra.llm.fmindex import FMIndex
-from zephyra.llm.texts import LOWER, Piece, pieces, prefix_sums, ranges, span_hashes, words
+from zephyra.llm.texts import LOWER, Piece, carried, pieces, prefix_sums, ranges, span_hashes, words
 
 WINDOW = 13
 #: A block of phrases holds at most so many words (or one item). Blocks are searched one after another.
@@ -220,7 +220,7 @@ def contamination(
         if shard.parts:
             yield shard.search(blocks)
 
-    given = docs.select(F.struct(*carry).alias("row") if carry else F.col("doc_id"), "text")
+    given = docs.select(carried(carry) if carry else F.col("doc_id"), "text")
     kinds = {
         "n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(),
         "contaminated": T.BooleanType(), "span_starts": T.ArrayType(T.LongType()), "span_ends": T.ArrayType(T.LongType()),

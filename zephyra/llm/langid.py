@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyra.llm.pieces import Known, Matcher, distinct, load, spaced_words
-from zephyra.llm.texts import ranges, pieces as text_pieces, views
+from zephyra.llm.texts import carried, pieces as text_pieces, ranges, views
 from zephyra.plans.tables import write_out
 
 #: At most so many labelled documents of each language are used to fit the model, those of smallest hash of their id.
@@ -326,7 +326,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
             )
 
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("_lettered")
-    first = F.struct(*carry).alias("row") if carry else F.col("doc_id")
+    first = carried(carry) if carry else F.col("doc_id")
     given = docs.select(first, "text", lettered)
     schema = T.StructType([given.schema[0], *[T.StructField(*f) for f in (("lang_pred", T.StringType()), ("score", T.DoubleType()))]])
     return given.mapInArrow(label, schema)

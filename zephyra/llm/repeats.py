@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyra.llm.suffixes import suffix_array
-from zephyra.llm.texts import MIX, mixed, pieces, prefix_sums, ranges, span_hashes
+from zephyra.llm.texts import MIX, carried, mixed, pieces, prefix_sums, ranges, span_hashes
 from zephyra.plans.tables import write_out
 
 LENGTH = 50
@@ -377,7 +377,7 @@ def removed(docs: DataFrame, crowded: int = CROWDED, busy: int = BUSY, carry: li
     the rest of a character that was cut.
     """
     plain = docs.select(
-        F.struct(*carry).alias("row") if carry else F.col("doc_id"),
+        carried(carry) if carry else F.col("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
         # tells texts of one id apart
         (F.xxhash64("text").bitwiseAND(F.lit(0x7FFF))).alias("tag"),

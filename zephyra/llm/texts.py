@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
 ROW_BYTES = 64
@@ -104,6 +105,11 @@ def steady_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit
         yield close()
 
 
+def carried(columns: list[str]) -> Column:
+    """Columns of any names as one struct, ``row``."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).alias("row")
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE ** i`` and its inverse modulo 2**64, for i below n."""
     global _powers
