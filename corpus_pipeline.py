@@ -42,9 +42,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Stretches of 50 bytes that an earlier document has are cut out of the texts; every document stays."""
     cut = repeats.removed(docs, carry=docs.columns)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    length = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars"))
-    changed = {"text": text.alias("text"), "n_chars": length.cast(docs.schema["n_chars"].dataType).alias("n_chars")}
-    return cut.select(*[changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
+    changed = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars"))
+        changed["n_chars"] = length.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+    return cut.select(*[changed.get(c, F.col(f"row.{quoted[c]}").alias(c)) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
