@@ -13,6 +13,7 @@ from zephyra.operators import alerts, features
 from zephyra.schemas import FEATURES
 from zephyra.streaming.alerts import state_entries, suppress_repeats_stream
 from zephyra.streaming.features import state_readings, state_stats, stream_features
+from zephyra.streaming.jobs import feature_table_sink, feature_table_writer
 from zephyra.streaming.scoring import event_metrics, event_metrics_sink, finished_results, latency_sink, open_windows
 from zephyra.streaming.state import read_state
 
@@ -136,3 +137,47 @@ def test_a_stream_without_watermark_keeps_its_entries(spark, tmp_path):
     assert rows_of(made, "seq") == [(1,)] and state_entries(spark, f"{tmp_path}/cp").count() == 1
     with pytest.raises(ValueError):
         suppress_repeats_stream(alerts.rule_alerts(source(spark, path)), hours=0)
+
+
+def test_late_readings_change_the_features_of_those_after_them(spark, tmp_path):
+    """Out of order by hours, and across days: the table is what the batch operator gives for all readings."""
+    path = f"{tmp_path}/in"
+    rows = [(i, "ab"[i % 2], START + timedelta(minutes=97 * i), float(i * 31 % 400)) for i in range(90)]
+    late = [r for r in rows if r[0] % 7 == 3]
+    on_time = [r for r in rows if r[0] % 7 != 3]
+    nowhen = [(700, "a", None, 1.0)]
+    for part in (on_time[:30], late[:4] + nowhen, on_time[30:60], late[4:], on_time[60:]):
+        write(spark, path, part)
+    feature_table_sink(source(spark, path), f"{tmp_path}/history", f"{tmp_path}/out", f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    made = spark.read.parquet(f"{tmp_path}/out")
+    expected = features.event_features(spark.createDataFrame(rows, READING))
+    assert near(rows_of(made, "seq", *FEATURES)) == near(rows_of(expected, "seq", *FEATURES))
+    assert spark.read.parquet(f"{tmp_path}/history").count() == 91
+
+
+def test_old_lags_come_from_the_last_readings(spark, tmp_path):
+    """A silence of a week: the next reading sees the one before it, and no folder in between was read."""
+    path = f"{tmp_path}/in"
+    rows = [(i, "a", START + timedelta(hours=5 * i), float(i)) for i in range(8)]
+    rows += [(100 + i, "a", START + timedelta(days=9, hours=i), 50.0 + i) for i in range(5)]
+    other = [(200 + i, "b", START + timedelta(hours=20 * i), float(-i)) for i in range(12)]
+    everything = sorted(rows + other, key=lambda r: r[2])
+    for i in range(0, len(everything), 5):
+        write(spark, path, everything[i : i + 5])
+    feature_table_sink(source(spark, path), f"{tmp_path}/history", f"{tmp_path}/out", f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    made = spark.read.parquet(f"{tmp_path}/out")
+    expected = features.event_features(spark.createDataFrame(everything, READING))
+    assert near(rows_of(made, "seq", *FEATURES)) == near(rows_of(expected, "seq", *FEATURES))
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a", START + timedelta(hours=3 * i), float(i)) for i in range(20)], READING)
+    first, second = rows.where("seq < 12"), rows.where("seq >= 12")
+    put = feature_table_writer(f"{tmp_path}/history", f"{tmp_path}/out")
+    for number, batch in ((0, first), (1, second)):
+        put(batch, number)
+    before = rows_of(spark.read.parquet(f"{tmp_path}/out"), "seq", *FEATURES)
+    for number, batch in ((1, second), (0, first), (2, first.limit(0))):
+        put(batch, number)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out"), "seq", *FEATURES) == before and len(before) == 20
+    assert spark.read.parquet(f"{tmp_path}/history").count() == 20

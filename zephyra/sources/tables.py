@@ -10,12 +10,16 @@ from pyspark.sql import types as T
 from zephyra.operators.clean import schema_gate
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> DataFrame:
-    """The table, or an empty one of that schema while nothing has been written."""
+def read_or_empty(
+    spark: SparkSession, path: str, schema: T.StructType, *partitions: str, base: str | None = None
+) -> DataFrame:
+    """The table, or an empty one of that schema while nothing has been written. ``base`` is the folder of the table if
+    ``path`` names some of its folders."""
     dates = [T.StructField(p, T.DateType() if p == "date" else T.StringType()) for p in partitions]
     full = T.StructType([f for f in schema.fields if f.name not in partitions] + dates)
     try:
-        return spark.read.schema(full).parquet(path)
+        reader = spark.read.schema(full)
+        return (reader.option("basePath", base) if base else reader).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -728,6 +728,13 @@ ORACLE["fold_sizes"] = readings(
     FROM t, (VALUES (1), (2), (3)) f(fold), (VALUES ('train'), ('test')) r(role)"""
 )
 ORACLE["importance_total"] = f"SELECT {len(MODEL_FEATURES)} AS features, 1.0 AS total, true AS none_negative"
+ORACLE["profile_from_summaries"] = readings(
+    f""", span AS (SELECT * FROM readings WHERE CAST(timestamp AS DATE) <= (SELECT min(CAST(timestamp AS DATE)) + 9 FROM readings)),
+    long AS (SELECT 'aqi' AS feature, aqi AS v FROM span UNION ALL SELECT 'pm25', pm25 FROM span)
+    SELECT feature, count(*) AS records, count(*) - count(v) AS missing, {r6('(count(*) - count(v)) * 100.0 / count(*)', 'missing_pct')},
+    {r6('min(v)', 'min')}, {r6('max(v)', 'max')}, {r6('avg(v)', 'mean')}, {r6('stddev_samp(v)', 'std')},
+    true AS distinct_near, true AS quartiles_near FROM long GROUP BY feature"""
+)
 # Trees of one split. Fit 0 learns from the first 80 percent and is tested on the rest, fits 1 to 3 are the folds along time,
 # fit 4 learns from all rows. The best split leaves the least squared error, so the greatest sum of n * mean^2 of both sides.
 ONE_SPLIT = f"""{silver('timestamp')}, n AS (SELECT *, {calendar('timestamp')},

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyra.operators import alert_store, alerts, clean, evaluate, features, models, profile, quality, registry
-from zephyra.operators import scaling, serving, splits
+from zephyra.operators import rollups, scaling, serving, splits
 from zephyra.schemas import FEATURES, LAG_FEATURES, POLLUTANTS, ROLLING_FEATURES
 from zephyra.session import configure, shared_dir
 from zephyra.sources import events as messages
@@ -681,6 +681,30 @@ def best_model(spark, folder):
     return rounded(evaluate.best_model(rows, "rmse"))
 
 
+@query
+def profile_from_summaries(spark, folder):
+    """Ten days of readings profiled from daily summaries, and whether their estimates are within the error of the sketches."""
+    rows, path = readings(spark, folder).select("timestamp", "aqi", "pm25"), new_folder(spark, "summaries")
+    rollups.write_summaries(rollups.daily_summaries(rows, ["aqi", "pm25"]), path)
+    first = rows.agg(F.min(F.to_date("timestamp"))).first()[0]
+    span = F.to_date("timestamp").between(F.lit(first), F.date_add(F.lit(first), 9))
+    made = rollups.profile_of(rollups.read_summaries(spark, path), last=F.date_add(F.lit(first), 9))
+    values = rows.where(span).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("aqi", "pm25")])))
+    asked = values.join(F.broadcast(made.select("feature", *rollups.QUARTILES)), "feature")  # a row for each column
+    n, v = F.count("v"), F.col("v")
+    near = [
+        (F.count_if(v < F.col(q)) / n - 0.02 <= p) & (p <= F.count_if(v <= F.col(q)) / n + 0.02) for q, p in rollups.QUARTILES.items()
+    ]
+    checked = asked.groupBy("feature").agg((near[0] & near[1] & near[2]).alias("quartiles_near"), F.count_distinct("v").alias("exact"))
+    both = made.join(checked, "feature")
+    return rounded(
+        both.select(
+            "feature", "records", "missing", "missing_pct", "min", "max", "mean", "std",
+            (F.abs(F.col("distinct") - F.col("exact")) <= 0.04 * F.col("exact") + 1).alias("distinct_near"), "quartiles_near",
+        )
+    )
+
+
 # ------------------------------------------------------------------- models
 
 _trained: dict[tuple, models.Trained] = {}
