@@ -186,18 +186,16 @@ def trailing(
     # bring the answers of an instant together; narrow rows travel, and they are put side by side afterwards
     rows = rows.repartition(*keys, "_us")
 
-    def of(hours: int, column: str) -> Column:
-        return F.max(F.when(F.col("_back") == hours, F.col(column)))
+    def of(hours: int, column: str, name: str) -> Column:
+        return F.expr(f"max(CASE WHEN _back = {hours} THEN {column} END) AS {name}")
 
-    parts = [of(w, "_asof").alias(f"lag_{w}") for w in lags]
+    parts = [of(w, "_asof", f"lag_{w}") for w in lags]
     if windows:
-        step = F.try_divide(F.col("e_s1"), F.col("e_n"))
-        rows = rows.withColumn("e_mean", F.col("_center") + step)
-        rows = rows.withColumn("e_m2", F.greatest(F.col("e_s2") - F.col("e_s1") * step, F.lit(0.0)))
+        rows = rows.selectExpr("*", "_center + try_divide(e_s1, e_n) AS e_mean", "greatest(e_s2 - e_s1 * try_divide(e_s1, e_n), 0D) AS e_m2")
         for s in STATS:
-            parts.append(of(0, f"e_{s}").alias(f"head_{s}"))
-            parts += [of(w, f"e_{s}").alias(f"tail{w}_{s}") for w in windows]
-            parts += [of(0, f"_full.full{w}.{s}").alias(f"full{w}_{s}") for w in windows]
+            parts.append(of(0, f"e_{s}", f"head_{s}"))
+            parts += [of(w, f"e_{s}", f"tail{w}_{s}") for w in windows]
+            parts += [of(0, f"_full.full{w}.{s}", f"full{w}_{s}") for w in windows]
     found = rows.groupBy(*keys, "_us").agg(*parts)
     return _merged(found, keys, windows, std)
 
@@ -273,35 +271,37 @@ def _edges(
 
 
 def _merged(found: DataFrame, keys: list[str], windows: list[int], std: str) -> DataFrame:
-    """Put the three pieces of every window together: counts and means first, then the squares about the mean."""
+    """Put the three pieces of every window together: counts and means first, then the squares about the mean.
 
-    def fields(w: int, s: str) -> list[Column]:
-        return [F.col(f"tail{w}_{s}"), F.col(f"full{w}_{s}"), F.col(f"head_{s}")]
+    As text, which Spark parses at once; there are hundreds of terms.
+    """
 
-    def known(w: int, s: str) -> list[Column]:
-        return [F.coalesce(c, F.lit(0)) if s == "n" else F.coalesce(c, F.lit(0.0)) for c in fields(w, s)]
+    def known(w: int, s: str) -> list[str]:
+        nothing = "0L" if s == "n" else "0D"
+        return [f"coalesce({c}, {nothing})" for c in fields(w, s)]
 
-    def add(parts: list[Column]) -> Column:
-        return sum(parts[1:], parts[0])
+    def fields(w: int, s: str) -> list[str]:
+        return [f"tail{w}_{s}", f"full{w}_{s}", f"head_{s}"]
 
+    def total(parts: list[str]) -> str:
+        return "(" + " + ".join(parts) + ")"
+
+    found = found.selectExpr("*", *[f"{total(known(w, 'n'))} AS count_{w}" for w in windows])
+    means = []
     for w in windows:
-        found = found.withColumn(f"count_{w}", add(known(w, "n")))
-    means = {}
-    for w in windows:
-        total = add([n * m for n, m in zip(known(w, "n"), known(w, "mean"))])
-        means |= {
-            f"mean_{w}": F.try_divide(total, f"count_{w}"),
-            f"min_{w}": F.least(*fields(w, "lo")),
-            f"max_{w}": F.greatest(*fields(w, "hi")),
-        }
-    found = found.withColumns(means) if windows else found
+        weighted = total([f"{n} * {m}" for n, m in zip(known(w, "n"), known(w, "mean"), strict=True)])
+        means.append(f"try_divide({weighted}, count_{w}) AS mean_{w}")
+        means.append(f"least({', '.join(fields(w, 'lo'))}) AS min_{w}")
+        means.append(f"greatest({', '.join(fields(w, 'hi'))}) AS max_{w}")
+    found = found.selectExpr("*", *means)
+    deviations = []
     for w in windows:
-        count = F.col(f"count_{w}")
-        gaps = [m - F.col(f"mean_{w}") for m in known(w, "mean")]
-        spread = add([m2 + n * g * g for m2, n, g in zip(known(w, "m2"), known(w, "n"), gaps)])
-        by = count if std == "pop" else count - 1
-        deviation = F.when(F.col(f"min_{w}") == F.col(f"max_{w}"), 0.0).otherwise(F.sqrt(spread / by))
-        found = found.withColumn(f"std_{w}", F.when(by > 0, deviation))
+        gaps = [f"({m} - mean_{w})" for m in known(w, "mean")]
+        spread = total([f"{m2} + {n} * {g} * {g}" for m2, n, g in zip(known(w, "m2"), known(w, "n"), gaps, strict=True)])
+        by = f"count_{w}" if std == "pop" else f"(count_{w} - 1)"
+        inner = f"CASE WHEN min_{w} = max_{w} THEN 0D ELSE sqrt({spread} / {by}) END"
+        deviations.append(f"CASE WHEN {by} > 0 THEN {inner} END AS std_{w}")
+    found = found.selectExpr("*", *deviations)
     lags = [c for c in found.columns if c.startswith("lag_")]
     return found.select(*keys, "_us", *lags, *[f"{s}_{w}" for w in windows for s in RESULTS])
 
