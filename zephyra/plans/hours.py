@@ -28,6 +28,9 @@ BROADCAST_INSTANTS = 1_000_000
 HOUR = 3_600_000_000  # microseconds
 
 STATS = ("n", "mean", "m2", "lo", "hi")
+_MOMENTS = {
+    "n": "count(_value)", "mean": "avg(_value)", "m2": "var_pop(_value) * count(_value)", "lo": "min(_value)", "hi": "max(_value)"
+}
 RESULTS = ("count", "mean", "std", "min", "max")
 
 
@@ -52,62 +55,51 @@ def _hour_parts(us: str) -> list[Column]:
 
 def _hour_table(points: DataFrame, keys: list[str], back: list[int], lags: list[int], windows: list[int]) -> DataFrame:
     """One row per key and hour that is looked at: its mean, the pooled hours before it, the last value before it."""
-    parts = [
-        F.count("_value").alias("n"),
-        F.avg("_value").alias("mean"),
-        (F.var_pop("_value") * F.count("_value")).alias("m2"),
-        F.min("_value").alias("lo"),
-        F.max("_value").alias("hi"),
-    ]
+    parts = dict(_MOMENTS)
     if lags:
-        when = F.when(F.col("_value").isNotNull(), F.struct("_us", "_tie"))
-        parts.append(F.max_by("_value", when).alias("last"))
-    own = points.groupBy(*keys, "_hour").agg(*parts)
-    names = [c for c in own.columns if c not in (*keys, "_hour")]
+        parts["last"] = "max_by(_value, CASE WHEN _value IS NOT NULL THEN struct(_us, _tie) END)"
+    own = points.groupBy(*keys, "_hour").agg(*[F.expr(f"{made} AS {name}") for name, made in parts.items()])
     asked = own.select("*", F.explode(F.array(*map(F.lit, [0, *back]))).alias("_back"))
     table = asked.groupBy(*keys, (F.col("_hour") - F.col("_back")).alias("_hour")).agg(
-        *[F.max(F.when(F.col("_back") == 0, F.col(c))).alias(c) for c in names]
+        *[F.expr(f"max(CASE WHEN _back = 0 THEN {c} END) AS {c}") for c in parts]
     )
-    by_hour = Window.partitionBy(*keys).orderBy("_hour")
-    columns = [*keys, "_hour", F.coalesce("mean", F.lit(0.0)).alias("_center")]
+    by_hour = f"PARTITION BY {', '.join(keys)} ORDER BY _hour"
+    columns = [*keys, "_hour", "coalesce(mean, 0D) AS _center"]
     if lags:
-        before = by_hour.rowsBetween(Window.unboundedPreceding, -1)
-        columns.append(F.last("last", ignorenulls=True).over(before).alias("_last_before"))
+        before = f"OVER ({by_hour} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        columns.append(f"last(last, true) {before} AS _last_before")
+
+    def within(w: int) -> str:
+        return f"OVER ({by_hour} RANGE BETWEEN {w - 1} PRECEDING AND 1 PRECEDING)"
+
     for w in windows:
-        full = by_hour.rangeBetween(1 - w, -1)
-        columns += [
-            F.sum("n").over(full).alias(f"n{w}"),
-            F.sum(F.col("n") * F.col("mean")).over(full).alias(f"sum{w}"),
-            F.min("lo").over(full).alias(f"lo{w}"),
-            F.max("hi").over(full).alias(f"hi{w}"),
-        ]
+        full = {f"n{w}": "sum(n)", f"sum{w}": "sum(n * mean)", f"lo{w}": "min(lo)", f"hi{w}": "max(hi)"}
+        columns += [f"{made} {within(w)} AS {name}" if w > 1 else f"{_none(made)} AS {name}" for name, made in full.items()]
     if windows:
-        piece = F.when(F.col("n") > 0, F.struct("_hour", "n", "mean", "m2"))
-        columns.append(F.collect_list(piece).over(by_hour.rangeBetween(1 - max(windows), -1)).alias("_near"))
-    table = table.select(*columns)
-    for w in windows:
-        table = table.withColumn(f"mean{w}", F.try_divide(f"sum{w}", f"n{w}"))
+        piece = "CASE WHEN n > 0 THEN struct(_hour, n, mean, m2) END"
+        widest = max(windows)
+        nothing = "CAST(array() AS array<struct<_hour:bigint,n:bigint,mean:double,m2:double>>)"
+        columns.append(f"collect_list({piece}) {within(widest)} AS _near" if widest > 1 else f"{nothing} AS _near")
+    table = table.selectExpr(*columns)
+    if not windows:
+        return table.select(*keys, "_hour", "_center", "_last_before")
+    table = table.selectExpr("*", *[f"try_divide(sum{w}, n{w}) AS mean{w}" for w in windows])
     # squares about the mean of the frame, which is only known now: a pass over the (at most 23) hours
     full = [
-        F.struct(
-            F.col(f"n{w}").alias("n"),
-            F.col(f"mean{w}").alias("mean"),
-            _spread("_near", F.col("_hour") - w, F.col(f"mean{w}")).alias("m2"),
-            F.col(f"lo{w}").alias("lo"),
-            F.col(f"hi{w}").alias("hi"),
-        ).alias(f"full{w}")
-        for w in windows
+        f"named_struct('n', n{w}, 'mean', mean{w}, 'm2', {_spread('_near', w)}, 'lo', lo{w}, 'hi', hi{w}) AS full{w}" for w in windows
     ]
     kept = [*keys, "_hour", "_center", *(["_last_before"] if lags else [])]
-    return table.select(*kept, *([F.struct(*full).alias("_full")] if windows else []))
+    return table.selectExpr(*kept, *full).select(*kept, F.struct(*[f"full{w}" for w in windows]).alias("_full"))
+
 
+def _none(made: str) -> str:
+    """What an aggregate over no rows gives, in its type."""
+    return "CAST(NULL AS bigint)" if made == "sum(n)" else "CAST(NULL AS double)"
 
-def _spread(hours: str, after: Column, mean: Column) -> Column:
-    def add(total: Column, x: Column) -> Column:
-        gap = x["mean"] - mean
-        return F.when(x["_hour"] > after, total + x["m2"] + x["n"] * gap * gap).otherwise(total)
 
-    return F.aggregate(hours, F.lit(0.0), add)
+def _spread(hours: str, w: int) -> str:
+    gap = f"(x.mean - mean{w})"
+    return f"aggregate({hours}, 0D, (t, x) -> CASE WHEN x._hour > _hour - {w} THEN t + x.m2 + x.n * {gap} * {gap} ELSE t END)"
 
 
 def trailing(
@@ -147,23 +139,13 @@ def trailing(
     )
     keys = key_names(keys)
     points = points.select("*", *_hour_parts("_us"))
+    last = "max_by(_value, CASE WHEN _value IS NOT NULL THEN _tie END)"
     instants = points.groupBy(*keys, "_hour", "_off", "_us").agg(
-        F.count("_value").alias("n"),
-        F.avg("_value").alias("mean"),
-        (F.var_pop("_value") * F.count("_value")).alias("m2"),
-        F.min("_value").alias("lo"),
-        F.max("_value").alias("hi"),
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_tie"))).alias("last"),
+        *[F.expr(f"{made} AS {name}") for name, made in {**_MOMENTS, "last": last}.items()]
     )
     # every instant stands in its own hour, and as a question in the hours that its frames start in
-    is_own = F.col("_back") == 0
-    asked = instants.select("*", F.explode(F.array(*map(F.lit, [0, *back]))).alias("_back")).select(
-        *keys,
-        "_us",
-        "_off",
-        "_back",
-        (F.col("_hour") - F.col("_back")).alias("_hour"),
-        *[F.when(is_own, F.col(c)).alias(c) for c in (*STATS, "last")],
+    asked = instants.select("*", F.explode(F.array(*map(F.lit, [0, *back]))).alias("_back")).selectExpr(
+        *keys, "_us", "_off", "_back", "_hour - _back AS _hour", *[f"CASE WHEN _back = 0 THEN {c} END AS {c}" for c in (*STATS, "last")]
     )
     table = _hour_table(points, keys, back, lags, windows)
     hour = [*keys, "_hour"]
@@ -222,52 +204,50 @@ def _edges(
 
     ``chunks`` cuts hours: a chunk for each offset. Rows of one offset are never cut apart.
     """
-    hour = [*keys, "_hour"]
-    is_own = F.col("_back") == 0
+    hour, cell = [*keys, "_hour"], [*keys, "_hour"]
     made = [*keys, "_us", "_back"]
     if windows:
-        # sums about the mean of the hour, so that little cancels
-        shift = F.col("mean") - F.col("_center")
-        rows = rows.withColumn("s1", F.col("n") * shift).withColumn("s2", F.col("m2") + F.col("n") * shift * shift)
-        rows = rows.withColumn("_full", F.when(is_own, F.col("_full")))  # the questions sort without it
+        # sums about the mean of the hour, so that little cancels; the questions sort without the full hours
+        sums = {"s1": "n * (mean - _center)", "s2": "m2 + n * (mean - _center) * (mean - _center)", "_full": "CASE WHEN _back = 0 THEN _full END"}
+        kept = [c for c in rows.columns if c != "_full"]
+        rows = rows.selectExpr(*kept, *[f"{made} AS {name}" for name, made in sums.items()])
         made += ["_center", "_full"]
-    folds = {"n": F.sum, "s1": F.sum, "s2": F.sum, "lo": F.min, "hi": F.max} if windows else {}
-    cell = hour
+    folds = {"n": "sum", "s1": "sum", "s2": "sum", "lo": "min", "hi": "max"} if windows else {}
     if chunks is not None:
         cell = [*hour, "_chunk"]
         rows = write_out(rows.join(chunks.drop("_row"), [*hour, "_off"]))
-        parts = [fn(c).alias(c) for c, fn in folds.items()]
+        parts = [F.expr(f"{fn}({c}) AS {c}") for c, fn in folds.items()]
         if lags:
-            when = F.when(F.col("last").isNotNull(), F.struct("_off", "_back"))
-            parts.append(F.max_by("last", when).alias("last"))
+            parts.append(F.expr("max_by(last, CASE WHEN last IS NOT NULL THEN struct(_off, _back) END) AS last"))
         after = Window.partitionBy(*hour).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
 
         def others(before: WindowSpec, _: WindowSpec) -> list[Column]:
-            both = [fn(c).over(w).alias(f"_{side}_{c}") for c, fn in folds.items() for side, w in (("b", before), ("a", after))]
+            sides = (("b", before), ("a", after))
+            both = [getattr(F, fn)(c).over(w).alias(f"_{side}_{c}") for c, fn in folds.items() for side, w in sides]
             return both + ([F.last("last", ignorenulls=True).over(before).alias("_b_last")] if lags else [])
 
         rows = rows.join(chunk_carry(rows, hour, parts, others), cell)
-    own_first = F.col("_back") if closed == "both" else F.col("_back").desc()
-    upward = Window.partitionBy(*cell).orderBy("_off", "_back")
-    seen = upward.rowsBetween(Window.unboundedPreceding, -1 if closed == "neither" else 0)
-    later = Window.partitionBy(*cell).orderBy(F.col("_off").desc(), own_first).rowsBetween(Window.unboundedPreceding, 0)
+    of = f"PARTITION BY {', '.join(cell)}"
+    upto = "1 PRECEDING" if closed == "neither" else "CURRENT ROW"
+    seen = f"OVER ({of} ORDER BY _off, _back ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})"
+    own_first = "_back" if closed == "both" else "_back DESC"
+    later = f"OVER ({of} ORDER BY _off DESC, {own_first} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
-    def with_others(found: Column, side: str, column: str) -> Column:
+    def with_others(found: str, side: str, column: str) -> str:
         if chunks is None:
             return found
-        other = F.col(f"_{side}_{column}")
+        other = f"_{side}_{column}"
         if column in ("lo", "hi"):
-            return F.least(found, other) if column == "lo" else F.greatest(found, other)
-        return F.coalesce(found + other, found, other)
+            return f"{'least' if column == 'lo' else 'greatest'}({found}, {other})"
+        return f"coalesce({found} + {other}, {found}, {other})"
 
     for column, fn in folds.items():
-        head, tail = with_others(fn(column).over(seen), "b", column), with_others(fn(column).over(later), "a", column)
-        made.append(F.when(is_own, head).otherwise(tail).alias(f"e_{column}"))
+        head, tail = (with_others(f"{fn}({column}) {over}", side, column) for over, side in ((seen, "b"), (later, "a")))
+        made.append(f"CASE WHEN _back = 0 THEN {head} ELSE {tail} END AS e_{column}")
     if lags:
-        at_or_before = F.last("last", ignorenulls=True).over(upward.rowsBetween(Window.unboundedPreceding, 0))
-        earlier = [at_or_before, *([F.col("_b_last")] if chunks is not None else []), F.col("_last_before")]
-        made.append(F.coalesce(*earlier).alias("_asof"))
-    return rows.select(*made)
+        at_or_before = f"last(last, true) OVER ({of} ORDER BY _off, _back ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        made.append(f"coalesce({at_or_before}, {'_b_last, ' if chunks is not None else ''}_last_before) AS _asof")
+    return rows.selectExpr(*made)
 
 
 def _merged(found: DataFrame, keys: list[str], windows: list[int], std: str) -> DataFrame:
