@@ -59,7 +59,7 @@ def values(df):
     return rows_of(df, "seq", *[c for c in df.columns if c.startswith("aqi_")])
 
 
-@pytest.mark.parametrize("make", [features.rolling_range, features.asof_lags, features.trailing_stats, features.event_features])
+@pytest.mark.parametrize("make", [features.rolling_range, features.event_features])
 def test_cut_hours_equal_whole_ones(dense, make, monkeypatch):
     whole, chunks = make(dense, limit=1_000_000), []
 
