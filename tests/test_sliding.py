@@ -98,6 +98,15 @@ def test_rows_in_time_order_leave_the_state(tmp_path):
     assert store.held == {} and store.last == seen[-1]
 
 
+def test_a_row_that_comes_after_its_day_has_left():
+    sliding, store = Sliding((1,), (2,), 2, 0, HOUR), Memory()
+    sliding.add(store, points([(0, 0, 1.0), (HOUR, 1, 2.0), (10 * HOUR, 2, 3.0)]))
+    assert store.last == (HOUR, 1, 2.0)
+    made = sliding.add(store, points([(HOUR + 5, 3, 9.0)]))
+    assert math.isnan(made["lag_1"][0]) and made["buffer_size"][0] == 1
+    assert sliding.add(store, points([(3 * HOUR, 4, 9.0)]))["lag_1"][0] == 9.0
+
+
 def test_work_of_a_busy_day():
     """10^5 events of one city in a day, a thousand at a time: what is read and written is a few buckets a batch."""
     n, at_once, bucket = 100_000, 1000, HOUR // 12

@@ -124,9 +124,11 @@ class Sliding:
                 low, high = np.searchsorted(keys, [b - back[n] + 1, b])
                 if n in self.lags:
                     before = int(np.searchsorted(keys, b - back[n]))
-                    earlier = summaries[int(keys[before - 1])][-1] if before else older[2] if older else np.nan
-                    known = np.append(edge.rows["value"], earlier)  # the last stands for no row of the edge
-                    out[f"lag_{n}"][here] = known[after - 1]
+                    if before:
+                        earlier = np.full(len(at), summaries[int(keys[before - 1])][-1])
+                    else:  # a row that comes very late may ask for a time before the row that was kept
+                        earlier = np.where(older[0] <= at - n * HOUR, older[2], np.nan) if older else np.full(len(at), np.nan)
+                    out[f"lag_{n}"][here] = np.where(after > 0, np.append(edge.rows["value"], 0.0)[after - 1], earlier)
                 if n in self.windows:
                     middle = table[low:high]
                     parts = [edge.part(after, end=True), head]
