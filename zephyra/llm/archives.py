@@ -4,7 +4,8 @@ An ARC file starts with a version block, whose second line gives the version and
 header lines; a record is a header line, as many bytes as it declares, and a line end. Records become WARC records with made
 identifiers, dates, types and digests. A record whose payload equals that of a page with a smaller id becomes a revisit.
 
-Files are written and read by Spark alone, so they may lie in any store. A task holds one file at a time.
+Files are written and read by Spark alone, so they may lie in any store. A task holds one file at a time; a file is closed at
+``FILE_BYTES``, or after the one record that exceeds them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: Bytes of an ARC file, about, before it is compressed.
+FILE_BYTES = 64 << 20
 #: Payloads under this size are never revisits.
 LEAST_BYTES = 100
 #: Up to so many revisits are broadcast to the conversion; more are joined by a shuffle.
@@ -47,23 +50,29 @@ def _arc_line(version: int, url: str, date: str, kind: str, length: int, offset:
     return f"{url} {_ADDRESS} {date} {kind} {middle}{length}\n".encode()
 
 
-def write_arc(pages: DataFrame, path: str) -> None:
-    """Write ``pages(page_id, url, html)`` as compressed ARC files, a file per partition, versions 1 and 2 in turn.
+def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write ``pages(page_id, url, html)`` as compressed ARC files of about ``file_bytes``, versions 1 and 2 in turn.
 
     Bytes of a URL that a header line cannot hold are percent-encoded; a null URL is ``unknown:``. A null page is empty, a
-    null id has an empty header. The date is made from the id.
+    null id has an empty header. The date is made from the id. A partition without pages gives a file without records.
     """
 
-    def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        version, name = 1 + number % 2, f"part-{number:05d}.arc"
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, files = TaskContext.get().partitionId(), 0
         date = _FIRST_DATE.strftime("%Y%m%d%H%M%S")
-        block = f"{version} 0 zephyra\n{FIELDS[version]}\n".encode()
-        first = _arc_line(version, f"filedesc://{name}", date, "text/plain", len(block), 0, name) + block
-        offset = len(first) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([first]).cast(pa.string())], names=["value"])
+
+        def begin() -> tuple[int, str, list[bytes], int]:
+            version, name = 1 + (number + files) % 2, f"part-{number:05d}-{files}.arc"
+            block = f"{version} 0 zephyra\n{FIELDS[version]}\n".encode()
+            first = _arc_line(version, f"filedesc://{name}", date, "text/plain", len(block), 0, name) + block
+            return version, name, [first], len(first) + 1
+
+        def whole(records: list[bytes]) -> pa.RecordBatch:
+            content = pa.array([b"\n".join(records)], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([content], names=["value"])
+
+        version, name, out, offset = begin()
         for batch in batches:
-            out = []
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 payload = (html or "").encode()
                 http = (
@@ -73,13 +82,19 @@ def write_arc(pages: DataFrame, path: str) -> None:
                 when = (_FIRST_DATE + timedelta(seconds=abs(page_id or 0) % 10**9)).strftime("%Y%m%d%H%M%S")
                 content = http.encode() + payload
                 target = quote(url, safe=":/?#[]@!$&'()*+,;=%-._~") if url else _NO_URL
+                if len(out) > 1 and offset + len(content) > file_bytes:
+                    yield whole(out)
+                    files += 1
+                    version, name, out, offset = begin()
                 made = _arc_line(version, target, when, "text/html", len(content), offset, name) + content
                 offset += len(made) + 1
                 out.append(made)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+        yield whole(out)
 
-    lines = pages.select("page_id", "url", "html").mapInArrow(record, "value string")
-    lines.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    made = pages.select("page_id", "url", "html").mapInArrow(files, "value string")
+    # a row is a file
+    whole = made.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "gzip")
+    whole.text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -273,7 +288,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(read, schema)
 
 
-def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as ARC, convert that to WARC, and read the WARC back, a row per page.
 
     Rows with one id and one payload are responses all; a null id comes after all others. A null or empty page has the
@@ -281,6 +296,6 @@ def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/archives/{uuid.uuid4().hex}"
-    write_arc(pages, f"{folder}/arc")
+    write_arc(pages, f"{folder}/arc", file_bytes)
     convert(spark, f"{folder}/arc", f"{folder}/warc", least_bytes)
     return read_warc(spark, f"{folder}/warc")
