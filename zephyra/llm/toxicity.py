@@ -36,10 +36,14 @@ BEGINNINGS = (4, 5)
 SLOT_BITS, FACTORS = 18, 4
 SLOTS = 1 << SLOT_BITS
 #: Rounds in all, and those in which only weights move.
-ROUNDS, WEIGHT_ROUNDS = 60, 25
-STEP, MOMENTUM, DECAY, START = 0.2, 0.5, 1e-4, 0.02
+ROUNDS, WEIGHT_ROUNDS = 36, 14
+STEP, MOMENTUM, DECAY, START = 0.3, 0.5, 1e-4, 0.02
+#: Steps are halved when the mean squared error has grown by so much over its least.
+WORSE = 1.1
 #: Standard deviations at which a slot takes half a step, and how sharply the steps of others differ.
 EVIDENCE, SHARPNESS = 10.0, 6
+#: Parts of the bounded sample; a part gives one gradient, and the driver holds one gradient at a time.
+PARTS = 4
 PIECE = 1 << 20
 
 
@@ -67,51 +71,65 @@ class Machine:
     """``bias``, ``weight`` (slots) and ``factor`` (slots x factors); ``scale`` and ``shift`` of the value."""
 
     def __init__(self):
-        self.bias, self.scale, self.shift = 0.0, 1.0, 0.0
+        self.bias, self.scale, self.shift, self.paired = 0.0, 1.0, 0.0, False
+        self.size, self.least = STEP, np.inf
         self.weight, self.factor = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
 
     def start(self, share: np.ndarray, seed: int = 11) -> None:
         """Small random factors, smaller for slots that few texts, or nearly all, have."""
         spread = 2 * np.sqrt(share * (1 - share))
+        self.paired = True
         self.factor = (np.random.default_rng(seed).normal(0, START, (SLOTS, FACTORS)) * spread[:, None]).astype(np.float32)
 
     def margins(self, slot: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the value before scale and logistic function, and the sum of its factors."""
         rows = len(bounds) - 1
         owner = np.repeat(np.arange(rows), np.diff(bounds))
+        linear = self.bias + np.bincount(owner, self.weight[slot], rows)
+        if not self.paired:
+            return linear, np.zeros((rows, FACTORS))
         factor = self.factor[slot].astype(float)
         sums = np.stack([np.bincount(owner, factor[:, f], rows) for f in range(FACTORS)], axis=1)
         squares = np.bincount(owner, (factor**2).sum(axis=1), rows)
-        pairs = ((sums**2).sum(axis=1) - squares) / 2
-        return self.bias + np.bincount(owner, self.weight[slot], rows) + pairs, sums
+        return linear + ((sums**2).sum(axis=1) - squares) / 2, sums
 
     def scores(self, slot: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return logistic(self.scale * self.margins(slot, bounds)[0] + self.shift)
 
-    def gradient(self, slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over the rows. First the gradient, and beside it the sum of squares of what each error is multiplied by (slots x
-        (1 + factors) each); then the sum of the errors and that of their squares. Without ``pairs`` those of factors are 0."""
+    @property
+    def width(self) -> int:
+        """Numbers of a slot that move: its weight, and its factors once there are any."""
+        return 1 + FACTORS if self.paired else 1
+
+    def gradient(self, slot: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the rows. First the gradient, and beside it the sum of squares of what each error is multiplied by (numbers
+        of a slot x slots each); then the sum of the errors and that of their squares."""
         margin, sums = self.margins(slot, bounds)
         error = logistic(margin) - label
         owner = np.repeat(np.arange(len(label)), np.diff(bounds))
         each = error[owner]
-        out = np.zeros((2, SLOTS, 1 + FACTORS))
-        out[0, :, 0], out[1, :, 0] = np.bincount(slot, each, SLOTS), np.bincount(slot, minlength=SLOTS)
-        for f in range(FACTORS if pairs else 0):
+        out = np.zeros((2, self.width, SLOTS))
+        out[0, 0], out[1, 0] = np.bincount(slot, each, SLOTS), np.bincount(slot, minlength=SLOTS)
+        for f in range(self.width - 1):
             others = sums[owner, f] - self.factor[slot, f]
-            out[0, :, f + 1], out[1, :, f + 1] = np.bincount(slot, each * others, SLOTS), np.bincount(slot, others**2, SLOTS)
+            out[0, f + 1], out[1, f + 1] = np.bincount(slot, each * others, SLOTS), np.bincount(slot, others**2, SLOTS)
         return out, np.array([error.sum(), (error**2).sum()])
 
     def step(self, gradient: np.ndarray, errors: np.ndarray, n: int, motion: np.ndarray) -> np.ndarray:
         """Move by the evidence of the summed gradient; ``motion`` is the average of the steps before, and the new one returned."""
         variance = max(errors[1] / n, 1e-9)
+        if variance > WORSE * self.least:
+            self.size /= 2
+        self.least = min(self.least, variance)
         square = gradient[0] ** 2 / np.maximum(gradient[1] * variance, 1e-12)
         power = square ** (SHARPNESS / 2)
         step = np.sign(gradient[0]) * power / (power + EVIDENCE**SHARPNESS)
-        motion = MOMENTUM * motion + (1 - MOMENTUM) * step
-        self.weight = ((1 - DECAY) * self.weight - STEP * motion[:, 0]).astype(np.float32)
-        self.factor = ((1 - DECAY) * self.factor - STEP * motion[:, 1:]).astype(np.float32)
-        self.bias -= STEP * float(np.clip(errors[0] / n / np.sqrt(variance / n) / 4, -1, 1))
+        motion = MOMENTUM * (motion if len(motion) == len(step) else np.pad(motion, ((0, len(step) - len(motion)), (0, 0))))
+        motion += (1 - MOMENTUM) * step
+        self.weight = ((1 - DECAY) * self.weight - self.size * motion[0]).astype(np.float32)
+        if self.paired:
+            self.factor = ((1 - DECAY) * self.factor - self.size * motion[1:].T).astype(np.float32)
+        self.bias -= self.size * float(np.clip(errors[0] / n / np.sqrt(variance / n) / 4, -1, 1))
         return motion
 
     def calibrate(self, margin: np.ndarray, label: np.ndarray, rounds: int = 50) -> None:
@@ -156,27 +174,27 @@ def fit(texts: DataFrame, rounds: int = ROUNDS, weight_rounds: int = WEIGHT_ROUN
             columns = [piece.rows.column("label"), piece.rows.column("aside"), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["label", "aside", "slots"])
 
+    texts = write_out(texts)  # the scan for the sample runs in as many tasks as it needs
     marked = texts.withColumn("aside", F.pmod(F.xxhash64("text", F.lit(SET_ASIDE)), F.lit(SET_ASIDE)) == 0)
-    rows = write_out(marked.mapInArrow(prepare, "label double, aside boolean, slots array<int>").coalesce(8))
+    rows = write_out(marked.mapInArrow(prepare, "label double, aside boolean, slots array<int>").coalesce(PARTS))
     used = rows.where("not aside").drop("aside")
     n, rate = used.agg(F.count("*"), F.avg("label")).first()
     if not n:
         return machine
     rate = min(max(rate, 1 / (n + 1)), n / (n + 1))
     machine.bias = float(np.log(rate / (1 - rate)))
-    motion = np.zeros((SLOTS, 1 + FACTORS))
+    motion = np.zeros((1, SLOTS))
     for number in range(rounds):
         now = context.broadcast(machine)  # a model of fixed size
-        pairs = number >= weight_rounds
-        gradient, errors = np.zeros((2, SLOTS, 1 + FACTORS)), np.zeros(2)
-        for row in gradients(used, now, pairs).toLocalIterator():  # eight at most, one at a time
+        gradient, errors = np.zeros((2, machine.width, SLOTS)), np.zeros(2)
+        for row in gradients(used, now).toLocalIterator():  # a few of the size of the model, one at a time
             part = np.frombuffer(zstandard.decompress(row["gradient"]), np.float32)
             gradient += part.reshape(gradient.shape)
             errors += row["errors"]
-        now.unpersist()
+        now.destroy()  # its files too: there is one for each round
         motion = machine.step(gradient, errors, n, motion)
         if number + 1 == weight_rounds:
-            machine.start(gradient[1, :, 0] / n)
+            machine.start(gradient[1, 0] / n)
     known = margins_of(rows.where("aside").drop("aside"), context.broadcast(machine)).collect()  # of a fifth of the bounded sample
     if known:
         machine.calibrate(*np.array([(r["margin"], r["label"]) for r in known]).T)
@@ -188,14 +206,14 @@ def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
 
 
-def gradients(rows: DataFrame, machine: Broadcast, pairs: bool) -> DataFrame:
+def gradients(rows: DataFrame, machine: Broadcast) -> DataFrame:
     """A row per task with the sums of :meth:`Machine.gradient` over its rows."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, errors = np.zeros((2, SLOTS, 1 + FACTORS)), np.zeros(2)
+        total, errors = np.zeros((2, machine.value.width, SLOTS)), np.zeros(2)
         for batch in batches:
             if batch.num_rows:
-                made, wrong = machine.value.gradient(*_lists(batch), batch.column("label").to_numpy(), pairs)
+                made, wrong = machine.value.gradient(*_lists(batch), batch.column("label").to_numpy())
                 total += made
                 errors += wrong
         packed = zstandard.compress(total.astype(np.float32).tobytes(), 1)  # most slots of a task are empty
