@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -125,3 +126,20 @@ def test_held_out_documents(spark):
     held = [(r["toxic"], got[r["doc_id"]]["predicted"]) for r in labels if r["doc_id"] in got and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     caught, raised = [p for t, p in held if t], [t for t, p in held if p]
     assert np.mean(caught) >= 0.86 and np.mean(raised) >= 0.97
+
+
+def test_a_step_needs_little_memory():
+    """The driver takes the steps; beside the gradient and the motion it holds a few numbers of each slot."""
+    machine = toxicity.Machine()
+    machine.start(np.full(toxicity.SLOTS, 0.5))
+    rng = np.random.default_rng(3)
+    gradient, motion = rng.normal(0, 9, (2, machine.width, toxicity.SLOTS)), np.zeros((machine.width, toxicity.SLOTS))
+    gradient[1] = np.abs(gradient[1])
+    square = gradient[0] ** 2 / np.maximum(gradient[1] * 0.25, 1e-12)
+    power = square ** (toxicity.SHARPNESS / 2)
+    expected = (1 - toxicity.MOMENTUM) * np.sign(gradient[0]) * power / (power + toxicity.EVIDENCE**toxicity.SHARPNESS)
+    tracemalloc.start()
+    moved = machine.step(gradient, np.array([1.0, 25.0]), 100, motion)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(moved, expected) and peak < 2 * gradient[0].nbytes

@@ -121,14 +121,16 @@ class Machine:
         if variance > WORSE * self.least:
             self.size /= 2
         self.least = min(self.least, variance)
-        square = gradient[0] ** 2 / np.maximum(gradient[1] * variance, 1e-12)
-        power = square ** (SHARPNESS / 2)
-        step = np.sign(gradient[0]) * power / (power + EVIDENCE**SHARPNESS)
-        motion = MOMENTUM * (motion if len(motion) == len(step) else np.pad(motion, ((0, len(step) - len(motion)), (0, 0))))
-        motion += (1 - MOMENTUM) * step
+        if len(motion) < len(gradient[0]):
+            motion = np.pad(motion, ((0, len(gradient[0]) - len(motion)), (0, 0)))
+        motion *= MOMENTUM
+        for moved, first, squares in zip(motion, *gradient, strict=True):  # one number of all slots at a time
+            power = (first**2 / np.maximum(squares * variance, 1e-12)) ** (SHARPNESS / 2)
+            moved += (1 - MOMENTUM) * (np.sign(first) * power / (power + EVIDENCE**SHARPNESS))
         self.weight = ((1 - DECAY) * self.weight - self.size * motion[0]).astype(np.float32)
         if self.paired:
-            self.factor = ((1 - DECAY) * self.factor - self.size * motion[1:].T).astype(np.float32)
+            for f, moved in enumerate(motion[1:]):
+                self.factor[:, f] = (1 - DECAY) * self.factor[:, f] - self.size * moved
         self.bias -= self.size * float(np.clip(errors[0] / n / np.sqrt(variance / n) / 4, -1, 1))
         return motion
 
@@ -183,10 +185,12 @@ def fit(texts: DataFrame, rounds: int = ROUNDS, weight_rounds: int = WEIGHT_ROUN
         return machine
     rate = min(max(rate, 1 / (n + 1)), n / (n + 1))
     machine.bias = float(np.log(rate / (1 - rate)))
-    motion = np.zeros((1, SLOTS))
+    motion, gradient = np.zeros((1, SLOTS)), np.zeros((2, 1, SLOTS))
     for number in range(rounds):
         now = context.broadcast(machine)  # a model of fixed size
-        gradient, errors = np.zeros((2, machine.width, SLOTS)), np.zeros(2)
+        if gradient.shape[1] != machine.width:
+            gradient = np.zeros((2, machine.width, SLOTS))
+        gradient[:], errors = 0, np.zeros(2)
         for row in gradients(used, now).toLocalIterator():  # a few of the size of the model, one at a time
             part = np.frombuffer(zstandard.decompress(row["gradient"]), np.float32)
             gradient += part.reshape(gradient.shape)
@@ -195,7 +199,9 @@ def fit(texts: DataFrame, rounds: int = ROUNDS, weight_rounds: int = WEIGHT_ROUN
         motion = machine.step(gradient, errors, n, motion)
         if number + 1 == weight_rounds:
             machine.start(gradient[1, 0] / n)
-    known = margins_of(rows.where("aside").drop("aside"), context.broadcast(machine)).collect()  # of a fifth of the bounded sample
+    last = context.broadcast(machine)
+    known = margins_of(rows.where("aside").drop("aside"), last).collect()  # of a fifth of the bounded sample
+    last.destroy()
     if known:
         machine.calibrate(*np.array([(r["margin"], r["label"]) for r in known]).T)
     return machine
