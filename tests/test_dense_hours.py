@@ -105,3 +105,17 @@ def test_state_of_a_dense_hour(dense):
 def test_gold_over_ranges(dense):
     one, many = (features.build_gold(dense, mode="range", limit=n) for n in (1_000_000, 60))
     same(one, many)
+
+
+def test_tasks_grow_with_the_questions(spark, dense, monkeypatch):
+    """The sorts over the hours get more tasks than the default where the rows ask for them, and the rows are the same."""
+    def made():
+        return features.trailing_stats(dense)
+
+    usual = made()
+    monkeypatch.setattr(hours, "QUESTIONS_PER_TASK", 100)
+    assert hours._tasks(dense, 5) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = made()
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert f", {hours._tasks(dense, 5)}), REPARTITION_BY_NUM" in plan
+    assert rows_of(spread) == rows_of(usual)

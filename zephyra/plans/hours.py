@@ -25,6 +25,9 @@ from zephyra.plans.tables import write_out
 #: Up to so many crowded instants are broadcast.
 BROADCAST_INSTANTS = 1_000_000
 
+#: Rows and questions to a task. Beyond the default number of partitions, the sorts get as many tasks as this asks for.
+QUESTIONS_PER_TASK = 500_000
+
 HOUR = 3_600_000_000  # microseconds
 
 STATS = ("n", "mean", "m2", "lo", "hi")
@@ -153,6 +156,9 @@ def trailing(
     def edges(rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
         return _edges(rows, keys, windows, bool(lags), closed, chunks)
 
+    tasks = _tasks(df, 1 + len(back))
+    if tasks:  # the joins and windows over the hours keep this partitioning
+        asked = asked.repartition(tasks, *hour)
     dense = None
     if (largest_hour(df, names, ts) if top is None else top) * (1 + len(back)) > limit:
         dense = _dense_hours(points, keys, back, limit)
@@ -166,7 +172,7 @@ def trailing(
         rest = asked.join(F.broadcast(dense) if few else dense, hour, "left_anti").join(table, hour)
         rows = edges(rest).unionByName(edges(crowded, cut))
     # bring the answers of an instant together; narrow rows travel, and they are put side by side afterwards
-    rows = rows.repartition(*keys, "_us")
+    rows = rows.repartition(tasks, *keys, "_us") if tasks else rows.repartition(*keys, "_us")
 
     def of(hours: int, column: str, name: str) -> Column:
         return F.expr(f"max(CASE WHEN _back = {hours} THEN {column} END) AS {name}")
@@ -182,6 +188,12 @@ def trailing(
     return _merged(found, keys, windows, std)
 
 
+def _tasks(df: DataFrame, each: int) -> int | None:
+    """Tasks for ``each`` times the rows of ``df``, or None where the default number of partitions is enough."""
+    wanted = -(-df.count() * each // QUESTIONS_PER_TASK)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def largest_hour(df: DataFrame, keys: list[str], ts: str) -> int:
     """Rows of the fullest hour of a key. It shuffles one row per hour."""
     hour = F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {HOUR}L")
