@@ -142,14 +142,19 @@ def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return run_stream(spark, stream, new_folder(spark, name))
 
 
-def reading_stream(spark: SparkSession, folder: str, batches: int = 4, rows_per_file: int = 1_000_000) -> DataFrame:
-    """The readings as a stream of that many micro-batches in time order: parts written one after another, as many files each as
+def reading_stream(
+    spark: SparkSession, folder: str, batches: int = 4, rows_per_file: int = 1_000_000, rows_per_batch: int = 1_000_000
+) -> DataFrame:
+    """The readings as a stream of that many micro-batches in time order, or more, so that one holds about ``rows_per_batch``: a
+    city's part of a micro-batch is in the memory of one worker. Parts are written one after another, as many files each as
     the rows ask for, and read a part at a time. Readings without time are in the first part."""
     rows = readings(spark, folder).where("aqi is not null")
     path = new_folder(spark, "readings")
     at = F.unix_micros("timestamp")
-    cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
-    files = max(1, -(-rows.count() // (batches * rows_per_file)))
+    total = rows.count()
+    batches = max(batches, -(-total // rows_per_batch))
+    cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], min(0.01, 0.1 / batches))
+    files = max(1, -(-total // (batches * rows_per_file)))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if low is None else rows.where(at >= low)
         if high is not None:
