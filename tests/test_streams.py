@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows_of
+from tests.conftest import SMALL, rows_of
 from zephyra.operators import alerts, features
 from zephyra.operators.alert_store import read_alerts
 from zephyra.schemas import FEATURES
@@ -19,6 +19,7 @@ from zephyra.streaming.scoring import (
     latency_stats,
     stage_timing_stats,
 )
+from zephyra.workload import queries
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +137,12 @@ def test_assembly(spark):
     assert assemble_features(df, ["a", "b", "c", "d"]).first()["features"] == [1.5, 0.0, 0.0, 0.0]
     with pytest.raises(ValueError):
         assemble_features(df, [])
+
+
+def test_micro_batches_are_bounded(spark, small, tmp_path, monkeypatch):
+    """A city's part of a micro-batch is in one worker's memory, so their number grows with the readings."""
+    monkeypatch.setattr(queries, "new_folder", lambda spark, name: str(tmp_path / name))
+    queries.reading_stream(spark, SMALL, rows_per_batch=100)
+    known = small.where("aqi is not null").count()
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/readings").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == known and len(sizes) >= known / 100 and max(sizes) < 150
