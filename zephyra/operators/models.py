@@ -18,6 +18,7 @@ from zephyra.functions.calendar import calendar_parts
 from zephyra.functions.columns import need_columns
 from zephyra.operators.evaluate import best_model, regression_metrics
 from zephyra.operators.splits import expanding_folds
+from zephyra.plans import trees
 from zephyra.plans.tables import write_out
 from zephyra.sources.tables import read_or_empty
 from zephyra.schemas import CALENDAR_FEATURES, CV_FOLDS, LAG_FEATURES, LAG_OFFSETS, ROLLING_FEATURES, ROLLING_WINDOWS
@@ -25,6 +26,8 @@ from zephyra.schemas import CALENDAR_FEATURES, CV_FOLDS, LAG_FEATURES, LAG_OFFSE
 #: Training data to a task, and the most tasks of a pass. Every task sends the sums of all nodes that a pass looks at, so the
 #: shuffle grows with the tasks and not with the rows; both are fixed, as bagging is seeded per partition.
 ROWS_PER_TASK, MOST_TASKS = 50_000, 12
+#: The most rows that MLlib fits. Its forests send the sums of every open node, its boosting has no more tasks beyond.
+MLLIB_ROWS = {"boosted_trees": ROWS_PER_TASK * MOST_TASKS, "random_forest": ROWS_PER_TASK}
 MODEL_FEATURES = LAG_FEATURES + ROLLING_FEATURES + CALENDAR_FEATURES
 
 # fixed values: default training parameters
@@ -77,6 +80,14 @@ def estimator(kind: str, parameters: dict | None = None):
     return cls(featuresCol="features", labelCol="label", **{**defaults, **(parameters or {})})
 
 
+def fitted(kind: str, rows: DataFrame, parameters: dict | None = None):
+    """The model over ``features`` and ``label``: MLlib's up to ``MLLIB_ROWS``, else one of ``plans/trees.py``."""
+    chosen = {**KINDS[kind][1], **(parameters or {})}
+    if trees.can_fit(kind, chosen) and rows.count() > MLLIB_ROWS[kind]:
+        return trees.fit(kind, rows, chosen)
+    return estimator(kind, parameters).fit(rows)
+
+
 def side_by_side(spark: SparkSession, works: list[Callable], at_once: int = FITS_AT_ONCE) -> list:
     """The results of ``works`` in their order, at most ``at_once`` of them running at a time.
 
@@ -133,14 +144,14 @@ def train(
     at_once: int = FITS_AT_ONCE,
 ) -> Trained:
     """Fit one model; with ``cv_folds``, also score it on that many folds along time, ``at_once`` fits at a time."""
-    chosen = {**KINDS[kind][1], **(parameters or {})} if kind in KINDS else {}
-    fitter = estimator(kind, parameters)
+    estimator(kind, parameters)  # raises for an unknown kind
+    chosen = {**KINDS[kind][1], **(parameters or {})}
     with _prepared(df, columns, target, ts, tie) as ready:
         rows = ready.count()
         if rows == 0:
             raise ValueError("nothing to train on")
-        works = [lambda: fitter.fit(ready)]
-        works += _folds(fitter, ready, cv_folds, ts, tie) if cv_folds else []
+        works = [lambda: fitted(kind, ready, parameters)]
+        works += _folds(kind, parameters, ready, cv_folds, ts, tie) if cv_folds else []
         model, *scores = side_by_side(df.sparkSession, works, at_once)
         return Trained(kind, model, list(columns), target, chosen, rows, _fold_means(scores))
 
@@ -159,15 +170,15 @@ def train_all(df: DataFrame, parameters: dict[str, dict] | None = None, cv_folds
     return {kind: train(kind, df, parameters=parameters.get(kind), cv_folds=cv_folds, **options) for kind in KINDS}
 
 
-def _folds(fitter, ready: DataFrame, n: int, ts: str, tie: str) -> list[Callable]:
+def _folds(kind: str, parameters: dict | None, ready: DataFrame, n: int, ts: str, tie: str) -> list[Callable]:
     """For each fold the work that fits on its past, scores what follows, and gives one row of metrics."""
     split = expanding_folds(ready, n, ts, tie)
 
     def work(fold: int) -> Callable:
         def run() -> dict:
             part = split.where(F.col("fold") == fold)
-            fitted = fitter.fit(part.where("role = 'train'"))
-            scored = fitted.transform(part.where("role = 'test'"))
+            model = fitted(kind, part.where("role = 'train'"), parameters)
+            scored = model.transform(part.where("role = 'test'"))
             return {"fold": fold, **regression_metrics(scored, "label", "prediction").first().asDict()}
 
         return run
@@ -193,8 +204,9 @@ def cross_validate(
     at_once: int = FITS_AT_ONCE,
 ) -> DataFrame:
     """``fold, n, rmse, mae, r2, mape`` of every fold. The fits run here, ``at_once`` at a time; the scores are small."""
+    estimator(kind, parameters)  # raises for an unknown kind
     with _prepared(df, columns, target, ts, tie) as ready:
-        scores = side_by_side(df.sparkSession, _folds(estimator(kind, parameters), ready, n_folds, ts, tie), at_once)
+        scores = side_by_side(df.sparkSession, _folds(kind, parameters, ready, n_folds, ts, tie), at_once)
     names = ["fold", "n", "rmse", "mae", "r2", "mape"]
     return df.sparkSession.createDataFrame(
         [tuple(s[c] for c in names) for s in scores], "fold int, n long, rmse double, mae double, r2 double, mape double"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from zephyra.operators.evaluate import best_model
 from zephyra.operators.models import Trained
+from zephyra.plans.trees import Ensemble
 from zephyra.sources.tables import read_or_empty
 
 LOADERS = {"boosted_trees": GBTRegressionModel, "random_forest": RandomForestRegressionModel}
@@ -71,11 +73,19 @@ class ModelRegistry:
     def get(self, model_id: str) -> Trained:
         """The model, ready to use."""
         row = self.info(model_id)
-        model = LOADERS[row["model_type"]].load(row["path"])
+        model = self._load(row["model_type"], row["path"])
         return Trained(
             row["model_type"], model, row["feature_columns"], row["target"], row["hyperparameters"], 0, row["metrics"]
         )
 
+    def _load(self, kind: str, path: str):
+        try:
+            return Ensemble.load(self.spark, path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        return LOADERS[kind].load(path)  # fitted by MLlib
+
     def delete(self, model_id: str) -> None:
         """Withdraw a model. Its folder stays for those who still read it."""
         row = self.info(model_id)
