@@ -88,3 +88,11 @@ def test_folds_and_registry(spark, rows, large, tmp_path):
     got = store.get(store.register(t, "forest", "v1", {"rmse": 1.0}))
     assert predicted(got, rows) == pytest.approx(predicted(t, rows), rel=1e-12)
     assert got.model.featureImportances == t.model.featureImportances
+
+
+def test_draws_are_poisson_and_repeat():
+    weights = trees._bagged(42)
+    drawn = weights(3, 5, 200_000)
+    assert (drawn == weights(3, 5, 200_000)).all() and (drawn != weights(4, 5, 200_000)).any()
+    shares = np.bincount(drawn, minlength=4)[:4] / len(drawn)
+    assert shares == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.005)

@@ -103,3 +103,14 @@ def test_scoring_marks_errors(spark, rows, trained):
     made = score(df, t.model, t.columns, now=F.timestamp_seconds(F.lit(11.5))).collect()
     assert all((r["predicted_aqi"] is None) == (r["error"] is not None) for r in made)
     assert all(r["features_computed"] == (r["error"] is None) and r["latency_ms"] == 1500.0 for r in made)
+
+
+def test_training_rows_are_written_once(spark, monkeypatch):
+    """Splits, fits and scores read the written table; the windows over the readings are not planned again."""
+    from tests.conftest import SMALL
+    from zephyra.workload import queries
+
+    made = queries._training_rows(spark, SMALL)
+    monkeypatch.setattr(queries.features, "prior_features", lambda *a, **k: pytest.fail("windows again"))
+    assert queries._training_rows(spark, SMALL) is made and made.count() > 0
+    assert made.inputFiles()[0].split("/tables/")[0].removeprefix("file:") in (spark.conf.get("spark.checkpoint.dir"), "")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ SAMPLE_ROWS = 10_000
 #: Rows of a block: large ones hold long runs of a node, small ones stay in the cache of a core.
 BLOCK_ROWS = {"random_forest": 131_072, "boosted_trees": 16_384}
 #: The most rows, with repeats, of a node that one task grows to its end.
-LOCAL_ROWS = 250_000
+LOCAL_ROWS = 1_000_000
 #: Bytes of sums that a task holds in a pass, and of rows that are on their way to their tasks at once.
 SUM_BYTES, WAVE_BYTES = 128 << 20, 4 << 30
 #: Nodes of one tree whose sums travel together.
@@ -392,6 +393,19 @@ def _once(tree, number, rows):
     return None
 
 
+def _bagged(seed: int) -> Callable:
+    """How often each row of a block is drawn for a tree: Poisson of mean 1, the same in every pass."""
+    below = np.cumsum([exp(-1) / factorial(k) for k in range(16)])
+
+    def weights(tree: int, number: int, rows: int) -> np.ndarray:
+        drawn, times = np.random.default_rng([seed, tree, number]).random(rows), np.zeros(rows, np.uint8)
+        for share in below:
+            times += drawn >= share
+        return times
+
+    return weights
+
+
 def can_fit(kind: str, parameters: dict) -> bool:
     """Whether these parameters are among those known here."""
     known = {"maxDepth", "seed", "minInstancesPerNode"}
@@ -414,7 +428,7 @@ def fit(kind: str, rows: DataFrame, parameters: dict) -> Ensemble:
 
 def _forest(work: _Work, cuts, parameters: dict, seed: int, rows: DataFrame) -> Ensemble:
     if parameters.get("bootstrap", True):
-        work.weights = lambda tree, number, n: np.random.default_rng([seed, tree, number]).poisson(1.0, n)
+        work.weights = _bagged(seed)
     total, number = rows.count(), parameters["numTrees"]
     growing = {t: _Growing(len(cuts)) for t in range(number)}
     for g in growing.values():

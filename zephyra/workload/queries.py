@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from zephyra.operators import alert_store, alerts, clean, evaluate, features, models, profile, quality, registry
 from zephyra.operators import rollups, scaling, serving, splits
+from zephyra.plans.tables import write_out
 from zephyra.schemas import FEATURES, LAG_FEATURES, POLLUTANTS, ROLLING_FEATURES
 from zephyra.session import configure, shared_dir
 from zephyra.sources import events as messages
@@ -715,9 +716,16 @@ def profile_from_summaries(spark, folder):
 _trained: dict[tuple, models.Trained] = {}
 
 
+_prepared: dict[tuple, DataFrame] = {}
+
+
 def _training_rows(spark, folder) -> DataFrame:
-    rows = readings(spark, folder)
-    return features.prior_features(clean.clean(rows), bound=rows)
+    """Written once per session and folder: splits, fits and scores read them many times, the windows run once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _prepared:
+        rows = readings(spark, folder)
+        _prepared[key] = write_out(features.prior_features(clean.clean(rows), bound=rows))
+    return _prepared[key]
 
 
 def _model(spark, folder, kind: str) -> models.Trained:
