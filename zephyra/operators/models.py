@@ -83,8 +83,8 @@ def estimator(kind: str, parameters: dict | None = None):
 def fitted(kind: str, rows: DataFrame, parameters: dict | None = None):
     """The model over ``features`` and ``label``: MLlib's up to ``MLLIB_ROWS``, else one of ``plans/trees.py``."""
     chosen = {**KINDS[kind][1], **(parameters or {})}
-    if trees.can_fit(kind, chosen) and rows.count() > MLLIB_ROWS[kind]:
-        return trees.fit(kind, rows, chosen)
+    if trees.can_fit(kind, chosen) and (total := rows.count()) > MLLIB_ROWS[kind]:
+        return trees.fit(kind, rows, chosen, total)
     return estimator(kind, parameters).fit(rows)
 
 

@@ -14,12 +14,14 @@ variance, Poisson weights for bagging, squared loss, means in the leaves, import
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
-from math import exp, factorial
+from math import exp, factorial, prod
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel, TaskContext, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +31,30 @@ from zephyra.plans.tables import write_out
 
 BINS = 32
 SAMPLE_ROWS = 10_000
-#: Rows of a block: large ones hold long runs of a node, small ones stay in the cache of a core.
-BLOCK_ROWS = {"random_forest": 131_072, "boosted_trees": 16_384}
+#: Rows of a block: large ones hold many rows of a node.
+BLOCK_ROWS = {"random_forest": 131_072, "boosted_trees": 131_072}
 #: The most rows, with repeats, of a node that one task grows to its end.
-LOCAL_ROWS = 1_000_000
-#: Bytes of sums that a task holds in a pass, and of rows that are on their way to their tasks at once.
-SUM_BYTES, WAVE_BYTES = 128 << 20, 4 << 30
+LOCAL_ROWS = 2_000_000
+#: Bytes of sums that a task holds in a pass, and of rows that are on their way to their tasks at once, in so many jobs.
+SUM_BYTES, WAVE_BYTES, WAVES = 64 << 20, 3 << 30, 2
+#: The most tasks that grow branches in a job.
+MOST_BRANCHES = 1024
 #: Nodes of one tree whose sums travel together.
 CHUNK = 64
 #: Boosted trees after which the running predictions are made from the blocks again, which cuts their lineage.
 ANCHOR = 5
+#: The most joint bins of features that are counted together, and the rows of a node from which on that pays.
+JOINT, JOINT_ROWS = 1024, 1_200
+#: Nodes of a branch that are grown together, and nodes and rows whose sums stay in the cache of a core.
+BRANCH_NODES, CACHED_NODES, CACHED_ROWS = 256, 16, 65_536
+#: The share of the rows that a tree draws at least once.
+DRAWN = 1 - exp(-1)
 #: A gain that is a smaller part of the squares of a node is rounding.
 LEAST_SHARE = 1e-12
 
 BLOCKS = "block long, bins binary, label binary"
 SUMS = "tree int, lo int, part int, sums binary"
-SPLITS = "tree int, place int, feature int, cut int, gain double, n double, value double, left_n double, left_value double, right_value double"
-ROWS = "tree int, node long, block long, bins binary, label binary, weight binary"
+ROWS = "place int, tree int, node long, block long, bins binary, label binary, weight binary"
 BRANCH = "tree int, ids binary, feature binary, cut binary, value binary, importance binary"
 
 
@@ -70,19 +79,23 @@ class Tree:
 
     def places(self, bins: np.ndarray) -> np.ndarray:
         """The node, by position, where each row ends."""
-        at = np.zeros(bins.shape[1], np.intp)
-        flat, rows, start = bins.reshape(-1), np.arange(bins.shape[1]), np.maximum(self.feature, 0).astype(np.intp) * bins.shape[1]
+        flat, rows = bins.reshape(-1), np.arange(bins.shape[1])
+        start, left = np.maximum(self.feature, 0).astype(np.intp) * len(rows), self.left.astype(np.intp)
+        at = np.zeros(len(rows), np.intp)
         for _ in range(int(self.ids[-1]).bit_length() - 1):
-            at = self.left[at] + (flat[start[at] + rows] > self.cut[at])
+            cell = start.take(at)
+            cell += rows
+            right = flat.take(cell) > self.cut.take(at)
+            at = left.take(at)
+            at += right
         return at
 
 
 # ------------------------------------------------------------------ rows in blocks
 
 
-def cut_points(rows: DataFrame, seed: int) -> list[np.ndarray]:
+def cut_points(rows: DataFrame, seed: int, total: int) -> list[np.ndarray]:
     """At most ``BINS - 1`` thresholds of each feature, between values, by quantiles; all of them if values are few."""
-    total = rows.count()
     some = rows if total <= SAMPLE_ROWS else rows.sample(min(1.0, SAMPLE_ROWS / total), seed)
     values = some.select(vector_to_array("features").alias("v")).toArrow()["v"].combine_chunks()
     made = np.sort(values.flatten().to_numpy().reshape(len(values), -1), axis=0)
@@ -143,103 +156,231 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 # ------------------------------------------------------------------ splits
 
 
-def best_splits(counts: np.ndarray, sums: np.ndarray, totals: np.ndarray, n_cuts: list[int], least: int) -> tuple:
-    """``feature, cut, gain, left count, left sum`` of nodes from ``counts`` and ``sums`` by (feature, node, bin); feature -1
+def best_splits(cells: np.ndarray, totals: np.ndarray, least: int) -> tuple:
+    """``feature, cut, gain, left count, left sum`` of nodes from ``cells``, counts and sums by (node, feature, bin); feature -1
     if none gains. ``totals`` are the count, sum and sum of squares of each node."""
     n, t, q = totals
-    nodes = np.arange(len(n))
-    base = t * t / np.maximum(n, 1)
-    top, feature, cut = np.full(len(n), -np.inf), np.full(len(n), -1), np.zeros(len(n), np.int64)
-    left_n, left_t = np.zeros(len(n)), np.zeros(len(n))
-    for f, k in enumerate(n_cuts):
-        if not k:
-            continue
-        c, s = counts[f][:, :k].cumsum(1), sums[f][:, :k].cumsum(1)
-        rest = n[:, None] - c
+    nodes = cells.shape[1]
+    top, place, left_n, left_t = np.empty(nodes), np.empty(nodes, np.int64), np.empty(nodes), np.empty(nodes)
+    for lo in range(0, nodes, CACHED_NODES):
+        some = slice(lo, lo + CACHED_NODES)
+        c, s = cells[0, some].cumsum(2), cells[1, some].cumsum(2)
+        rest, other = n[some, None, None] - c, t[some, None, None] - s
+        ruled_out = (c < least) | (rest < least)
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where((c >= least) & (rest >= least), s * s / c + (t[:, None] - s) ** 2 / rest, -np.inf)
-        at = score.argmax(1)
-        found = score[nodes, at]
-        better = found > top
-        top[better], feature[better], cut[better] = found[better], f, at[better]
-        left_n[better], left_t[better] = c[nodes, at][better], s[nodes, at][better]
-    gains = top - base > LEAST_SHARE * q
+            score = s * s
+            score /= c
+            other *= other
+            other /= rest
+            score += other
+        score[ruled_out] = -np.inf
+        score = score.reshape(len(score), -1)
+        at = (score >= (score.max(1) - LEAST_SHARE * q[some])[:, None]).argmax(1)  # of equal ones the first, as if without rounding
+        rows = np.arange(len(score))
+        top[some], place[some] = score[rows, at], at
+        left_n[some], left_t[some] = (x.reshape(len(score), -1)[rows, at] for x in (c, s))
+    base = t * t / np.maximum(n, 1)
+    # no split gains more than the squares about the mean, which the sums of a cell may hide in their rounding
+    gains = (top - base > LEAST_SHARE * q) & (q - base > LEAST_SHARE * q)
     with np.errstate(invalid="ignore"):
         gain = np.where(gains, (top - base) / np.maximum(n, 1), 0.0)
-    return np.where(gains, feature, -1), cut, gain, left_n, left_t
-
-
-def _counted(bins: np.ndarray, at: np.ndarray, weight: np.ndarray | None, label: np.ndarray, nodes: int) -> Iterator[tuple]:
-    """For each feature the counts and sums by (node, bin). Without ``weight`` every row counts once."""
-    base, value = at * BINS, label if weight is None else weight * label
-    for row in bins:
-        cell = base + row
-        yield np.bincount(cell, weight, nodes * BINS), np.bincount(cell, value, nodes * BINS)
+    return np.where(gains, place // BINS, -1), place % BINS, gain, left_n, left_t
+
+
+def packs(n_cuts: list[int]) -> list[list[int]]:
+    """The features that have cuts in groups of at most ``JOINT`` joint bins."""
+    made: list[list[int]] = []
+    for f in sorted((f for f, k in enumerate(n_cuts) if k), key=lambda f: -n_cuts[f]):
+        fits = (g for g in made if prod(n_cuts[x] + 1 for x in g) * (n_cuts[f] + 1) <= JOINT)
+        if (group := next(fits, None)) is None:
+            made.append([f])
+        else:
+            group.append(f)
+    return made
 
 
-def _totals(at: np.ndarray, weight: np.ndarray | None, label: np.ndarray, nodes: int) -> np.ndarray:
-    value = label if weight is None else weight * label
-    return np.stack([np.bincount(at, v, nodes) for v in (weight, value, value * label)])
+class _Cells:
+    """Rows of bins, of which counts and sums are made for any rows and nodes. ``single`` are the bins of each feature and ``joint``
+    those of each pack, both by (feature, row)."""
+
+    def __init__(self, bins: np.ndarray, n_cuts: list[int]):
+        self.single, self.n_cuts, self.packs = bins, n_cuts, packs(n_cuts)
+        self.joint = np.empty((len(self.packs), bins.shape[1]), np.uint16)
+        for code, group in zip(self.joint, self.packs):
+            code[:] = bins[group[0]]
+            for f in group[1:]:
+                code *= np.uint16(n_cuts[f] + 1)
+                code += bins[f]
+
+    def taken(self, rows: np.ndarray, many: bool) -> Iterator[np.ndarray]:
+        return (x.take(rows) for x in (self.joint if many else self.single))
+
+    def summed(self, rows: np.ndarray, at: np.ndarray, weight: np.ndarray | None, value: np.ndarray, nodes: int) -> np.ndarray:
+        """Counts and sums by (node, feature, bin) of ``rows``; the other three go with them. Without ``weight`` a row counts once.
+
+        A node of many rows is counted by joint bins of several features, which are then added up for each: one pass over the
+        rows for all features of a pack."""
+        made = np.zeros((2, nodes, len(self.n_cuts), BINS))
+        for lo in range(0, len(rows), CACHED_ROWS):
+            some = slice(lo, lo + CACHED_ROWS)
+            first = at[some].min()
+            here = at[some] - first
+            m = int(here.max()) + 1
+            part = made[:, first : first + m]
+            many = len(here) >= JOINT_ROWS * m
+            values = (None if weight is None else weight[some], value[some])
+            base: dict[int, np.ndarray] = {}
+            for group, code in zip(self.packs if many else [[f] for f in range(len(self.n_cuts))], self.taken(rows[some], many)):
+                if not self.n_cuts[group[0]]:
+                    continue
+                widths = [self.n_cuts[f] + 1 for f in group]
+                size = prod(widths)
+                if m == 1:
+                    cell = code.astype(np.intp)
+                else:
+                    if size not in base:
+                        base[size] = here * size
+                    cell = base[size] + code
+                for i, v in enumerate(values):
+                    joint = np.bincount(cell, v, m * size).reshape(m, *widths)
+                    for j, f in enumerate(group):
+                        part[i, :, f, : widths[j]] += joint.sum(tuple(x + 1 for x in range(len(group)) if x != j)) if many else joint
+        return made
+
+
+class _RowCells(_Cells):
+    """The same with the bins of a row side by side, for rows that are no neighbours."""
+
+    def __init__(self, bins: np.ndarray, n_cuts: list[int]):
+        super().__init__(bins, n_cuts)
+        self.single, self.joint = np.ascontiguousarray(self.single.T), np.ascontiguousarray(self.joint.T)
+
+    def of(self, rows: np.ndarray) -> _RowCells:
+        made = copy(self)
+        made.single, made.joint = self.single.take(rows, axis=0), self.joint.take(rows, axis=0)
+        return made
+
+    def taken(self, rows: np.ndarray, many: bool) -> Iterator[np.ndarray]:
+        return iter((self.joint if many else self.single).take(rows, axis=0).T)
 
 
 def grow(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, root: int, levels: int, n_cuts: list[int], least: int) -> tuple:
-    """``ids, feature, cut, value, importance`` of the branch below ``root`` over the rows given."""
-    ids, features, cuts, values, importance = [], [], [], [], np.zeros(len(n_cuts))
-    open_ids, at = np.array([root], np.int64), np.zeros(len(label), np.intp)
-    for level in range(levels + 1):
-        totals = _totals(at, weight, label, len(open_ids))
-        feature, cut = np.full(len(open_ids), -1), np.zeros(len(open_ids), np.int64)
-        if level < levels:
-            pairs = list(_counted(bins, at, weight, label, len(open_ids)))
-            counts, sums = ([p[i].reshape(-1, BINS) for p in pairs] for i in (0, 1))
-            feature, cut, gain, _, _ = best_splits(counts, sums, totals, n_cuts, least)
-            np.add.at(importance, feature[feature >= 0], (gain * totals[0])[feature >= 0])
-        ids.append(open_ids)
-        features.append(feature)
-        cuts.append(cut)
-        values.append(totals[1] / totals[0])
+    """``ids, feature, cut, value, importance`` of the branch below ``root`` over the rows given.
+
+    The rows of a node lie together. Of two children the one with fewer rows is counted; the other has what is left of its
+    parent's sums. Nodes of a level go on together, up to a number of nodes and rows; the others wait."""
+    value = weight * label
+    found, importance = [], np.zeros(len(n_cuts))
+    waiting: list[tuple] = []
+
+    def go_on(ids, rows, sizes, totals, level, data, cells_for) -> None:
+        """Record what stays a leaf, and let the others wait with their cells."""
+        n, t, q = totals
+        may = (n >= 2 * least) & (q - t * t / n > LEAST_SHARE * q) & (level < levels)
+        leaf = ~may
+        found.append((ids[leaf], np.full(leaf.sum(), -1), np.zeros(leaf.sum(), np.int64), t[leaf] / n[leaf]))
+        if not may.any():
+            return
+        cells = cells_for(may)
+        if leaf.any():
+            rows = rows[np.repeat(may, sizes)]
+            ids, sizes, totals = ids[may], sizes[may], totals[:, may]
+        ends = sizes.cumsum()
+        hi = 0
+        while hi < len(ids):
+            lo, start = hi, ends[hi] - sizes[hi]
+            hi = min(lo + BRANCH_NODES, max(lo + 1, int(np.searchsorted(ends, start + CACHED_ROWS, "right"))))
+            waiting.append((ids[lo:hi], rows[start : ends[hi - 1]], sizes[lo:hi], totals[:, lo:hi], level, data, cells[:, lo:hi]))
+
+    data = _RowCells(bins, n_cuts), weight, value, value * label
+    everything = np.arange(len(label))
+    go_on(
+        np.array([root], np.int64), everything, np.array([len(label)]), np.array([[x.sum()] for x in data[1:]]), 0, data,
+        lambda may: data[0].summed(everything, np.zeros(len(label), np.intp), weight, value, 1),
+    )
+    while waiting:
+        ids, rows, sizes, totals, level, data, cells = waiting.pop()
+        feature, cut, gain, _, _ = best_splits(cells, totals, least)
+        found.append((ids, feature, cut, totals[1] / totals[0]))
         split = feature >= 0
+        np.add.at(importance, feature[split], (gain * totals[0])[split])
         if not split.any():
-            break
-        kept = np.flatnonzero(split[at])
-        bins, label, weight, at = bins[:, kept], label[kept], weight[kept], at[kept]
-        right = bins[feature[at], np.arange(len(at))] > cut[at]
-        at = (2 * (split.cumsum() - 1))[at] + right
-        open_ids = (2 * open_ids[split][:, None] + np.arange(2)).reshape(-1)
-    return *(np.concatenate(x) for x in (ids, features, cuts, values)), importance
+            continue
+        if not split.all():
+            rows = rows[np.repeat(split, sizes)]
+            ids, sizes, cells, feature, cut = ids[split], sizes[split], cells[:, split], feature[split], cut[split]
+        if 4 * len(rows) < len(data[1]):  # few of the rows at hand: bring them together
+            data, rows = (data[0].of(rows), *(x.take(rows) for x in data[1:])), np.arange(len(rows))
+        m, single = len(ids), data[0].single
+        bin_at = single.reshape(-1).take(np.repeat(feature, sizes) + single.shape[1] * rows)
+        right = bin_at > np.repeat(cut.astype(np.uint8), sizes)
+        n_right = np.add.reduceat(right, sizes.cumsum() - sizes, dtype=np.intp)
+        below_sizes = np.concatenate([sizes - n_right, n_right])  # all left children, then all right ones
+        below = np.concatenate([rows[~right], rows[right]])
+        parts = [x.take(below) for x in data[1:]]
+        below_totals = np.stack([np.add.reduceat(x, below_sizes.cumsum() - below_sizes) for x in parts])
+
+        def cells_below(may: np.ndarray) -> np.ndarray:
+            asked = np.flatnonzero(may[:m] | may[m:])
+            small = asked + m * (below_sizes[asked] > below_sizes[asked + m])
+            counted = np.zeros(2 * m, bool)
+            counted[small] = True
+            kept = np.flatnonzero(np.repeat(counted, below_sizes))
+            at = np.repeat(np.arange(len(small)), below_sizes[counted])
+            some = data[0].summed(below.take(kept), at, parts[0].take(kept), parts[1].take(kept), len(small))
+            rank = np.empty(m, np.intp)
+            rank[np.flatnonzero(counted) % m] = np.arange(len(small))
+            wanted = np.flatnonzero(may)
+            made, other = some[:, rank[wanted % m]], ~counted[wanted]
+            made[:, other] = cells[:, wanted[other] % m] - made[:, other]
+            made[1][made[0] == 0] = 0.0  # no rounding where there are no rows
+            return made
+
+        go_on(np.concatenate([2 * ids, 2 * ids + 1]), below, below_sizes, below_totals, level + 1, data, cells_below)
+    return *(np.concatenate(x) for x in zip(*found)), importance
 
 
 # ------------------------------------------------------------------ growing
 
 
 class _Growing:
-    """What the driver knows of a tree: its nodes so far, and those that are still open by their counts."""
-
-    def __init__(self, features: int):
-        self.ids, self.feature, self.cut, self.value = [1], [-1], [0], [0.0]
-        self.open: dict[int, float] = {1: np.inf}
+    """What the driver knows of a tree: its nodes so far, those that are still open by their counts, and the sums of those that
+    it splits next."""
+
+    def __init__(self, features: int, rows: float):
+        self.ids, self.feature, self.cut, self.value, self.at = [1], [-1], [0], [0.0], {1: 0}
+        self.open: dict[int, float] = {1: rows}
+        self.sizes: dict[int, float] = {1: rows}
+        self.cells: dict[int, np.ndarray] = {}
         self.importance = np.zeros(features)
 
     def tree(self) -> Tree:
         return Tree.of(self.ids, self.feature, self.cut, self.value)
 
-    def split(self, node: int, row, levels: int, least: int) -> None:
+    def asked(self, limit: float) -> list[tuple[int, int]]:
+        """Pairs of children of which one has more than ``limit`` rows, the one of fewer rows first; the root has no other."""
+        parents = sorted({node // 2 for node, n in self.open.items() if n > limit})
+        pairs = ((2 * p, 2 * p + 1) if p else (1, 0) for p in parents)
+        return [(a, b) if not b or self.sizes[a] <= self.sizes[b] else (b, a) for a, b in pairs]
+
+    def split(self, node: int, feature: int, cut: int, gain: float, totals, left_n: float, left_t: float, levels: int, least: int) -> None:
         del self.open[node]
-        k = self.ids.index(node) if node == 1 else self.at[node]
+        n, t, k = totals[0], totals[1], self.at[node]
         if node == 1:
-            self.value[0], self.at = row["value"], {1: 0}
-        if row["feature"] < 0:
+            self.value[0] = t / n
+        if feature < 0:
+            del self.cells[node]
             return
-        self.feature[k], self.cut[k] = row["feature"], row["cut"]
-        self.importance[row["feature"]] += row["gain"] * row["n"]
-        for child, n, value in ((2 * node, row["left_n"], row["left_value"]), (2 * node + 1, row["n"] - row["left_n"], row["right_value"])):
-            self.at[child] = len(self.ids)
+        self.feature[k], self.cut[k] = feature, cut
+        self.importance[feature] += gain * n
+        for child, count, total in ((2 * node, left_n, left_t), (2 * node + 1, n - left_n, t - left_t)):
+            self.at[child], self.sizes[child] = len(self.ids), count
             self.ids.append(child)
             self.feature.append(-1)
             self.cut.append(0)
-            self.value.append(value)
-            if child.bit_length() <= levels and n >= 2 * least:
-                self.open[child] = n
+            self.value.append(total / count)
+            if child.bit_length() <= levels and count >= 2 * least:
+                self.open[child] = count
 
 
 @dataclass
@@ -253,56 +394,79 @@ class _Work:
     weights: Callable
 
 
-def _split_open(work: _Work, growing: dict[int, _Growing], nodes: dict[int, list[int]]) -> None:
-    """Split ``nodes`` by tree from sums over all rows."""
-    n_cuts, least, weights = work.n_cuts, work.least, work.weights
-    width = len(n_cuts)
-    asked = [(t, growing[t].tree(), np.array(sorted(some))) for t, some in nodes.items()]
+def _summed(work: _Work, growing: dict[int, _Growing], pairs: dict[int, list[tuple[int, int]]]) -> Iterator[tuple]:
+    """``tree, totals, cells`` over all rows: totals of the first of all pairs and then of the others, cells of the first."""
+    n_cuts, weights, width = work.n_cuts, work.weights, len(work.n_cuts)
+    asked = [(t, growing[t].tree(), np.array(some).T) for t, some in pairs.items()]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros((width, 2, len(some) * BINS)), np.zeros((3, len(some)))) for _, _, some in asked]
+        held = [(np.zeros((3, some.size)), np.zeros((2, some.shape[1], width, BINS))) for _, _, some in asked]
         ranks = []
         for _, tree, some in asked:
             rank = np.full(len(tree.ids), -1, np.intp)
-            rank[np.searchsorted(tree.ids, some)] = np.arange(len(some))
+            nodes = some.reshape(-1)
+            rank[np.searchsorted(tree.ids, nodes[nodes > 0])] = np.flatnonzero(nodes)
             ranks.append(rank)
         for number, bins, y in _opened(batches):
-            for (t, tree, some), rank, (cells, totals) in zip(asked, ranks, held):
-                at, w = rank[tree.places(bins)], weights(t, number, len(y))
-                kept = at >= 0 if w is None else (at >= 0) & (w > 0)
-                part = (bins, y, at) if kept.all() else (bins[:, kept], y[kept], at[kept])
-                w = None if w is None else w[kept].astype(np.float64)
-                totals += _totals(part[2], w, part[1], len(some))
-                for f, (c, s) in enumerate(_counted(part[0], part[2], w, part[1], len(some))):
-                    cells[f, 0] += c
-                    cells[f, 1] += s
+            block = _Cells(bins, n_cuts)
+            for (t, tree, some), rank, (totals, cells) in zip(asked, ranks, held):
+                at, w = rank.take(tree.places(bins)), weights(t, number, len(y))
+                kept = np.flatnonzero(at >= 0 if w is None else (at >= 0) & (w > 0))
+                at, label = (at, y) if len(kept) == len(y) else (at.take(kept), y.take(kept))
+                w = None if w is None else w.take(kept).astype(np.float64)
+                value = label if w is None else w * label
+                totals += np.stack([np.bincount(at, v, some.size) for v in (w, value, value * label)])
+                first = np.flatnonzero(at < some.shape[1])
+                if len(first):
+                    w = None if w is None else w.take(first)
+                    cells += block.summed(kept.take(first), at.take(first), w, value.take(first), some.shape[1])
         here = TaskContext.get().partitionId()
-        for (t, _, some), (cells, totals) in zip(asked, held):
-            cells = cells.reshape(width, 2, len(some), BINS)
-            for lo in range(0, len(some), CHUNK):
-                packed = np.concatenate([totals[:, lo : lo + CHUNK].reshape(-1), cells[:, :, lo : lo + CHUNK].reshape(-1)])
+        for (t, _, some), (totals, cells) in zip(asked, held):
+            totals = totals.reshape(3, 2, -1)
+            for lo in range(0, some.shape[1], CHUNK):
+                packed = np.concatenate([totals[:, :, lo : lo + CHUNK].reshape(-1), cells[:, lo : lo + CHUNK].reshape(-1)])
                 yield pa.RecordBatch.from_pylist([{"tree": t, "lo": lo, "part": here, "sums": packed.tobytes()}], _arrow(SUMS))
 
-    def decided(table: pa.Table) -> pa.Table:
+    def together(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
         packed = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table["sums"])
-        m = len(packed) // (3 + 2 * width * BINS)
-        totals, cells = packed[: 3 * m].reshape(3, m), packed[3 * m :].reshape(width, 2, m, BINS)
-        feature, cut, gain, left_n, left_t = best_splits(cells[:, 0], cells[:, 1], totals, n_cuts, least)
-        n, s = totals[0], totals[1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            columns = [
-                np.full(m, table["tree"][0].as_py()), table["lo"][0].as_py() + np.arange(m), feature, cut, gain, n, s / n,
-                left_n, left_t / left_n, (s - left_t) / (n - left_n),
-            ]
-        kinds = _arrow(SPLITS)
-        return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kinds)], schema=kinds)
-
-    chunks = sum(-(-len(some) // CHUNK) for _, _, some in asked)
+        return pa.Table.from_pylist([{"tree": table["tree"][0].as_py(), "lo": table["lo"][0].as_py(), "part": 0, "sums": packed.tobytes()}], _arrow(SUMS))
+
+    chunks = sum(-(-some.shape[1] // CHUNK) for _, _, some in asked)
     sent = work.blocks.mapInArrow(summed, SUMS).repartition(min(chunks, 32), "tree", "lo")
-    for row in sent.groupBy("tree", "lo").applyInArrow(decided, SPLITS).collect():
-        some = sorted(nodes[row["tree"]])
-        growing[row["tree"]].split(int(some[row["place"]]), row, work.levels, least)
+    parts: dict[int, list] = {t: [] for t in pairs}
+    for row in sorted(sent.groupBy("tree", "lo").applyInArrow(together, SUMS).collect(), key=lambda r: r["lo"]):
+        packed = np.frombuffer(row["sums"], np.float64)
+        m = len(packed) // (6 + 2 * width * BINS)
+        parts[row["tree"]].append((packed[: 6 * m].reshape(3, 2, m), packed[6 * m :].reshape(2, m, width, BINS)))
+    for t, some in parts.items():
+        totals, cells = (np.concatenate(x, axis=a) for x, a in zip(zip(*some), (2, 1)))
+        yield t, totals.reshape(3, -1), cells
+
+
+def _split_pairs(work: _Work, growing: dict[int, _Growing], pairs: dict[int, list[tuple[int, int]]], limit: float) -> None:
+    """Split the nodes of ``pairs`` that have more than ``limit`` rows. The cells of the second of a pair are what the first has
+    not of those of their parent."""
+    for t, totals, cells in _summed(work, growing, pairs):
+        g, some = growing[t], pairs[t]
+        nodes, columns, made = [], [], []
+        for k, (first, other) in enumerate(some):
+            if g.open.get(first, 0) > limit:
+                nodes, columns, made = [*nodes, first], [*columns, k], [*made, cells[:, k]]
+            if other:
+                above = g.cells.pop(other // 2)
+                if g.open.get(other, 0) > limit:
+                    left = above - cells[:, k]
+                    left[1][left[0] == 0] = 0.0  # no rounding where there are no rows
+                    nodes, columns, made = [*nodes, other], [*columns, len(some) + k], [*made, left]
+        totals = totals[:, columns]
+        found = best_splits(np.stack(made, axis=1), totals, work.least)
+        for i, node in enumerate(nodes):
+            g.cells[node] = np.array(made[i])
+            g.split(node, *(x[i].item() for x in found[:3]), totals[:, i], *(x[i].item() for x in found[3:]), work.levels, work.least)
+        # sums that no child needs
+        needed = {node // 2 for node, n in g.open.items() if n > limit}
+        g.cells = {node: x for node, x in g.cells.items() if node in needed}
 
 
 def _arrow(columns: str) -> pa.Schema:
@@ -311,19 +475,17 @@ def _arrow(columns: str) -> pa.Schema:
 
 
 def _split_large(work: _Work, growing: dict[int, _Growing], limit: float) -> None:
-    """Split until no open node has more than ``limit`` rows; the trees go in groups whose sums a task can hold."""
-    per_node = len(work.n_cuts) * BINS * 16
-    while large := {t: [i for i, n in g.open.items() if n > limit] for t, g in growing.items()}:
-        large = {t: some for t, some in large.items() if some}
-        if not large:
-            return
-        group: dict[int, list[int]] = {}
-        for t, some in large.items():
-            if group and (sum(map(len, group.values())) + len(some)) * per_node > SUM_BYTES:
-                _split_open(work, growing, group)
-                group = {}
-            group[t] = some
-        _split_open(work, growing, group)
+    """Split until no open node has more than ``limit`` rows; the trees go in groups whose sums a task can hold, one group to
+    its end before the next, so that the driver holds the sums of few trees."""
+    per_node, waiting = len(work.n_cuts) * BINS * 16, [list(growing)]
+    while waiting:
+        pairs = {t: some for t in waiting.pop() if (some := growing[t].asked(limit))}
+        names = list(pairs)
+        if len(names) > 1 and sum(map(len, pairs.values())) * per_node > SUM_BYTES:
+            waiting += [names[len(names) // 2 :], names[: len(names) // 2]]
+        elif names:
+            _split_pairs(work, growing, pairs, limit)
+            waiting.append(names)
 
 
 def _branches(work: _Work, growing: dict[int, _Growing], trees: list[int]) -> DataFrame:
@@ -339,10 +501,10 @@ def _branches(work: _Work, growing: dict[int, _Growing], trees: list[int]) -> Da
                 at, w = rank[tree.places(bins)], weights(t, number, len(y))
                 w = np.ones(len(y), np.uint8) if w is None else w.astype(np.uint8)
                 kept = np.flatnonzero((at >= 0) & (w > 0))
-                kept = kept[np.argsort(at[kept], kind="stable")]
+                kept = kept[np.argsort(at[kept].astype(np.min_scalar_type(len(some))), kind="stable")]  # few bits, so without comparisons
                 ends = np.searchsorted(at[kept], np.arange(len(some) + 1))
                 made_rows = [
-                    {"tree": t, "node": int(some[k]), "block": number, "bins": bins[:, r].tobytes(), "label": y[r].tobytes(), "weight": w[r].tobytes()}
+                    {"place": place[t, int(some[k])], "tree": t, "node": int(some[k]), "block": number, "bins": bins[:, r].tobytes(), "label": y[r].tobytes(), "weight": w[r].tobytes()}
                     for k in range(len(some))
                     if len(r := kept[ends[k] : ends[k + 1]])
                 ]
@@ -358,22 +520,28 @@ def _branches(work: _Work, growing: dict[int, _Growing], trees: list[int]) -> Da
         row = dict(ids=ids.astype(np.int64), feature=feature.astype(np.int16), cut=cut.astype(np.uint8), value=value, importance=importance)
         return pa.Table.from_pylist([{"tree": table["tree"][0].as_py(), **{k: v.tobytes() for k, v in row.items()}}], _arrow(BRANCH))
 
-    tasks = min(1024, sum(len(some) for _, _, some in asked))
-    sent = work.blocks.mapInArrow(dealt, ROWS).repartition(tasks, "tree", "node")
-    return sent.groupBy("tree", "node").applyInArrow(grown, BRANCH)
+    # a task for each branch, the largest first
+    sizes = sorted(((n, t, node) for t in trees for node, n in growing[t].open.items()), reverse=True)
+    place = {(t, node): i % MOST_BRANCHES for i, (_, t, node) in enumerate(sizes)}
+    sent = work.blocks.mapInArrow(dealt, ROWS).repartitionById(min(MOST_BRANCHES, len(place)), "place")
+    return sent.groupBy("place", "tree", "node").applyInArrow(grown, BRANCH)
 
 
-def _grown_locally(work: _Work, growing: dict[int, _Growing], rows: int) -> list[Tree]:
+def _grown_locally(work: _Work, growing: dict[int, _Growing], rows: float) -> list[Tree]:
+    """The trees with their branches; the rows of a few trees at a time are on their way, in two waves side by side."""
     width = len(work.n_cuts) + 9
-    at_once = max(1, int(WAVE_BYTES // (width * max(rows, 1))))
+    at_once = max(1, int(WAVE_BYTES // (WAVES * width * max(rows, 1))))
     names = sorted(growing)
     parts: dict[int, list] = {t: [] for t in names}
-    for lo in range(0, len(names), at_once):
-        wave = names[lo : lo + at_once]
-        if not any(growing[t].open for t in wave):
-            continue
-        for row in write_out(_branches(work, growing, wave)).toArrow().to_pylist():
-            parts[row["tree"]].append(row)
+    waves = [[t for t in names[lo : lo + at_once] if growing[t].open] for lo in range(0, len(names), at_once)]
+
+    def run(wave: list[int]) -> list[dict]:
+        return write_out(_branches(work, growing, wave)).toArrow().to_pylist()
+
+    with ThreadPool(WAVES) as pool:
+        for made in pool.imap_unordered(inheritable_thread_target(work.blocks.sparkSession)(run), [w for w in waves if w]):
+            for row in made:
+                parts[row["tree"]].append(row)
     made = []
     for t in names:
         g = growing[t]
@@ -413,33 +581,31 @@ def can_fit(kind: str, parameters: dict) -> bool:
     return set(parameters) <= known and parameters.get("featureSubsetStrategy", "all") == "all"
 
 
-def fit(kind: str, rows: DataFrame, parameters: dict) -> Ensemble:
-    """The model of ``kind`` over the vectors ``features`` and the numbers ``label``."""
+def fit(kind: str, rows: DataFrame, parameters: dict, total: int) -> Ensemble:
+    """The model of ``kind`` over the vectors ``features`` and the numbers ``label`` of ``total`` rows."""
     seed = parameters.get("seed", 42)
-    cuts = cut_points(rows, seed)
+    cuts = cut_points(rows, seed, total)
     blocks = _blocks(rows, cuts, BLOCK_ROWS[kind]).persist(StorageLevel.MEMORY_AND_DISK)
     work = _Work(blocks, [len(c) for c in cuts], parameters["maxDepth"], parameters.get("minInstancesPerNode", 1), _once)
     try:
         made = _boosted if kind == "boosted_trees" else _forest
-        return made(work, cuts, parameters, seed, rows)
+        return made(work, cuts, parameters, seed, total)
     finally:
         blocks.unpersist()
 
 
-def _forest(work: _Work, cuts, parameters: dict, seed: int, rows: DataFrame) -> Ensemble:
+def _forest(work: _Work, cuts, parameters: dict, seed: int, total: int) -> Ensemble:
     if parameters.get("bootstrap", True):
         work.weights = _bagged(seed)
-    total, number = rows.count(), parameters["numTrees"]
-    growing = {t: _Growing(len(cuts)) for t in range(number)}
-    for g in growing.values():
-        g.open = {1: total}
+    number = parameters["numTrees"]
+    growing = {t: _Growing(len(cuts), total) for t in range(number)}
     _split_large(work, growing, LOCAL_ROWS)
-    trees = _grown_locally(work, growing, total)
+    trees = _grown_locally(work, growing, total * DRAWN if parameters.get("bootstrap", True) else total)
     share = sum(g.importance / g.importance.sum() for g in growing.values() if g.importance.sum() > 0)
     return Ensemble(cuts, trees, [1.0 / number] * number, _whole(share, len(cuts)))
 
 
-def _boosted(work: _Work, cuts, parameters: dict, seed: int, rows: DataFrame) -> Ensemble:
+def _boosted(work: _Work, cuts, parameters: dict, seed: int, total: int) -> Ensemble:
     trees, weights, importance, base, state = [], [], np.zeros(len(cuts)), work.blocks, None
     try:
         for i in range(parameters["maxIter"]):
@@ -447,7 +613,7 @@ def _boosted(work: _Work, cuts, parameters: dict, seed: int, rows: DataFrame) ->
                 anew = state is None or i % ANCHOR == 0
                 former, state = state, _advanced(base, trees, weights, True) if anew else _advanced(state, trees[-1:], weights[-1:])
                 work.blocks = state.persist(StorageLevel.MEMORY_AND_DISK)
-            growing = {0: _Growing(len(cuts))}
+            growing = {0: _Growing(len(cuts), total)}
             _split_large(work, growing, 0)
             if i and former is not None:
                 former.unpersist()
