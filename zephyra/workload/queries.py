@@ -728,17 +728,24 @@ def _training_rows(spark, folder) -> DataFrame:
     return _prepared[key]
 
 
+def _split_rows(spark, folder) -> DataFrame:
+    """The training rows with their roles; the sort that finds the cut runs once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, "split")
+    if key not in _prepared:
+        _prepared[key] = splits.holdout_split(_training_rows(spark, folder), 0.2)
+    return _prepared[key]
+
+
 def _model(spark, folder, kind: str) -> models.Trained:
     """Trained once per session and folder, with the default parameters, on the earlier 80 percent."""
     key = (spark.sparkContext.applicationId, folder, kind)
     if key not in _trained:
-        rows = splits.holdout_split(_training_rows(spark, folder), 0.2)
-        _trained[key] = models.train(kind, rows.where("role = 'train'"))
+        _trained[key] = models.train(kind, _split_rows(spark, folder).where("role = 'train'"))
     return _trained[key]
 
 
 def _scored(spark, folder, kind: str) -> DataFrame:
-    rows = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'test'")
+    rows = _split_rows(spark, folder).where("role = 'test'")
     scored = models.predict(_model(spark, folder, kind), rows)
     return scored.select("seq", "city", us(), "aqi", r6("prediction", "prediction"))
 
@@ -768,7 +775,7 @@ def cross_validate(spark, folder):
 @query
 def evaluate_all(spark, folder):
     trained = {kind: _model(spark, folder, kind) for kind in models.KINDS}
-    rows = splits.holdout_split(_training_rows(spark, folder), 0.2).where("role = 'test'")
+    rows = _split_rows(spark, folder).where("role = 'test'")
     return rounded(models.evaluate_all(trained, rows))
 
 
